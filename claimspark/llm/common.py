@@ -12,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from claimspark.session import workers_find
+
 #: Rows and bytes that Spark hands to Python at a time; long texts make large rows.
 ARROW_ROWS, ARROW_BYTES = 2048, 8 << 20
 #: Bytes of text that numpy works on at a time.
@@ -23,7 +25,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     shared_folder(spark)
-    return spark
+    return workers_find(spark)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -5,9 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash
+from . import decontaminate, embeddings, licenses, mixing, secrets, sharding, simhash, tokens, toxicity
 from .common import read
 
+try:
+    import public_tokenizers
+
+    TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+except ImportError:
+    TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def op1_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    rows = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+    return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_spans", "spans")
+
 
 def op2_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.fair_queue(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
@@ -20,10 +33,30 @@ def op3_simhash_vp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex(F.col("lanes")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_pivot_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_byte_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(read(spark, sf_dir, "documents"))
 
 
+def op7_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.write_and_read(read(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op9_rare_word_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+def op10_assignment_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
