@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, licenses, mixing, secrets, sharding, simhash, tokens, toxicity
+from . import decontaminate, embeddings, licenses, mixing, repeats, secrets, sharding, simhash, tokens, toxicity
 from .common import read
 
 try:
@@ -49,6 +49,10 @@ def op7_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.write_and_read(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op8_suffix_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(read(spark, sf_dir, "documents"))
+
+
 def op9_rare_word_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,15 +14,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_table, parts_for, prepare, slices
+from .common import byte_set, new_table, parts_for, prepare, slices
 
 END_ID = 2
 ROWS_PER_PART = 4_000
 #: Ids of a segment, about; a document is never cut, so that a longer one makes a longer segment.
 SEGMENT_IDS = 250_000
 MAGIC, LEVEL_BITS, BLOCK_BITS = b"DAC1", 8, 512
-#: Pieces of text whose ids a worker remembers.
-CACHE_PIECES = 400_000
+#: Pieces of text after which a worker puts away those it remembers; it forgets those put away before.
+CACHE_PIECES = 200_000
 
 
 class Encoder:
@@ -31,55 +33,86 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
+        # a task has one core, and each thread of the library would keep memory of its own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes_of[i] = len(token)
-        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ids: dict[str, bytes] = {}
+        self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Ids of pieces with a blank before them: those met of late, and those before.
+        self.ids: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.stops = {s: self.plain(s) for s in (b",", b".")}
 
-    def plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def plain(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, pieces: list[str]) -> None:
+    def learn(self, pieces: list[bytes]) -> None:
         """Encodes runs of pieces at once and cuts their ids where the pieces' bytes end."""
-        if len(self.ids) > CACHE_PIECES:
-            self.ids.clear()
-        easy = [p for p in pieces if p[:1] == " " and len(p) > 1 and not any(s in p for s in self.special)]
-        for p in set(pieces) - set(easy):
-            self.ids[p] = self.plain(p)
-        runs = [easy[i : i + 128] for i in range(0, len(easy), 128)]
-        for run, code in zip(runs, self.tokenizer.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
+        together = b" ".join(pieces)
+        odd = {p for p in pieces for s in self.special if s in p} if any(s in together for s in self.special) else set()
+        for p in odd:
+            self.ids[p] = self.plain(b" " + p)
+        easy = [p for p in pieces if p not in odd] if odd else pieces
+        runs = [easy[i : i + 48] for i in range(0, len(easy), 48)]
+        for run, code in zip(runs, self.tokenizer.encode_batch_fast([(b" " + b" ".join(r)).decode() for r in runs], add_special_tokens=False), strict=True):
             ids = np.array(code.ids, "<u4")
-            ends = np.cumsum([len(p.encode()) for p in run])
+            ends = np.cumsum([len(p) + 1 for p in run])
             cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
             raw, lo = ids.tobytes(), 0
-            for p, hi in zip(run, cuts.tolist(), strict=True):
-                self.ids[p] = raw[lo * 4 : hi * 4]
+            for p, hi in zip(run, (cuts * 4).tolist(), strict=True):
+                self.ids[p] = raw[lo:hi]
                 lo = hi
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        cut = []
-        for text in texts:
-            first, *rest = text.split(" ")
-            pieces = [first, *[" " + x for x in rest]]
-            cut.append(pieces if all(map(_solid, rest)) and (not first or _solid(first)) else None)
-        known = self.ids
-        new = {p for pieces in cut if pieces for p in pieces if p not in known}
-        if new:
-            before = len(known)
-            self.learn(list(new))
-            if len(known) < before:  # it was emptied
-                self.learn([p for p in {p for pieces in cut if pieces for p in pieces} if p not in known])
-        return [self.plain(text) if pieces is None else b"".join([known[p] for p in pieces]) for text, pieces in zip(texts, cut, strict=True)]
+    def encode(self, data: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """Little-endian 32-bit ids of each text of a buffer."""
+        raw, bounds = data.tobytes(), at.tolist()
+        whole = _odd_blanks(data, at)
+        parts = [None if odd else raw[a:b].split(b" ") for a, b, odd in zip(bounds[:-1], bounds[1:], whole.tolist(), strict=True)]
+        if len(self.ids) > CACHE_PIECES:
+            self.older, self.ids = self.ids, {}
+        known, older, new, stopped = self.ids, self.older, [], []
+        unknown = set(chain.from_iterable(x[1:] for x in parts if x)).difference(known)
+        for p in unknown:
+            if (ids := older.get(p)) is not None:
+                known[p] = ids
+            elif p[-1:] in self.stops and p[-2:-1].isalnum():  # a stop behind a letter or digit is a token of its own
+                stopped.append(p)
+            else:
+                new.append(p)
+        new += {p[:-1] for p in stopped}.difference(known, older, new)
+        self.learn(new)
+        for p in stopped:
+            known[p] = (known.get(p[:-1]) or older[p[:-1]]) + self.stops[p[-1:]]
+        out = []
+        for k, x in enumerate(parts):
+            if x is None:
+                out.append(self.plain(raw[bounds[k] : bounds[k + 1]]))
+            else:
+                out.append((self.plain(x[0]) if x[0] else b"") + b"".join([known[p] for p in x[1:]]))
+        return out
+
+
+BLANK_LIKE = byte_set((0x09, 0x0D), (0x1C, 0x20))
+#: First bytes of all white space beyond ASCII, and of much else.
+WIDE_BLANK = byte_set((0xC2, 0xC2), (0xE1, 0xE3))
 
 
-def _solid(piece: str) -> bool:
-    """It neither begins nor ends with white space and isn't empty."""
-    return bool(piece) and not piece[0].isspace() and not piece[-1].isspace()
+def _odd_blanks(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which texts may have a blank beside other white space or at their end, or characters that may be white space beyond ASCII."""
+    if not len(data):
+        return np.zeros(len(at) - 1, bool)
+    white, blank = BLANK_LIKE[data], data == 0x20
+    odd = WIDE_BLANK[data]
+    odd[:-1] |= (blank[:-1] & white[1:]) | (white[:-1] & blank[1:])
+    ends = at[1:][at[1:] > at[:-1]] - 1
+    odd[ends] |= blank[ends]
+    odd[at[:-1][at[1:] > at[:-1]]] |= blank[at[:-1][at[1:] > at[:-1]]]
+    sums = np.concatenate(([0], np.cumsum(odd)))
+    return sums[at[1:]] > sums[at[:-1]]
 
 
 def pack(ids: np.ndarray, starts: np.ndarray, names: list[int | None], before: int) -> bytes:
@@ -190,9 +223,7 @@ def write_segments(docs: DataFrame, tokenizer: str, path: str, end_id: int = END
 
         for batch in batches:
             for lo, hi, data, at in slices(batch.column(1)):
-                raw = data.tobytes()
-                texts = [raw[a:b].decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                for name, ids in zip(batch.column(0)[lo:hi].to_pylist(), encoder.encode(texts), strict=True):
+                for name, ids in zip(batch.column(0)[lo:hi].to_pylist(), encoder.encode(data, at), strict=True):
                     names.append(name)
                     held.append(ids + end)
                     sizes.append(sizes[-1] + len(ids) // 4 + 1)

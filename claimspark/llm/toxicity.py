@@ -240,28 +240,32 @@ class Tagger:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """The chain from two thirds of the bounded sample and, on top of its marginals, a logistic regression of the labels of the last third.
+    """The chain from the whole bounded sample and, on top of its marginals, a logistic regression of the labels.
 
-    Without labelled documents of both kinds all scores are the label's share, or 0.
+    The regression sees each half of the sample through a chain that was fitted on the other half. Without labelled documents of both kinds all
+    scores are the label's share, or 0.
     """
     rows = sample(docs, labels)
     tokens = [WORD.findall(t.lower()) for t, _ in rows]
     y = np.array([v for _, v in rows], float)
-    third = np.arange(len(y)) % 3 == 2  # the sample is in the order of a hash
-    if any(len(set(part.tolist())) < 2 for part in (y[third], y[~third])):
-        third[:] = True  # too few for two parts
     if len(set(y.tolist())) < 2:
         rate = float(y.mean()) if len(y) else 0.0
         return Model({}, -3.0, np.zeros((2, 2)), np.array([math.log((rate + 1e-6) / (1 - rate + 1e-6)), 0, 0, 0]), rate)
-    chain = np.flatnonzero(~third if not third.all() else third)
-    own = [tokens[i] for i in chain]
-    model = fit_chain(own, y[chain], telling(own, y[chain]))
-    tagger = Tagger(model)
-    x, goal = np.array([tagger.aggregate(tokens[i])[2] for i in np.flatnonzero(third)]), y[third]
+    # the sample is in the order of a hash; each kind is dealt out in turn
+    half = np.zeros(len(y), bool)
+    for kind in (0, 1):
+        half[np.flatnonzero(y == kind)[::2]] = True
+    x = np.zeros((len(y), 4))
+    for own, other in ((half, ~half), (~half, half)):
+        some = [tokens[i] for i in np.flatnonzero(own)]
+        tagger = Tagger(fit_chain(some, y[own], telling(some, y[own]), rounds=25))
+        for i in np.flatnonzero(other):
+            x[i] = tagger.aggregate(tokens[i])[2]
+    model = fit_chain(tokens, y, telling(tokens, y))
     w, ridge = np.zeros(4), np.diag([1e-3, 0.1, 0.1, 0.1])
     for _ in range(25):  # Newton
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (goal - p) - ridge @ w)
+        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
     model.document = w
     return model
 
