@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -53,14 +54,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """Texts and labels to fit on: labelled documents that aren't held out, in the order of a hash; without repeats of a doc_id or of a text."""
-    one = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
-    rows = docs.select("doc_id", "text").where(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & (F.length("text") <= FIT_CHARACTERS))
-    ranked = rows.join(one, "doc_id").select("doc_id", "text", "_toxic", F.xxhash64("text").alias("h")).orderBy("h", "doc_id").limit(FIT_DOCUMENTS)
-    seen: dict[int, tuple[str, int]] = {}
-    for r in ranked.collect():  # FIT_DOCUMENTS at most
-        seen.setdefault(r["h"], (r["text"], r["_toxic"]))
-    return list(seen.values())
+    """Texts and labels to fit on, in the order of a hash; without repeats of a doc_id or of a text.
+
+    The labels that aren't held out are sampled first, by a hash, so that only the chosen documents' texts move.
+    """
+    one = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
+    chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCUMENTS).withColumnRenamed("doc_id", "_id")
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= FIT_CHARACTERS))
+    rows = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_toxic").limit(2 * FIT_DOCUMENTS)  # FIT_DOCUMENTS at most
+    seen: dict[str, tuple[int, int, int]] = {}
+    for r in rows.collect():
+        key = (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["_toxic"])
+        seen[r["text"]] = min(key, seen.get(r["text"], key))
+    return [(text, toxic) for text, (_, _, toxic) in sorted(seen.items(), key=lambda x: x[1])]
 
 
 def telling(tokens: list[list[str]], y: np.ndarray) -> dict[str, float]:
