@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 import zlib
@@ -96,6 +97,12 @@ class Encoder:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder, with what it remembers, serves all tasks that the worker runs."""
+    return Encoder(path)
+
+
 BLANK_LIKE = byte_set((0x09, 0x0D), (0x1C, 0x20))
 #: First bytes of all white space beyond ASCII, and of much else.
 WIDE_BLANK = byte_set((0xC2, 0xC2), (0xE1, 0xE3))
@@ -203,7 +210,7 @@ def write_segments(docs: DataFrame, tokenizer: str, path: str, end_id: int = END
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = encoder_of(tokenizer), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         names: list[int | None] = []
         held: list[bytes] = []
