@@ -24,6 +24,8 @@ BEGINNINGS, LEAST_DOCUMENTS, FEATURES = (3, 4, 5, 6, 7, 8, 9), 4, 3_000
 MARGIN = 2.0
 #: A document's repeats of a feature beyond this tell nothing more.
 REPEATS = 5
+#: Hashes by which copies in the sample are known.
+COPY_MARKS = 4
 #: Words of a training sequence.
 SEQUENCE = 48
 WORD = re.compile(r"[^\W_]+")
@@ -69,6 +71,22 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
     return [(text, toxic) for text, (_, _, toxic) in sorted(seen.items(), key=lambda x: x[1])]
 
 
+def without_copies(tokens: list[list[str]]) -> list[int]:
+    """Places of the documents that don't repeat an earlier one.
+
+    A copy shares one of its COPY_MARKS least hashes of three words in a row with the first; the words of one text in many copies would else all
+    seem to tell of its label.
+    """
+    seen: set[int] = set()
+    kept = []
+    for k, t in enumerate(tokens):
+        marks = sorted({zlib.crc32(" ".join(t[i : i + 3]).encode()) for i in range(len(t) - 2)})[:COPY_MARKS]
+        if not seen.intersection(marks):
+            kept.append(k)
+            seen.update(marks)
+    return kept
+
+
 def telling(tokens: list[list[str]], y: np.ndarray) -> dict[str, float]:
     """Features that are much likelier in toxic documents than in others, with their log odds against the base rate."""
     of: dict[str, list[str]] = {}
@@ -253,6 +271,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """
     rows = sample(docs, labels)
     tokens = [WORD.findall(t.lower()) for t, _ in rows]
+    kept = without_copies(tokens)
+    rows, tokens = [rows[k] for k in kept], [tokens[k] for k in kept]
     y = np.array([v for _, v in rows], float)
     if len(set(y.tolist())) < 2:
         rate = float(y.mean()) if len(y) else 0.0
