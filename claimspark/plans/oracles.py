@@ -145,10 +145,10 @@ select metric_raw, first_value(metric_raw) over (partition by f order by n desc,
         "q4_claims_by_ids": _sql("select claim_id, entity, value_canon from blocked where claim_id % 7 = 0", _CANON),
         "q6_relation_detail": _sql("select r.a_id, r.b_id, a.filename as a_filename, b.filename as b_filename, a.value_canon as a_value, b.value_canon as b_value from relations r join blocked a on a.claim_id = r.a_id join blocked b on b.claim_id = r.b_id where r.kind = 'contradicts' and r.cross_document", *_RELATED),
         "q10_entity_list": _sql("select e.entity, count(b.claim_id) as claims from (select lower(n_name) as entity from nation union select entity from blocked) e left join blocked b on b.entity = e.entity group by 1", _CANON),
-        "q16_answer_requests": _sql("""select request_id, entity_found, metric_found, c.claim_id, c.value_canon, case when c.claim_id is not null then null when entity_found is null then 'no entity matching ' || asked when fy = 2002 then 'could not read period some day' else 'no grounded claim for that entity, metric and period' end as reason from (
+        "q16_answer_requests": _sql("""select request_id, entity_found, metric_found, c.claim_id, c.value_canon, case when c.claim_id is not null then null when entity_found is null then 'no entity matching ' || asked when r.fy = 2002 then 'could not read period some day' else 'no grounded claim for that entity, metric and period' end as reason from (
 select n_nationkey * 10000 + fy as request_id, fy, case n_nationkey % 4 when 0 then n_name || ' Limited' when 1 then substr(n_name, 2) when 2 then n_name || ' isle' else n_name end as asked, (select min(metric_key) from blocked) as metric_found,
 case n_nationkey % 4 when 2 then null when 1 then (select entity from (select distinct entity from blocked) where contains(entity, lower(substr(n_name, 2))) order by length(entity), entity limit 1) else (select min(entity) from blocked where contains(entity, lower(n_name)) and length(entity) = (select min(length(entity)) from blocked where contains(entity, lower(n_name)))) end as entity_found
-from nation cross join (select unnest(generate_series(1995, 2002)) as fy)) r left join current_values c on fy <> 2002 and c.block_key = entity_found || '|' || metric_found || '|' || cast(fy - 1 as string) || '-04-01|' || cast(fy as string) || '-03-31'""", *_RELATED, _CURRENT),
+from nation cross join (select unnest(generate_series(1995, 2002)) as fy)) r left join current_values c on r.fy <> 2002 and c.block_key = entity_found || '|' || metric_found || '|' || cast(r.fy - 1 as string) || '-04-01|' || cast(r.fy as string) || '-03-31'""", *_RELATED, _CURRENT),
         "q17_parse_question_coordinates": _sql("select n_nationkey as request_id, lower(n_name) as entity, 'revenue' as metric, 'FY1998' as period from nation where n_nationkey % 5 <> 0 and lower(n_name) in (select entity from blocked)", _CANON),
         "g2_dominant_units": _sql("select metric_key, unit, case unit when 'pct' then 'rate' when 'count' then 'count' when 'x' then 'ratio' else 'amount' end as unit_class from units", _PARTS),
         "g3_registry_rows": _sql("select m.key, m.claim_count as claims, u.unit, coalesce(l.labels, '') as labels from metrics m left join units u on u.metric_key = m.key left join (select metric_key, string_agg(label, '|' order by rn) as labels from (select metric_key, label, row_number() over (partition by metric_key order by min(claim_id), label) as rn from registered where label is not null group by 1, 2) where rn <= 3 group by 1) l on l.metric_key = m.key", _PARTS),
@@ -180,7 +180,8 @@ on f.doc_id = s.doc_id and f.page_no between s.first and s.first + 3 group by s.
         "q8_quarantine_list": _sql("select claim_id, reason, case when reason = 'page_out_of_range' then 'page ' || cast(page_no as string) || ' of ' || cast(page_count as string) else left(quote, 200) end as detail from gated where reason is not null", *gate),
         "s2_dedup_by_content": "with a as (select doc_id as arrival, sha256(coalesce(text, '')) as sha256 from documents) select arrival, sha256, arrival = min(arrival) over (partition by sha256) and sha256 not in (select sha256 from a where arrival % 10 = 0) as is_new from a where arrival % 10 <> 0",
         "s3_admit_documents": "select doc_id as arrival, case when doc_id % 3 = 0 and not contains(left(coalesce(text, ''), 1024), '%PDF') then 'not a PDF' when doc_id % 5 = 0 then 'cannot be opened' when doc_id % 130 = 0 then 'no pages' when doc_id % 130 > 100 then 'too many pages' end as rejected from documents",
-        "s6_response_key": "select doc_id, sha256(unhex(lpad(hex(cast(octet_length(encode(l)) as bigint)), 16, '0')) || encode(l) || unhex(lpad(hex(cast(octet_length(encode(t)) as bigint)), 16, '0')) || encode(t)) as key from (select doc_id, coalesce(lang, '') as l, coalesce(text, '') as t from documents) where doc_id % 4 <> 1 and sha256(l || t) is not null",
+        "s6_response_key": """with keyed as (select doc_id, sha256(unhex(lpad(hex(cast(octet_length(encode(l)) as bigint)), 16, '0')) || encode(l) || unhex(lpad(hex(cast(octet_length(encode(t)) as bigint)), 16, '0')) || encode(t)) as key
+from (select doc_id, coalesce(lang, '') as l, coalesce(text, '') as t from documents)) select doc_id, key from keyed where key not in (select key from keyed where doc_id % 4 = 1)""",
         "s8_publish_and_verify": _sql("select t as table_name, n as source_rows, n as target_rows, 'ok' as outcome from (select 'documents' as t, count(*) as n from fx_documents union all select 'claims', count(*) from fx_claims union all select 'pages', count(*) from fx_pages)", *paged),
         "i1_incremental_documents": _sql(_REL, *_RELATED),
         "i2_stream_dedup": "select sha256(t) as sha256, octet_length(encode(t)) as n_bytes from (select distinct coalesce(text, '') as t from documents)",
