@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 from .components import components
-from .simhash import _Sets
+from .simhash import Forest
 
 #: Nearest pivots that describe a vector, and how many two vectors must share to be compared.
 PREFIX, SHARED = 8, 1
@@ -67,7 +67,7 @@ def _compare(table: pa.Table, threshold: float, shared: int) -> pa.Table:
     near = table["near"].combine_chunks().flatten().to_numpy().reshape(len(rep), -1)[order]
     left = np.flatnonzero(side == 0)
     right = left if same else np.flatnonzero(side == 1)
-    links, sets = np.zeros(len(rep), np.int64), _Sets(len(rep))
+    links, sets = np.zeros(len(rep), np.int64), Forest(len(rep))
     for lo in range(0, len(left), 256):
         rows = left[lo : lo + 256]
         a, b = np.nonzero(x[rows] @ x[right].T >= threshold)
@@ -82,15 +82,9 @@ def _compare(table: pa.Table, threshold: float, shared: int) -> pa.Table:
             u, v = u[ok], v[ok]
             np.add.at(links, u, n[v])
             np.add.at(links, v, n[u])
-            steps = np.unique(np.stack((u, v), 1)[np.concatenate(([True], u[1:] != u[:-1]))], axis=0) if len(u) else np.zeros((0, 2), int)
-            for s, t in steps.tolist():
-                sets.join(s, t)
-            # a row's linked neighbours, one after the other, connect what all its pairs connect
-            chain = u[1:] == u[:-1]
-            for s, t in np.unique(np.stack((v[:-1][chain], v[1:][chain]), 1), axis=0).tolist():
-                sets.join(s, t)
+            sets.join(u, v)
     at = np.flatnonzero(links)
-    return pa.table({"rep": rep[at], "low": rep[np.array([sets.find(k) for k in at.tolist()], np.int64)] if len(at) else np.zeros(0, np.int64), "links": links[at]})
+    return pa.table({"rep": rep[at], "low": rep[sets.roots(at)], "links": links[at]})
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, prefix: int = PREFIX, shared: int = SHARED, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -97,46 +97,40 @@ def shard_codes(blocks: np.ndarray, levels: int, block_radius: int) -> list[tupl
     return out
 
 
-class _Sets:
-    """Union-find over positions."""
+class Forest:
+    """Sets of positions that grow together; a set is named by its smallest position."""
 
     def __init__(self, n: int) -> None:
-        self.up = list(range(n))
+        self.up = np.arange(n)
 
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
+    def roots(self, x: np.ndarray) -> np.ndarray:
+        at = self.up[x]
+        while (more := self.up[at]).size and (more != at).any():
+            at = more
+        self.up[x] = at
+        return at
 
-    def join(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Joins each a with its b: roots hang themselves below smaller ones until all pairs agree."""
+        while len(a):
+            x, y = self.roots(a), self.roots(b)
+            apart = x != y
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(self.up, np.maximum(x, y), np.minimum(x, y))
 
 
-def _compare(at: np.ndarray, full: np.ndarray, radius: int, sets: _Sets) -> None:
+def _compare(at: np.ndarray, full: np.ndarray, radius: int, sets: Forest) -> None:
     """Joins all pairs of these rows that differ in `radius` bits at most, a band of rows at a time."""
     own = full[at]
-    for lo in range(0, len(at), 512):
-        here = own[lo : lo + 512]
+    band = max(16, 1_000_000 // max(1, len(at)))
+    for lo in range(0, len(at), band):
+        here = own[lo : lo + band]
         d = np.zeros((len(here), len(own) - lo), np.uint16)
         for k in range(own.shape[1]):
             d += np.bitwise_count(here[:, k, None] ^ own[None, lo:, k])
         i, j = np.nonzero(d <= radius)
-        keep = j > i
-        i, j = i[keep], j[keep]
-        if not len(i):
-            continue
-        # joining each row with the first and last it is near to, and neighbours in a row's list, has the same components as all its pairs
-        same = np.concatenate((i[1:] == i[:-1], [False]))
-        first = np.concatenate(([True], i[1:] != i[:-1]))
-        for a, b in zip(i[first].tolist(), j[first].tolist(), strict=True):
-            sets.join(int(at[lo + a]), int(at[lo + b]))
-        left, right = j[:-1][same[:-1]], j[1:][same[:-1]]
-        pairs = np.unique(left.astype(np.int64) * len(own) + right)
-        for x in pairs.tolist():
-            sets.join(int(at[lo + x // len(own)]), int(at[lo + x % len(own)]))
+        apart = j > i
+        sets.join(at[lo + i[apart]], at[lo + j[apart]])
 
 
 def search_shard(full: np.ndarray, block: int, radius: int, block_radius: int) -> np.ndarray:
@@ -145,7 +139,7 @@ def search_shard(full: np.ndarray, block: int, radius: int, block_radius: int) -
     The tree goes on inside the shard with vantage points taken from its rows, each node cut where fewest rows lie on the border; nodes
     that no cut makes much smaller are compared outright, in bands.
     """
-    seen, sets = _blocks(full)[:, block], _Sets(len(full))
+    seen, sets = _blocks(full)[:, block], Forest(len(full))
     words64 = np.ascontiguousarray(full).view(np.uint64)
     todo = [(np.arange(len(full)), 0)]
     while todo:
@@ -164,7 +158,7 @@ def search_shard(full: np.ndarray, block: int, radius: int, block_radius: int) -
             _compare(at, words64, radius, sets)
             continue
         todo += [(at[d <= m + block_radius], depth + 1), (at[d > m], depth + 1)]
-    return np.array([sets.find(x) for x in range(len(full))])
+    return sets.roots(np.arange(len(full)))
 
 
 def near_links(classes: DataFrame, lanes: int, radius: int, block_radius: int) -> DataFrame:
