@@ -23,7 +23,7 @@ ROWS_PER_PART = 4_000
 SEGMENT_IDS = 250_000
 MAGIC, LEVEL_BITS, BLOCK_BITS = b"DAC1", 8, 512
 #: Pieces of text after which a worker puts away those it remembers; it forgets those put away before.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 500_000
 
 
 class Encoder:
@@ -39,6 +39,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.model._resize_cache(0)  # pieces come once; they are remembered here
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes_of[i] = len(token)
@@ -76,8 +77,7 @@ class Encoder:
         if len(self.ids) > CACHE_PIECES:
             self.older, self.ids = self.ids, {}
         known, older, new, stopped = self.ids, self.older, [], []
-        unknown = set(chain.from_iterable(x[1:] for x in parts if x)).difference(known)
-        for p in unknown:
+        for p in set(chain.from_iterable(x[1:] for x in parts if x)).difference(known):
             if (ids := older.get(p)) is not None:
                 known[p] = ids
             elif p[-1:] in self.stops and p[-2:-1].isalnum():  # a stop behind a letter or digit is a token of its own
@@ -93,7 +93,7 @@ class Encoder:
             if x is None:
                 out.append(self.plain(raw[bounds[k] : bounds[k + 1]]))
             else:
-                out.append((self.plain(x[0]) if x[0] else b"") + b"".join([known[p] for p in x[1:]]))
+                out.append((self.plain(x[0]) if x[0] else b"") + b"".join(map(known.__getitem__, x[1:])))
         return out
 
 
