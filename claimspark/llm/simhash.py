@@ -15,7 +15,7 @@ from .components import components
 
 SEED = 42
 #: Fingerprints that a shard of the forest holds about, before its task goes on splitting; and those that a leaf compares outright.
-SHARD_ROWS, LEAF_ROWS = 8_192, 256
+SHARD_ROWS, LEAF_ROWS = 8_192, 512
 #: Bits that a tree of the forest sees.
 BLOCK = 32
 
@@ -119,18 +119,18 @@ class Forest:
             np.minimum.at(self.up, np.maximum(x, y), np.minimum(x, y))
 
 
-def _compare(at: np.ndarray, full: np.ndarray, radius: int, sets: Forest) -> None:
-    """Joins all pairs of these rows that differ in `radius` bits at most, a band of rows at a time."""
-    own = full[at]
+def _compare(at: np.ndarray, seen: np.ndarray, full: np.ndarray, block_radius: int, radius: int, sets: Forest) -> None:
+    """Joins the pairs of these rows that differ in block_radius bits of the tree's block and in `radius` of all, a band of rows at a time."""
+    own, block = full[at], seen[at]
     band = max(16, 1_000_000 // max(1, len(at)))
     for lo in range(0, len(at), band):
-        here = own[lo : lo + band]
-        d = np.zeros((len(here), len(own) - lo), np.uint16)
-        for k in range(own.shape[1]):
-            d += np.bitwise_count(here[:, k, None] ^ own[None, lo:, k])
-        i, j = np.nonzero(d <= radius)
+        i, j = np.nonzero(np.bitwise_count(block[lo : lo + band, None] ^ block[None, lo:]) <= block_radius)
         apart = j > i
-        sets.join(at[lo + i[apart]], at[lo + j[apart]])
+        i, j = i[apart] + lo, j[apart] + lo
+        for start in range(0, len(i), 1_000_000):
+            x, y = i[start : start + 1_000_000], j[start : start + 1_000_000]
+            near = np.bitwise_count(own[x] ^ own[y]).sum(axis=1, dtype=np.uint16) <= radius
+            sets.join(at[x[near]], at[y[near]])
 
 
 def search_shard(full: np.ndarray, block: int, radius: int, block_radius: int) -> np.ndarray:
@@ -145,7 +145,7 @@ def search_shard(full: np.ndarray, block: int, radius: int, block_radius: int) -
     while todo:
         at, depth = todo.pop()
         if len(at) <= LEAF_ROWS:
-            _compare(at, words64, radius, sets)
+            _compare(at, seen, words64, block_radius, radius, sets)
             continue
         pick = int(mixed(np.array([len(at) * 31 + depth], np.uint64))[0] % np.uint64(len(at)))
         d = np.bitwise_count(seen[at] ^ seen[at[pick]])
@@ -155,7 +155,7 @@ def search_shard(full: np.ndarray, block: int, radius: int, block_radius: int) -
         cost = near.astype(float) ** 2 + far.astype(float) ** 2
         m = int(cost.argmin())
         if cost[m] > 0.8 * len(at) ** 2 or depth > 64:
-            _compare(at, words64, radius, sets)
+            _compare(at, seen, words64, block_radius, radius, sets)
             continue
         todo += [(at[d <= m + block_radius], depth + 1), (at[d > m], depth + 1)]
     return sets.roots(np.arange(len(full)))
