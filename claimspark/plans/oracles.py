@@ -173,6 +173,11 @@ on f.doc_id = s.doc_id and f.page_no between s.first and s.first + 3 group by s.
         "e8_replace_document": _sql("select metric_raw, count(*) as claim_count, min(label) as label, min(doc_id) as first_seen_doc from fx_claims where doc_id % 5 <> 0 group by 1"),
         "e9_document_outcome": _sql("select c.doc_id, count(t.claim_id) as claims, case when c.doc_id % 5 = 0 then 1 else 0 end as malformed, 'extracted' as status, case when count(t.claim_id) = 0 then 'no claims: ' || case when c.broken then 'MAX_TOKENS' else 'STOP' end end as reason from cut c left join trimmed t on t.doc_id = c.doc_id group by c.doc_id, c.broken", _RECORDS),
         "e10_pending_documents": _sql("select doc_id, ['queued', 'extracting', 'ready', 'failed', 'reconciling'][doc_id % 5 + 1] as status from fx_documents where doc_id % 5 in (0, 3) or (doc_id % 5 in (1, 4) and doc_id % 3 <> 0)"),
+        "v1_normalize_text": _sql(_spelled("select doc_id, page_no, NORM(text) as norm from fx_pages"), *paged),
+        "v4_with_neighbour_pages": _sql("select p.doc_id, p.page_no, length(b.text) as before, length(a.text) as after from fx_pages p left join fx_pages b on b.doc_id = p.doc_id and b.page_no = p.page_no - 1 and b.page_no % 5 <> 3 left join fx_pages a on a.doc_id = p.doc_id and a.page_no = p.page_no + 1 and a.page_no % 5 <> 3 where p.page_no % 5 <> 3", *paged),
+        "e6_apply_document_lines": _sql("select doc_id, case when doc_id % 3 = 0 then 'Report ' || cast(doc_id as string) end as title, case when doc_id % 5 = 0 then 'Someone else' else publisher end as publisher, published_at from fx_documents"),
+        "q14_match_entity": "with names as (select distinct lower(replace(c_name, '#', ' ')) as e from customer), asked as (select c_custkey, regexp_replace(c_name, 'Customer#0*([0-9])', '\\1') as a from customer) select c_custkey, (select e from names where contains(e, a) order by length(e), e limit 1) as entity_found from asked",
+        "q15_match_metric": "select n_nationkey, case n_nationkey % 3 when 2 then 'profit' else 'revenue' end as metric_found from nation",
         "v3_grade_quotes": _sql("select claim_id, status, grade, located_page, reason from gated", *gate),
         "v8_verify_stats": _sql("select doc_id, " + ", ".join(f"count(*) filter (where grade = '{g}') as {g}" for g in ("exact", "nearby", "tokens")) + ", count(*) filter (where status = 'quarantined') as quarantined, " + ", ".join(f"count(*) filter (where reason = '{r}') as {r}" for r in ("page_out_of_range", "no_text_layer", "quote_not_found")) + " from gated group by 1", *gate),
         "v9_reverify": _sql("select doc_id, " + ", ".join(f"count(*) filter (where grade = '{g}') as {g}" for g in ("exact", "nearby", "tokens")) + ", count(*) filter (where status = 'quarantined') as quarantined, " + ", ".join(f"count(*) filter (where reason = '{r}') as {r}" for r in ("page_out_of_range", "no_text_layer", "quote_not_found")) + " from gated group by 1", *gate),

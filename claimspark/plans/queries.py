@@ -502,6 +502,39 @@ def q8_quarantine_list(x: Fixtures) -> DataFrame:
     return gate.quarantine(_verified(x)).select("claim_id", "reason", "detail")
 
 
+@query
+def v1_normalize_text(x: Fixtures) -> DataFrame:
+    return x.pages().select("doc_id", "page_no", gate.normalize_text("text").alias("norm"))
+
+
+@query
+def v4_with_neighbour_pages(x: Fixtures) -> DataFrame:
+    rows = gate.with_neighbour_pages(x.pages().where("page_no % 5 <> 3"))
+    return rows.select("doc_id", "page_no", F.length("text_before").alias("before"), F.length("text_after").alias("after"))
+
+
+@query
+def e6_apply_document_lines(x: Fixtures) -> DataFrame:
+    """Every third document states a title, every fifth a publisher."""
+    line = F.to_json(F.struct(F.lit("document").alias("type"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Report "), F.col("doc_id").cast("string"))).alias("title"), F.when(F.col("doc_id") % 5 == 0, "Someone else").alias("publisher")))
+    replies = x.documents().select("doc_id", F.lit(1).alias("response_id"), line.alias("text"), F.lit("STOP").alias("finish_reason"))
+    return records.apply_document_lines(x.documents(), records.parse_claim_lines(replies)).select("doc_id", "title", "publisher", "published_at")
+
+
+@query
+def q14_match_entity(x: Fixtures) -> DataFrame:
+    asked = x.read("customer").select("c_custkey", F.concat(F.lit("Mr. "), F.regexp_replace("c_name", "Customer#0+(?=.)", "")).alias("entity"))
+    names = x.read("customer").select(words.entity_key(F.col("c_name")).alias("entity")).distinct()
+    return serve.match_entity(asked, names).select("c_custkey", "entity_found")
+
+
+@query
+def q15_match_metric(x: Fixtures) -> DataFrame:
+    claims = x.claims()
+    asked = x.read("nation").select("n_nationkey", F.element_at(words.strings(["Revenue", " revenues", "profit"]), F.col("n_nationkey") % 3 + 1).alias("metric"))
+    return serve.match_metric(asked, canon.metrics(claims, canon.resolve_metrics(claims, x.aliases()))).select("n_nationkey", "metric_found")
+
+
 # sources and sinks
 
 
