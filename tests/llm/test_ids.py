@@ -142,3 +142,27 @@ def test_shards_of_hard_rows(spark):
     rows = sharding.byte_shards(hard(spark)).collect()
     assert len(rows) == len(HARD)
     assert sharding.byte_shards(hard(spark).limit(0)).count() == 0
+
+
+def test_pipeline_links_every_similar_pair_and_no_other(spark):
+    """Pairs of texts at a known similarity of their runs of five words, whose fingerprints differ in every block."""
+    import corpus_pipeline
+
+    rows, want = [], set()
+    for k in range(400):
+        shared = [f"p{k}w{i}" for i in range(84)]
+        more = 18 if k % 2 else 28  # 80 common runs and 18 or 28 others: 0.816 or 0.741
+        rows += [(2 * k, " ".join(shared)), (2 * k + 1, " ".join([*shared, *(f"p{k}x{i}" for i in range(more))]))]
+        want |= {2 * k} if k % 2 else {2 * k, 2 * k + 1}
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_copies_out(spark, frame, "").collect()} == want
+
+
+def test_similar_sets_against_all_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 14, n)).astype(np.uint64) for n in rng.integers(1, 40, 150)]
+    links = [(a, b) for a in range(150) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+    top = find(links, range(150))
+    assert links and simhash.similar_sets(sets, 0.8).tolist() == [top[i] for i in range(150)]
