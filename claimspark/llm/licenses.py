@@ -39,8 +39,8 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under the creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
     ("cc0", "dedicated to the public domain under cc0 1 0 universal", "cc0 1"),
 )
-#: Rare words that a file looks up, the weight of a template that must line up, and that for a label.
-RARE_WORDS, CANDIDATE, ACCEPT = 16, 0.3, 0.6
+#: The weight of a template that must line up for a label.
+ACCEPT = 0.6
 
 
 def _hash(word: str) -> int:
@@ -88,46 +88,47 @@ def inverse_frequencies(docs: DataFrame) -> dict[str, float]:
 
 
 class Index:
-    """Postings word -> (template, place), with the words' weights."""
+    """For each template its words, their weights, and the rarest word of its key phrase, by which it is looked up."""
 
     def __init__(self, idf: dict[str, float]) -> None:
         self.weight = np.array([idf[w] for w in WORD_AT])
-        self.templates = [text.split() for _, text, _ in TEMPLATES]
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
         number = {w: k for k, w in enumerate(WORD_AT)}
-        self.coded = [[number[w] for w in t] for t in self.templates]
-        self.total = [float(sum(self.weight[k] for k in t)) for t in self.coded]
-        self.keys = []
-        for t, (coded, (_, _, phrase)) in enumerate(zip(self.coded, TEMPLATES, strict=True)):
-            for at, k in enumerate(coded):
-                self.postings[k].append((t, at))
+        self.coded = [np.array([number[w] for w in text.split()]) for _, text, _ in TEMPLATES]
+        self.total = [float(self.weight[c].sum()) for c in self.coded]
+        self.keys, self.rarest = [], []
+        for coded, (_, _, phrase) in zip(self.coded, TEMPLATES, strict=True):
             key = [number[w] for w in phrase.split()]
-            self.keys.append((next(i for i in range(len(coded)) if coded[i : i + len(key)] == key), key))
-        #: A word must be rarer than one document in four, or tell nothing of a licence.
-        self.floor = float(np.log(4))
-
-    def scan(self, places: list[int], numbers: list[int]) -> dict[str, float]:
-        """Label -> share of the template's weight that lines up, of one file's licence words."""
-        there = dict(zip(places, numbers, strict=True))
-        rare = sorted({k for k in numbers if self.weight[k] > self.floor}, key=lambda k: (-self.weight[k], k))[:RARE_WORDS]
-        if not rare:
-            return {}
-        votes: dict[tuple[int, int], float] = defaultdict(float)
-        look = set(rare)
-        for at, k in there.items():
-            if k in look:
-                for t, i in self.postings[k]:
-                    votes[t, at - i] += self.weight[k]
-        found: dict[str, float] = {}
-        for (t, shift), w in votes.items():
-            if w < CANDIDATE * self.total[t]:
-                continue
-            at, key = self.keys[t]
-            if any(there.get(shift + at + i) != k for i, k in enumerate(key)):
-                continue
-            share = sum(self.weight[k] for i, k in enumerate(self.coded[t]) if there.get(shift + i) == k) / self.total[t]
-            if share >= ACCEPT:
-                found[TEMPLATES[t][0]] = max(found.get(TEMPLATES[t][0], 0.0), share)
+            at = next(i for i in range(len(coded)) if coded[i : i + len(key)].tolist() == key)
+            self.keys.append((at, key))
+            self.rarest.append(at + int(self.weight[key].argmax()))
+
+    def scan(self, places: np.ndarray, numbers: np.ndarray, offsets: np.ndarray) -> dict[int, dict[str, float]]:
+        """Row -> label -> share of the template's weight that lines up, of the licence words of a slice.
+
+        A template counts only where its whole key phrase stands, so that the places of one word of the phrase, however common, are all
+        the places where the template can be.
+        """
+        found: dict[int, dict[str, float]] = defaultdict(dict)
+        code = np.full(int(offsets[-1]), -1)
+        code[places] = numbers
+        order = np.argsort(numbers, kind="stable")
+        bounds = np.searchsorted(numbers[order], np.arange(len(WORD_AT) + 1))
+        for (label, _, _), coded, total, (key_at, key), rarest in zip(TEMPLATES, self.coded, self.total, self.keys, self.rarest, strict=True):
+            word = coded[rarest]
+            hits = places[order[bounds[word] : bounds[word + 1]]]
+            row = np.searchsorted(offsets, hits, "right") - 1
+            start = hits - rarest
+            for i, k in enumerate(key, key_at):
+                at = start + i
+                ok = (at >= offsets[row]) & (at < offsets[row + 1])
+                ok[ok] = code[at[ok]] == k
+                start, row = start[ok], row[ok]
+            for r, first in zip(row.tolist(), start.tolist(), strict=True):
+                lo, hi = max(first, int(offsets[r])), min(first + len(coded), int(offsets[r + 1]))
+                part = coded[lo - first : hi - first]
+                share = float(self.weight[part[code[lo:hi] == part]].sum()) / total
+                if share >= ACCEPT:
+                    found[r][label] = max(found[r].get(label, 0.0), share)
         return found
 
 
@@ -135,8 +136,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of each document.
 
     Words are runs of 0-9, a-z and bytes beyond ASCII after A-Z is lower-cased. Base: the places where a phrase of PHRASES stands. Beyond it,
-    a file's rarest licence words, by IDF over all documents, are looked up in the templates' postings; templates whose words line
-    up at one distance and whose key phrase stands there give their label, with the share of their weight that lines up. The score is
+    each template is looked up in the file's positions by the rarest word of its key phrase, by IDF over all documents; templates whose key
+    phrase stands there and whose words line up at one distance give their label, with the share of their weight that lines up. The score is
     the largest share, 1 for a base label. Null and empty texts have no words, no labels and score 0; repeated rows come out as often as they
     came; other columns are ignored; no rows give no rows.
     """
@@ -158,10 +159,7 @@ def scan(docs: DataFrame) -> DataFrame:
                         if i + k <= offsets[r + 1]:
                             base[r].append((i - int(offsets[r]), label))
                 places, numbers = _known(h)
-                row = np.searchsorted(offsets, places, "right") - 1
-                rare = np.unique(row[index.weight[numbers] > index.floor])
-                bounds = np.searchsorted(row, np.arange(len(n) + 1))
-                more = {r: index.scan((places[bounds[r] : bounds[r + 1]] - offsets[r]).tolist(), numbers[bounds[r] : bounds[r + 1]].tolist()) for r in rare.tolist()}
+                more = index.scan(places, numbers, offsets)
                 for r in range(len(n)):
                     own, found = base.get(r, []), more.get(r, {})
                     labels = {x for _, x in own}

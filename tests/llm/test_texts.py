@@ -272,3 +272,11 @@ def test_pipeline_stages(spark):
     assert set(kept["mixing"]) <= set(kept["decontamination"])
     rows = corpus_pipeline.token_ids_written(spark, docs, sf_dir)
     assert rows.count() == docs.count()
+
+
+def test_licenses_that_stand_in_most_files_are_found(spark):
+    texts = [(i, "Released under the BSD license." if i % 3 else "nothing of the kind") for i in range(30)]
+    rows = by_id(licenses.scan(spark.createDataFrame(texts, "doc_id bigint, text string")))
+    assert all(rows[i].labels == ("bsd" if i % 3 else "") for i in range(30))
+    one = licenses.scan(spark.createDataFrame([(1, "Dedicated to the public domain under CC0 1.0 Universal.")], "doc_id bigint, text string"))
+    assert one.collect()[0].labels == "cc0"
