@@ -280,3 +280,9 @@ def test_licenses_that_stand_in_most_files_are_found(spark):
     assert all(rows[i].labels == ("bsd" if i % 3 else "") for i in range(30))
     one = licenses.scan(spark.createDataFrame([(1, "Dedicated to the public domain under CC0 1.0 Universal.")], "doc_id bigint, text string"))
     assert one.collect()[0].labels == "cc0"
+
+
+def test_licenses_of_a_file_with_all_of_them(spark):
+    everything = " . x . ".join(text for _, text, _ in licenses.TEMPLATES)
+    frame = spark.createDataFrame([(1, everything), *((i, "nothing of the kind") for i in range(2, 200))], "doc_id bigint, text string")
+    assert by_id(licenses.scan(frame))[1].labels == ",".join(sorted({label for label, _, _ in licenses.TEMPLATES}))
