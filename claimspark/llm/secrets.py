@@ -32,12 +32,11 @@ SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "sec
 STAND_IN = re.compile(rb"(?i)example|changeme|placeholder|your[_-]|dummy|xxxx|\*\*\*\*|<[^>]*>|\$\{|todo|redacted")
 #: A literal's score is its name's weight times how unlike words it is; at least this makes a span.
 ACCEPT = 0.45
-TARGET = re.compile(rb"""["']?([A-Za-z_][A-Za-z0-9_.$-]*)["'\]]?[\x20\t]*$""")
+#: A name and what may stand after it, both read backwards from the operator.
+TARGET = re.compile(rb"""[\x20\t]*["'\]]?([A-Za-z0-9_.$-]*[A-Za-z_])""")
 LITERAL = re.compile(rb"""(?:[bru]?"((?:[^"\\\n]|\\.)*)"|[bru]?'((?:[^'\\\n]|\\.)*)')""")
 BARE = re.compile(rb"""([A-Za-z0-9+/_.=~@!-]+)""")
 JOIN = re.compile(rb"[\x20\t]*\+[\x20\t]*")
-#: Bytes before an operator in which its name must stand.
-NAME_BYTES = 128
 
 
 def name_weight(name: bytes) -> float:
@@ -85,24 +84,25 @@ def assignments(text: bytes, operators: list[int]) -> Iterator[tuple[bytes, byte
     A name that was given a literal stands for it in later assignments of the same text.
     """
     constants: dict[bytes, tuple[bytes, int, int]] = {}
-    for at in operators:
+    for k, at in enumerate(operators):
         if text[at - 1 : at] in (b"=", b":", b"!", b"<", b">") or text[at + 1 : at + 2] == b"=" and text[at : at + 1] == b"=":
             if not (text[at - 1 : at] == b":" and text[at : at + 1] == b"="):
                 continue
-        head = text[max(0, at - NAME_BYTES) : at]
-        head = head[head.rfind(b"\n") + 1 :].removesuffix(b":")
-        name = TARGET.search(head)
-        if not name:
+        end = at - (text[at - 1 : at] == b":")
+        before = k - 1 - (end < at)  # names hold no operators
+        found_name = TARGET.match(text[operators[before] + 1 if before >= 0 else 0 : end][::-1])
+        if not found_name:
             continue
+        name = found_name[1][::-1]
         i = at + 1
         while text[i : i + 1] in (b" ", b"\t", b"=") and i < len(text):
             i += 1
         found = _value_at(text, i, constants)
         if found:
             value, start, end, quoted = found
-            if quoted and len(constants) < 10_000 or name[1] in constants:
-                constants[name[1]] = (value, start, end)
-            yield name[1], value, start, end, quoted
+            if quoted or name in constants:
+                constants[name] = (value, start, end)
+            yield name, value, start, end, quoted
 
 
 def spans_of(text: bytes, hex_runs: list[tuple[int, int]], operators: list[int]) -> dict[str, list[tuple[int, int]]]:

@@ -286,3 +286,14 @@ def test_licenses_of_a_file_with_all_of_them(spark):
     everything = " . x . ".join(text for _, text, _ in licenses.TEMPLATES)
     frame = spark.createDataFrame([(1, everything), *((i, "nothing of the kind") for i in range(2, 200))], "doc_id bigint, text string")
     assert by_id(licenses.scan(frame))[1].labels == ",".join(sorted({label for label, _, _ in licenses.TEMPLATES}))
+
+
+def test_secrets_with_many_constants_and_long_names():
+    def literals(text):
+        raw = text.encode()
+        return [raw[a:b].decode() for a, b in secrets.spans_of(raw, [], [i for i, c in enumerate(raw) if c in b"=:"])["literal"]]
+
+    many = "".join(f'n{i} = "v"\n' for i in range(10_001)) + 'base = "s3cr3t-Val9x"\ndb_password = base\n'
+    assert literals(many) == ["s3cr3t-Val9x"]
+    assert literals("password." + "x" * 300 + " = 'qW8#kd0!pZ3vT'") == ["qW8#kd0!pZ3vT"]
+    assert literals("auth_key" + " " * 300 + ":= 'A1b2C3d4E5f6G7h8'") == ["A1b2C3d4E5f6G7h8"]
