@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from .common import LOWER, byte_set, gram_hashes, mixed, prepare, slices, span_h
 WINDOW, LITERALS = 10, 6
 #: Items with fewer words than this have no window.
 LEAST = 6
+#: How words are read: as typed, with capitals as names; in lower case with numbers and units as slots; in lower case without slots.
+TYPED, FOLDED, EXACT = range(3)
 #: Bits of the filter that says which windows of documents are worth a look; its size is all that is sent to the tasks.
 FILTER_BITS = 1 << 22
 # fixed values: units of measurement that follow a number
@@ -31,11 +34,11 @@ _unit_bytes = np.frombuffer(_unit_text, np.uint8)
 UNIT_HASHES = np.sort(span_hashes(_unit_bytes, *words(_unit_bytes, np.array([0, len(_unit_bytes)]), WORD_BYTES)[:2]))
 
 
-def template(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def template(data: np.ndarray, at: np.ndarray, form: int = TYPED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends, hashes, slot marks of the words of all texts, and the offsets of each text's words.
 
     Words are runs of letters, digits and bytes beyond ASCII; a point or comma between digits belongs to the number. A word with a digit is a
-    number; a known unit after a number is a unit; a capitalised word that doesn't open a sentence is a name; all else counts in lower case.
+    number; a known unit after a number is a unit; a capitalised word that doesn't open a sentence is a name; all else counts in lower case. FOLDED has no names, EXACT no slots at all.
     """
     inside = WORD_BYTES[data]
     digit = DIGIT[data]
@@ -47,6 +50,8 @@ def template(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if not len(starts):
         return starts, ends, np.zeros(0, np.uint64), np.zeros(0, bool), offsets
     h = span_hashes(LOWER[data], starts, ends)
+    if form == EXACT:
+        return starts, ends, h, np.zeros(len(h), bool), offsets
     digits = np.concatenate(([0], np.cumsum(digit)))
     number = digits[ends] > digits[starts]
     first = np.zeros(len(starts), bool)
@@ -55,16 +60,18 @@ def template(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     opens = first | np.concatenate(([True], stops[starts[1:]] > stops[ends[:-1]]))
     after = np.minimum(starts + 1, len(data) - 1)
     capital = UPPER[data[starts]] | ((data[starts] == 0xC3) & (data[after] >= 0x80) & (data[after] <= 0x9E))
-    name = capital & ~opens & ~number
+    name = capital & ~opens & ~number & (form == TYPED)
     unit = np.isin(h, UNIT_HASHES) & np.concatenate(([False], number[:-1])) & ~first
     h[number], h[name], h[unit] = NUMBER, NAME, UNIT
     return starts, ends, h, number | name | unit, offsets
 
 
-def windows(texts: pa.Array, size: int, exact: bool) -> Iterator[tuple[int, np.ndarray, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def windows(texts: pa.Array, size: int, exact: bool, form: int = TYPED) -> Iterator[tuple[int, np.ndarray, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each slice: first row, bytes, starts, ends, slot marks, window places and hashes, row of each window. exact: texts of just that size only."""
+    if form != TYPED:
+        texts = pc.utf8_lower(texts)
     for lo, _, data, at in slices(texts):
-        starts, ends, h, slot, offsets = template(data, at)
+        starts, ends, h, slot, offsets = template(data, at, form)
         if len(h) < size:
             continue
         grams = gram_hashes(h, size)
@@ -79,8 +86,8 @@ def windows(texts: pa.Array, size: int, exact: bool) -> Iterator[tuple[int, np.n
         yield lo, data, starts, ends, slot, at_, grams[at_], row[at_], offsets
 
 
-def _rows(batch: pa.RecordBatch, size: int, exact: bool, wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    for lo, data, starts, ends, slot, places, grams, row, offsets in windows(batch.column(1), size, exact):
+def _rows(batch: pa.RecordBatch, size: int, exact: bool, wanted: np.ndarray | None, form: int) -> Iterator[pa.RecordBatch]:
+    for lo, data, starts, ends, slot, places, grams, row, offsets in windows(batch.column(1), size, exact, form):
         if wanted is not None:
             bit = grams % np.uint64(FILTER_BITS)
             hit = (wanted[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
@@ -98,12 +105,12 @@ def _rows(batch: pa.RecordBatch, size: int, exact: bool, wanted: np.ndarray | No
         )
 
 
-def _windows_of(rows: DataFrame, id_col: str, size: int, exact: bool = False, wanted: object = None) -> DataFrame:
+def _windows_of(rows: DataFrame, id_col: str, size: int, exact: bool = False, wanted: object = None, form: int = TYPED) -> DataFrame:
     kind = rows.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _rows(batch, size, exact, wanted.value if wanted is not None else None)
+            yield from _rows(batch, size, exact, wanted.value if wanted is not None else None, form)
 
     return rows.select(F.col(id_col), "text").mapInArrow(run, f"id {kind}, place bigint, template string, slots array<string>, gram bigint")
 
@@ -112,7 +119,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     """(doc_id, item_id, n_windows, n_slots, n_changed, exact) for each document that holds a benchmark item's window.
 
     Windows of `window` words, at least 6 of which are no slots, are joined on their template; an item that is shorter, down to 6 words, is
-    one window of its own length. Windows of a document and an item with the same distance between their places belong to one alignment,
+    one window of its own length. The same is done in lower case (of all alphabets) with numbers and units as the only slots, and in lower
+    case without slots, where windows need no literals, so that capitals and full stops hide nothing. Windows of a document and an item with the same distance between their places belong to one alignment,
     in which each value of the item's slots must stand for one value of the document's; other alignments are dropped. exact: no value
     differs. The largest alignment counts. Before the join, windows of documents are held against a filter of FILTER_BITS bits
     made from the benchmark's, which only lets more through when the benchmark is large. Null and empty texts match nothing, null ids are
@@ -121,8 +129,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     spark = prepare(docs.sparkSession)
     items = benchmark.select(F.col("item_id"), "text").dropDuplicates()
     found = []
-    for size in range(LEAST, window + 1):
-        own = _windows_of(items, "item_id", size, exact=size < window).checkpoint()
+    for form, size in [(form, size) for form in (TYPED, FOLDED, EXACT) for size in range(LEAST, window + 1)]:
+        own = _windows_of(items, "item_id", size, exact=size < window, form=form).checkpoint()
         # FILTER_BITS is a power of two, so that the remainder of a signed number's bits is that of the unsigned one
         bits = own.select(F.pmod("gram", F.lit(FILTER_BITS)).alias("bit")).distinct().collect()  # FILTER_BITS at most
         if not bits and size < window:
@@ -130,15 +138,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
         wanted = np.zeros(FILTER_BITS // 8, np.uint8)
         for (bit,) in bits:
             wanted[bit >> 3] |= np.uint8(1 << (bit & 7))
-        theirs = _windows_of(docs, "doc_id", size, wanted=spark.sparkContext.broadcast(wanted))
+        theirs = _windows_of(docs, "doc_id", size, wanted=spark.sparkContext.broadcast(wanted), form=form)
         own = own.select(F.col("id").alias("item_id"), F.col("place").alias("_place"), F.col("template").alias("_template"), F.col("slots").alias("_slots"))
         both = theirs.join(own, F.col("template") == F.col("_template"))
-        found.append(both.select(F.col("id").alias("doc_id"), "item_id", (F.col("place") - F.col("_place")).alias("shift"), "place", F.arrays_zip(F.col("_slots").alias("item"), F.col("slots").alias("doc")).alias("pairs")))
+        found.append(both.select(F.col("id").alias("doc_id"), "item_id", F.lit(form).alias("form"), (F.col("place") - F.col("_place")).alias("shift"), "place", F.arrays_zip(F.col("_slots").alias("item"), F.col("slots").alias("doc")).alias("pairs")))
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionByName(more)
     # the pairs of an alignment are no more than the item's slots times the rows that repeat its document's id
-    lined = rows.groupBy("doc_id", "item_id", "shift").agg(F.count_distinct("place").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    lined = rows.groupBy("doc_id", "item_id", "form", "shift").agg(F.count_distinct("place").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     lined = lined.withColumn("n_slots", F.size(F.array_distinct(F.col("pairs.item")))).where(F.size("pairs") == F.col("n_slots"))
     lined = lined.withColumn("n_changed", F.size(F.filter("pairs", lambda p: ~p["item"].eqNullSafe(p["doc"]))))
     best = lined.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", (-F.col("n_changed")).alias("c"), "n_slots")).alias("m"))

@@ -297,3 +297,12 @@ def test_secrets_with_many_constants_and_long_names():
     assert literals(many) == ["s3cr3t-Val9x"]
     assert literals("password." + "x" * 300 + " = 'qW8#kd0!pZ3vT'") == ["qW8#kd0!pZ3vT"]
     assert literals("auth_key" + " " * 300 + ":= 'A1b2C3d4E5f6G7h8'") == ["A1b2C3d4E5f6G7h8"]
+
+
+def test_op5_finds_items_in_any_case(spark):
+    item = "every évening the old miller counts 12 sacks of flour and writes them down in a small book"
+    texts = [item.upper(), item.title(), item.upper().replace("12", "31"), item.replace("old ", "old. "), "nothing of it"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    rows = {r.doc_id: r for r in decontaminate.matches(frame, items).collect()}
+    assert set(rows) == {0, 1, 2, 3} and rows[0].exact and rows[1].exact and not rows[2].exact
