@@ -306,3 +306,10 @@ def test_op5_finds_items_in_any_case(spark):
     items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
     rows = {r.doc_id: r for r in decontaminate.matches(frame, items).collect()}
     assert set(rows) == {0, 1, 2, 3} and rows[0].exact and rows[1].exact and not rows[2].exact
+
+
+def test_op5_finds_exact_items_that_are_mostly_slots(spark):
+    item = "Add 12 kg 7 kg 31 kg 5 kg 8 kg 9 kg"
+    frame = spark.createDataFrame([(1, "Now: " + item + ". Done."), (2, item.upper())], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    assert {r.doc_id for r in decontaminate.matches(frame, items).collect()} == {1, 2}
