@@ -5,27 +5,55 @@ The rules are batch rules, so that results don't depend on the order in which cl
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimspark.functions.periods import with_period
 from claimspark.functions.words import bare_scale, basis_canon, entity_key, measure_family, money_like, page_currency, parse_unit, parse_value, precision_of, squash, stated, subject_name
 
+#: Rounds in which chains of aliases are followed; n rounds follow 2 ** n aliases.
+ALIAS_DOUBLINGS = 3
+
+
+def first_owners(ids: DataFrame, owners: DataFrame) -> DataFrame:
+    """(claim_id, owner): of a claim's identifiers (claim_id, pos, k, v), the first whose owner is an earlier claim."""
+    return ids.join(owners, ["k", "v"]).where("owner < claim_id").groupBy("claim_id").agg(F.min_by("owner", "pos").alias("owner"))
+
+
+def identifiers(claims: DataFrame) -> DataFrame:
+    """(claim_id, pos, k, v) of each identifier that says something; values count whatever their case."""
+    ids = claims.select("claim_id", F.posexplode(F.map_entries("keys")).alias("pos", "e"))
+    return ids.select("claim_id", "pos", F.col("e.key").alias("k"), F.lower("e.value").alias("v")).where("coalesce(v, '') <> ''")
+
+
+def follow_owners(pointers: DataFrame) -> DataFrame:
+    """(claim_id, owner) with each owner replaced by the last of its chain. Owners are earlier claims, so that chains end; each round doubles the steps."""
+    rows = pointers.select("claim_id", "owner").checkpoint()
+    while True:
+        further = rows.select(F.col("claim_id").alias("_c"), F.col("owner").alias("_next"))
+        rows = rows.select("claim_id", "owner").join(further, F.col("owner") == F.col("_c"), "left").select("claim_id", F.coalesce("_next", "owner").alias("owner"), F.col("_next").isNotNull().alias("_moved")).checkpoint()
+        if rows.where("_moved").isEmpty():
+            return rows.select("claim_id", "owner")
+
+
+def own_name() -> Column:
+    return entity_key(subject_name(F.col("subject"), F.col("publisher")))
+
 
 def resolve_entities(claims: DataFrame) -> DataFrame:
-    """(claim_id, entity) of claims (claim_id, subject, publisher, keys map).
+    """(claim_id, entity, root, own) of claims (claim_id, subject, publisher, keys map).
 
     The owner of an identifier is the lowest claim_id that carries it. A claim takes the entity of the owner of the first of its
-    identifiers whose owner is an earlier claim, followed one step further; without one, its own name's key.
+    identifiers whose owner is an earlier claim, and so does that owner: the root is the claim at the end of this chain, whose own name's key is
+    the entity. A claim without such an identifier is its own root.
     """
-    named = claims.select("claim_id", entity_key(subject_name(F.col("subject"), F.col("publisher"))).alias("_own"), "keys")
-    ids = named.select("claim_id", F.posexplode(F.map_entries("keys")).alias("pos", "e")).select("claim_id", "pos", F.col("e.key").alias("k"), F.lower("e.value").alias("v")).where("coalesce(v, '') <> ''")
+    named = claims.select("claim_id", own_name().alias("own"), "keys")
+    ids = identifiers(named)
     owners = ids.groupBy("k", "v").agg(F.min("claim_id").alias("owner"))
-    first = ids.join(owners, ["k", "v"]).where("owner < claim_id").groupBy("claim_id").agg(F.min_by("owner", "pos").alias("owner"))
-    second = first.select(F.col("claim_id").alias("_c"), F.col("owner").alias("_second"))
-    final = first.join(second, F.col("owner") == F.col("_c"), "left").select("claim_id", F.coalesce("_second", "owner").alias("_owner"))
-    names = named.select(F.col("claim_id").alias("_n"), F.col("_own").alias("_theirs"))
-    return named.join(final, "claim_id", "left").join(names, F.col("_owner") == F.col("_n"), "left").select("claim_id", F.coalesce("_theirs", "_own").alias("entity"))
+    roots = follow_owners(first_owners(ids, owners)).withColumnRenamed("owner", "_root")
+    names = named.select(F.col("claim_id").alias("_n"), F.col("own").alias("_theirs"))
+    rows = named.drop("keys").join(roots, "claim_id", "left").join(names, F.col("_root") == F.col("_n"), "left")
+    return rows.select("claim_id", F.coalesce("_theirs", "own").alias("entity"), F.coalesce("_root", "claim_id").alias("root"), "own")
 
 
 def entities(claims: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -36,14 +64,25 @@ def entities(claims: DataFrame, resolved: DataFrame) -> DataFrame:
     return one.groupBy("entity").agg(pairs.alias("p")).select("entity", F.when(F.exists("p", lambda x: x["k"].isin("din", "pan")), "person").alias("kind"), F.map_from_entries("p").alias("keys"))
 
 
-def resolve_metrics(claims: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(metric_raw, metric_key): a stored alias first, then the most claimed key of the plural family, the smallest of equals."""
-    counts = claims.groupBy("metric_raw").agg(F.count(F.lit(1)).alias("n"))
-    stored = aliases.select(F.col("alias").alias("_a"), F.col("key").alias("_k")).where("_a <> _k")
-    live = counts.join(stored, F.col("metric_raw") == F.col("_a"), "left").withColumn("_key", F.coalesce("_k", "metric_raw"))
-    total = live.groupBy("_key").agg(F.sum("n").alias("n")).withColumn("_family", measure_family(F.col("_key")))
+def metric_keys(counts: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(metric_raw, metric_key) of counts (metric_raw, n): a stored alias first, then the most claimed key of the plural family, the smallest of equals.
+
+    An alias that is stored under several keys counts for the smallest, and an alias of an alias is followed; aliases that lead in a circle stay where they are after as
+    many steps as there are doublings.
+    """
+    stored = aliases.where("alias <> key").groupBy("alias").agg(F.min("key").alias("key"))
+    for _ in range(ALIAS_DOUBLINGS):
+        further = stored.select(F.col("alias").alias("_a"), F.col("key").alias("_k"))
+        stored = stored.join(further, F.col("key") == F.col("_a"), "left").select("alias", F.coalesce("_k", "key").alias("key"))
+    stored = stored.select(F.col("alias").alias("_a"), F.col("key").alias("_k"))
+    live = counts.join(stored, F.col("metric_raw") == F.col("_a"), "left").select("metric_raw", "n", F.coalesce("_k", "metric_raw").alias("_key")).withColumn("_family", measure_family(F.col("_key"))).checkpoint()
+    total = live.groupBy("_family", "_key").agg(F.sum("n").alias("n"))
     best = total.groupBy("_family").agg(F.min_by("_key", F.struct((-F.col("n")).alias("n"), "_key")).alias("metric_key"))
-    return live.withColumn("_family", measure_family(F.col("_key"))).join(best, "_family").select("metric_raw", "metric_key")
+    return live.join(best, "_family").select("metric_raw", "metric_key")
+
+
+def resolve_metrics(claims: DataFrame, aliases: DataFrame) -> DataFrame:
+    return metric_keys(claims.groupBy("metric_raw").agg(F.count(F.lit(1)).alias("n")), aliases)
 
 
 def metrics(claims: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -70,14 +109,24 @@ def canonicalise_claims(claims: DataFrame, documents: DataFrame, aliases: DataFr
     """Verified claims with their canonical coordinates and block_key; those already in `done` are left out.
 
     A claim with a number needs a unit and a period for a block 'entity|metric|start|end'; one with text is in 'entity|metric' whatever its period; all
-    others are in none.
+    others are in none. The claims are written down first: entities, metrics, periods and the rows themselves are each read from there.
     """
-    published = documents.select(F.col("doc_id").alias("_d"), "publisher", "published_at")
-    rows = claims.where("status = 'verified'").join(published, F.col("doc_id") == F.col("_d"), "left").drop("_d")
+    claims = claims.checkpoint()
+    rows = with_publishers(claims.where("status = 'verified'"), documents)
     entity, metric = resolve_entities(rows), resolve_metrics(claims, aliases)
-    rows = with_period(rows.join(entity, "claim_id").join(metric, "metric_raw"))
     if done is not None:
         rows = rows.join(done.select("claim_id"), "claim_id", "left_anti")
+    return coordinates(rows.join(entity.select("claim_id", "entity"), "claim_id").join(metric, "metric_raw"), pages)
+
+
+def with_publishers(claims: DataFrame, documents: DataFrame) -> DataFrame:
+    published = documents.select(F.col("doc_id").alias("_d"), "publisher", "published_at")
+    return claims.join(published, F.col("doc_id") == F.col("_d"), "left").drop("_d")
+
+
+def coordinates(rows: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Claims whose entity and metric_key are known, with all other coordinates and the block."""
+    rows = with_period(rows)
     rows = rows.withColumn("_u", parse_unit(F.col("unit_raw"))).withColumns({"unit_canon": F.col("_u.unit"), "_scale": F.col("_u.scale"), "_number": parse_value(F.col("value_raw"))}).drop("_u")
     if pages is not None:
         rows = rescue_currency(rows, pages)

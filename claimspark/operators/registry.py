@@ -65,4 +65,4 @@ def validate_merges(proposals: DataFrame, metrics: DataFrame, aliases: DataFrame
 
 def applied_aliases(validated: DataFrame, aliases: DataFrame) -> DataFrame:
     """The alias table with the applied merges; canonicalising with it re-keys all claims and merges their blocks."""
-    return aliases.select("alias", "key").unionByName(validated.where("outcome = 'applied'").select("alias", F.col("keep").alias("key")))
+    return aliases.select("alias", "key").unionByName(validated.where("outcome = 'applied'").select("alias", F.col("keep").alias("key"))).distinct()

@@ -52,11 +52,16 @@ def claims_by_ids(view: DataFrame, ids: DataFrame) -> DataFrame:
     return view.join(ids.select("claim_id").distinct(), "claim_id", "left_semi")
 
 
-def search_relations(relations: DataFrame, canon: DataFrame, kind: str | None = None, cross_only: bool = True, confidence: str | None = None, metric: str | None = None) -> DataFrame:
+def search_relations(relations: DataFrame, canon: DataFrame, kind: str | None = None, cross_only: bool = True, confidence: str | None = None, metric: str | None = None, doc_id: int | None = None) -> DataFrame:
+    """Relations with the metric of their first claim, by kind, confidence, metric, and a document that either claim is of. Page with `page`."""
     rows = relations.join(canon.select(F.col("claim_id").alias("a_id"), "metric_key"), "a_id")
     for column, value in (("kind", kind), ("confidence", confidence), ("metric_key", metric)):
         if value is not None:
             rows = rows.where(F.col(column) == value)
+    if doc_id is not None:
+        own = canon.where(F.col("doc_id") == doc_id).select("claim_id")
+        sides = rows.select("a_id", "b_id", F.explode(F.array("a_id", "b_id")).alias("claim_id")).join(own, "claim_id", "left_semi")
+        rows = rows.join(sides.select("a_id", "b_id").distinct(), ["a_id", "b_id"], "left_semi")
     return rows.where("cross_document") if cross_only else rows
 
 
@@ -127,16 +132,19 @@ def related_to_current(relations: DataFrame, current: DataFrame) -> DataFrame:
 def match_entity(requests: DataFrame, entities: DataFrame) -> DataFrame:
     """Requests with `entity_found`: the entity of that very name, else the shortest that holds it (then the first in order), else null.
 
-    Exact names are joined. Of the rest, the distinct names are looked up by their trigrams: an entity that holds a name holds its first three
-    letters, so that pairs come from one trigram and not from all entities; names under three letters use what they have.
+    Exact names are joined. Of the rest, the distinct names are looked up by their rarest run of three letters: an entity that holds a name holds all of
+    its runs, so that one which no entity has rules the name out, and else the rarest gives the fewest pairs. Names under three letters are runs themselves.
     """
     asked = requests.withColumn("_ask", entity_key(F.col("entity")))
     names = entities.select(F.col("entity").alias("_name"))
     exact = asked.select("_ask").distinct().join(names, F.col("_ask") == F.col("_name"), "left")
-    rest = exact.where("_name is null and _ask <> ''").select("_ask", F.substring("_ask", 1, 3).alias("_g"))
-    length = F.sequence(F.lit(1), F.length("_name"))
-    grams = names.select("_name", F.explode(F.array_distinct(F.flatten(F.transform(length, lambda i: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.substring(F.col("_name"), i, n)))))).alias("_g"))
-    inside = rest.join(grams, "_g").where(F.contains("_name", "_ask")).groupBy("_ask").agg(F.min_by("_name", F.struct(F.length("_name").alias("n"), "_name")).alias("_in"))
+    rest = exact.where("_name is null and _ask <> ''").select("_ask")
+    runs = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(n)))
+    grams = names.select("_name", F.explode(F.array_distinct(F.flatten(F.array(*[runs("_name", n) for n in (1, 2, 3)])))).alias("_g"))
+    counts = grams.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    theirs = rest.select("_ask", F.explode(F.array_distinct(runs("_ask", 3))).alias("_g")).join(counts, "_g", "left")
+    rarest = theirs.groupBy("_ask").agg(F.min_by("_g", F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_g")).alias("_g"))
+    inside = rarest.join(grams, "_g").where(F.contains("_name", "_ask")).groupBy("_ask").agg(F.min_by("_name", F.struct(F.length("_name").alias("n"), "_name")).alias("_in"))
     found = exact.join(inside, "_ask", "left").select("_ask", F.coalesce("_name", "_in").alias("entity_found"))
     return asked.join(found, "_ask", "left").drop("_ask")
 

@@ -61,14 +61,16 @@ featured as (select *, len(regexp_extract_all(text, '[^\\s]+')) as word_count, l
 _GATE = r"""quotes as (select doc_id * 10000 + page_no as claim_id, doc_id, page_no + doc_id % 4 - 1 as page_no, array_to_string(w[1:6], ' ') || case when doc_id % 7 = 0 then ' 98765' else '' end as quote
 from (select *, string_split(trim(regexp_replace(first_line, '\s+', ' ', 'g')), ' ') as w from fx_pages) where len(w) >= 3),
 normal as (select doc_id, page_no, text, NORM(text) as norm from fx_pages),
-asked as (select q.*, NORM(q.quote) as q, c.page_count, p.text, p.norm, b.norm as before, a.norm as after from quotes q join counted c on c.doc_id = q.doc_id left join normal p on p.doc_id = q.doc_id and p.page_no = q.page_no
+asked as (select q.*, NORM(q.quote) as q, c.page_count, p.text, b.text as text_before, a.text as text_after, p.norm, b.norm as before, a.norm as after from quotes q join counted c on c.doc_id = q.doc_id left join normal p on p.doc_id = q.doc_id and p.page_no = q.page_no
 left join normal b on b.doc_id = q.doc_id and b.page_no = q.page_no - 1 and p.page_no is not null left join normal a on a.doc_id = q.doc_id and a.page_no = q.page_no + 1 and p.page_no is not null),
 tokens as (select *, regexp_extract_all(q, '[0-9][0-9,]*[.]?[0-9]*') as n, regexp_extract_all(q, '[a-z]{3,}') as w from asked),
 graded as (select *, case when q = '' or norm is null then 9 when contains(norm, q) then 1 when contains(coalesce(before, ''), q) then 2 when contains(coalesce(after, ''), q) then 3
 when HAS(norm) then 4 when HAS(coalesce(before, '')) then 5 when HAS(coalesce(after, '')) then 6 else 9 end as g from tokens),
 gated as (select *, case when g in (1) then 'exact' when g in (2, 3) then 'nearby' when g in (4, 5, 6) then 'tokens' end as grade, page_no + case when g in (2, 5) then -1 when g in (3, 6) then 1 when g = 9 then null else 0 end as located_page,
 case when g < 9 then null when page_no < 1 or page_no > page_count then 'page_out_of_range' when trim(regexp_replace(text, '\s', '', 'g')) = '' then 'no_text_layer' else 'quote_not_found' end as reason,
-case when g < 9 then 'verified' else 'quarantined' end as status from graded)"""
+case when g < 9 then 'verified' else 'quarantined' end as status, lower(case when g in (2, 5) then text_before when g in (3, 6) then text_after when g in (1, 4) then text end) as place,
+array_to_string(list_transform(list_filter(string_split_regex(lower(quote), '\s+'), lambda t: t <> ''), lambda t: regexp_escape(t)), '[\s\S]{0,4}?') as chain from graded),
+spanned as (select *, case when place is not null then nullif(regexp_extract(place, chain), '') end as hit from gated)"""
 
 
 def _spelled(sql: str) -> str:
@@ -81,8 +83,9 @@ def _spelled(sql: str) -> str:
     return re.sub(r"NORM\(([\w.]+)\)", norm, sql)
 
 
+_REPLY = "'{\"type\":\"claim\",\"page\":' || cast(cast(right(period_raw, 2) as int) as string) || ',\"subject\":\"' || subject || '\",\"metric\":\"' || metric_raw || '\",\"label\":\"' || label || '\",\"value\":\"' || value_raw || '\",\"unit\":\"' || unit_raw || '\",\"period\":\"' || period_raw || '\"' || coalesce(',\"scope\":\"' || scope_raw || '\"', '') || ',\"basis\":\"' || basis_raw || '\",\"quote\":\"' || quote || '\",\"keys\":{' || coalesce('\"cin\":\"' || cin || '\"', '') || '}}'"
 _PRINTED = """printed as (select l_orderkey, l_linenumber, l_orderkey % 6 as s, cast(cast(round(l_extendedprice * 100) as bigint) // 100 as string) || '.' || lpad(cast(cast(round(l_extendedprice * 100) as bigint) % 100 as string), 2, '0') as p from lineitem)"""
-_PARTS = """registered as (select p_partkey as claim_id, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '_') || '_' || cast(p_size % 5 as string) as metric_key, p_name as label, case when p_size % 7 <> 0 then ['pct', 'INR', 'count', 'x'][p_partkey % 10 * length(p_type) % 4 + 1] end as unit_canon from part),
+_PARTS = """registered as (select p_partkey as claim_id, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '_') || '_' || cast(p_size % 5 as string) as metric_key, p_name as label, case when p_size % 7 <> 0 then ['pct', 'INR', 'count', 'x'][p_partkey % 10 * length(p_type) % 4 + 1] end as unit_canon, p_partkey as doc_id from part),
 metrics as (select metric_key as key, count(*) as claim_count from registered group by 1),
 units as (select metric_key, unit_canon as unit from (select metric_key, unit_canon, row_number() over (partition by metric_key order by count(*) desc, unit_canon) as rn from registered where unit_canon is not null group by 1, 2) where rn = 1),
 proposals as (select key as group_no, g.i as item_no, key as keep, left(key, length(key) - 1) || g.x as alias, 'alike' as why from metrics cross join (select 0 as i, '0' as x union all select 1, '2' union all select 2, '9') g where right(key, 1) in ('1', '3'))"""
@@ -140,10 +143,16 @@ select metric_raw, first_value(metric_raw) over (partition by f order by n desc,
         "q13_related_to_current": _sql("select r.block_key, c.claim_id as current_id, case when r.a_id = c.claim_id then r.b_id else r.a_id end as other_id, r.kind, r.explanation from relations r join current_values c on c.block_key = r.block_key and c.claim_id in (r.a_id, r.b_id) where r.kind <> 'supersedes'", *_RELATED, _CURRENT),
         "q7_relation_counts": _sql("select kind, cross_document, count(*) as n from relations group by 1, 2", *_RELATED),
         "q5_search_relations": _sql("select a_id, b_id, (select min(metric_key) from blocked) as metric_key, explanation from relations where kind = 'supersedes' and confidence = 'high' and cross_document", *_RELATED),
-        "q1_claim_view": _sql("select claim_id, filename, publisher, case when claim_id % 3 = 0 then 'tokens' else 'exact' end as grade, entity, value_canon, block_key, cast(null as string) as quarantine_reason from blocked", _CANON),
-        "q3_search_claims": _sql("select claim_id, entity, label from blocked where contains(entity, 'nation_1') and claim_id % 3 <> 0 and label = 'Truckload revenue'", _CANON),
-        "q4_claims_by_ids": _sql("select claim_id, entity, value_canon from blocked where claim_id % 7 = 0", _CANON),
-        "q6_relation_detail": _sql("select r.a_id, r.b_id, a.filename as a_filename, b.filename as b_filename, a.value_canon as a_value, b.value_canon as b_value from relations r join blocked a on a.claim_id = r.a_id join blocked b on b.claim_id = r.b_id where r.kind = 'contradicts' and r.cross_document", *_RELATED),
+        "q1_claim_view": _sql("select claim_id, filename, publisher, case when claim_id % 5 = 2 then 'quarantined' else 'verified' end as status, case when claim_id % 5 = 2 then null when claim_id % 3 = 0 then 'tokens' else 'exact' end as grade, case when claim_id % 5 <> 2 then 1 end as located_page, case when claim_id % 5 <> 2 then entity end as entity, case when claim_id % 5 <> 2 then value_canon end as value_canon, case when claim_id % 5 <> 2 then block_key end as block_key, case when claim_id % 5 = 2 then 'quote_not_found' end as quarantine_reason from blocked", _CANON),
+        "q3_search_claims_page": _sql("select claim_id, doc_id, case when claim_id % 3 = 0 then 'tokens' else 'exact' end as grade from blocked where claim_id % 5 <> 2 order by doc_id, claim_id limit 50 offset 50", _CANON),
+        "q5_search_relations_page": _sql("select a_id, b_id, kind, cross_document from relations where a_id // 1000 = (select min(doc_id) from fx_claims) or b_id // 1000 = (select min(doc_id) from fx_claims) order by kind, a_id, b_id limit 100", *_RELATED),
+        "q8_quarantine_page": _sql("select claim_id, doc_id, 'quote_not_found' as quarantine_reason from blocked where claim_id % 5 = 2 order by doc_id, claim_id limit 40 offset 3", _CANON),
+        "q9_metric_page": _sql("""select key, claim_count, filename from (select k.metric_key as key, count(*) as claim_count, min(r.doc_id) as first from registered r join (select metric_key as raw, first_value(metric_key) over (partition by f order by n desc, metric_key) as metric_key from (select metric_key, count(*) as n, array_to_string(list_transform(string_split(metric_key, '_'), lambda t: case when length(t) > 4 and ends_with(t, 'ies') then left(t, length(t) - 3) || 'y' when length(t) > 3 and ends_with(t, 's') then left(t, length(t) - 1) else t end), '_') as f from registered group by 1)) k on k.raw = r.metric_key group by 1) m
+join (select doc_id, label as filename from registered) d on d.doc_id = m.first order by claim_count desc, key limit 100""", _PARTS),
+        "q10_entity_page": _sql("select entity, count(*) as claims from blocked group by 1 order by claims desc, entity limit 10 offset 2", _CANON),
+        "q3_search_claims": _sql("select claim_id, entity, label from blocked where contains(entity, 'nation_1') and claim_id % 5 <> 2 and claim_id % 3 <> 0 and label = 'Truckload revenue'", _CANON),
+        "q4_claims_by_ids": _sql("select claim_id, case when claim_id % 5 <> 2 then entity end as entity, case when claim_id % 5 <> 2 then value_canon end as value_canon from blocked where claim_id % 7 = 0", _CANON),
+        "q6_relation_detail": _sql("select r.a_id, r.b_id, a.filename as a_filename, b.filename as b_filename, a.value_canon as a_value, b.value_canon as b_value from relations r join blocked a on a.claim_id = r.a_id join blocked b on b.claim_id = r.b_id where r.kind = 'contradicts' and r.cross_document and r.a_id % 5 <> 2 and r.b_id % 5 <> 2", *_RELATED),
         "q10_entity_list": _sql("select e.entity, count(b.claim_id) as claims from (select lower(n_name) as entity from nation union select entity from blocked) e left join blocked b on b.entity = e.entity group by 1", _CANON),
         "q16_answer_requests": _sql("""select request_id, entity_found, metric_found, c.claim_id, c.value_canon, case when c.claim_id is not null then null when entity_found is null then 'no entity matching ' || asked when r.fy = 2002 then 'could not read period some day' else 'no grounded claim for that entity, metric and period' end as reason from (
 select n_nationkey * 10000 + fy as request_id, fy, case n_nationkey % 4 when 0 then n_name || ' Limited' when 1 then substr(n_name, 2) when 2 then n_name || ' isle' else n_name end as asked, (select min(metric_key) from blocked) as metric_found,
@@ -174,19 +183,24 @@ on f.doc_id = s.doc_id and f.page_no between s.first and s.first + 3 group by s.
         "e9_document_outcome": _sql("select c.doc_id, count(t.claim_id) as claims, case when c.doc_id % 5 = 0 then 1 else 0 end as malformed, 'extracted' as status, case when count(t.claim_id) = 0 then 'no claims: ' || case when c.broken then 'MAX_TOKENS' else 'STOP' end end as reason from cut c left join trimmed t on t.doc_id = c.doc_id group by c.doc_id, c.broken", _RECORDS),
         "e10_pending_documents": _sql("select doc_id, ['queued', 'extracting', 'ready', 'failed', 'reconciling'][doc_id % 5 + 1] as status from fx_documents where doc_id % 5 in (0, 3) or (doc_id % 5 in (1, 4) and doc_id % 3 <> 0)"),
         "v1_normalize_text": _sql(_spelled("select doc_id, page_no, NORM(text) as norm from fx_pages"), *paged),
-        "v4_with_neighbour_pages": _sql("select p.doc_id, p.page_no, length(b.text) as before, length(a.text) as after from fx_pages p left join fx_pages b on b.doc_id = p.doc_id and b.page_no = p.page_no - 1 and b.page_no % 5 <> 3 left join fx_pages a on a.doc_id = p.doc_id and a.page_no = p.page_no + 1 and a.page_no % 5 <> 3 where p.page_no % 5 <> 3", *paged),
+        "v4_with_neighbour_pages": _sql("select p.doc_id, p.page_no + (p.page_no - 1) // 2 as page_no, case when p.page_no % 2 = 0 then length(b.text) end as before, case when p.page_no % 2 = 1 then length(a.text) end as after from fx_pages p left join fx_pages b on b.doc_id = p.doc_id and b.page_no = p.page_no - 1 left join fx_pages a on a.doc_id = p.doc_id and a.page_no = p.page_no + 1", *paged),
         "e6_apply_document_lines": _sql("select doc_id, case when doc_id % 3 = 0 then 'Report ' || cast(doc_id as string) end as title, case when doc_id % 5 = 0 then 'Someone else' else publisher end as publisher, published_at from fx_documents"),
         "q14_match_entity": "with names as (select distinct lower(replace(c_name, '#', ' ')) as e from customer), asked as (select c_custkey, regexp_replace(c_name, 'Customer#0*([0-9])', '\\1') as a from customer) select c_custkey, (select e from names where contains(e, a) order by length(e), e limit 1) as entity_found from asked",
         "q15_match_metric": "select n_nationkey, case n_nationkey % 3 when 2 then 'profit' else 'revenue' end as metric_found from nation",
+        "v6_verify_claims": _sql("select claim_id, status, grade, coalesce(located_page, page_no) as page_no, cast(strpos(place, hit) - 1 as int) as char_start, cast(strpos(place, hit) - 1 + length(hit) as int) as char_end, reason, case when reason = 'page_out_of_range' then 'page ' || cast(page_no as string) || ' of ' || cast(page_count as string) when reason is not null then left(quote, 200) end as detail from spanned", *gate),
         "v3_grade_quotes": _sql("select claim_id, status, grade, located_page, reason from gated", *gate),
         "v8_verify_stats": _sql("select doc_id, " + ", ".join(f"count(*) filter (where grade = '{g}') as {g}" for g in ("exact", "nearby", "tokens")) + ", count(*) filter (where status = 'quarantined') as quarantined, " + ", ".join(f"count(*) filter (where reason = '{r}') as {r}" for r in ("page_out_of_range", "no_text_layer", "quote_not_found")) + " from gated group by 1", *gate),
         "v9_reverify": _sql("select doc_id, " + ", ".join(f"count(*) filter (where grade = '{g}') as {g}" for g in ("exact", "nearby", "tokens")) + ", count(*) filter (where status = 'quarantined') as quarantined, " + ", ".join(f"count(*) filter (where reason = '{r}') as {r}" for r in ("page_out_of_range", "no_text_layer", "quote_not_found")) + " from gated group by 1", *gate),
         "q2_documents_summary": _sql("select c.doc_id, 'doc-' || cast(c.doc_id as string) as filename, coalesce(g.claims, 0) as claims, coalesce(g.verified, 0) as verified, coalesce(g.quarantined, 0) as quarantined, coalesce(g.exact, 0) as exact, coalesce(g.weak, 0) as weak, t.skipped_pages, coalesce(g.claims, 0) as new_metrics from counted c left join (select doc_id, count(*) as claims, count(*) filter (where status = 'verified') as verified, count(*) filter (where status = 'quarantined') as quarantined, count(*) filter (where grade = 'exact') as exact, count(*) filter (where grade = 'tokens') as weak from gated group by 1) g on g.doc_id = c.doc_id join (select doc_id, count(*) filter (where word_count < 40 and numbers < 3) as skipped_pages from featured group by 1) t on t.doc_id = c.doc_id", *gate),
         "q8_quarantine_list": _sql("select claim_id, reason, case when reason = 'page_out_of_range' then 'page ' || cast(page_no as string) || ' of ' || cast(page_count as string) else left(quote, 200) end as detail from gated where reason is not null", *gate),
         "s2_dedup_by_content": "with a as (select doc_id as arrival, sha256(coalesce(text, '')) as sha256 from documents) select arrival, sha256, arrival = min(arrival) over (partition by sha256) and sha256 not in (select sha256 from a where arrival % 10 = 0) as is_new from a where arrival % 10 <> 0",
-        "s3_admit_documents": "select doc_id as arrival, case when doc_id % 3 = 0 and not contains(left(coalesce(text, ''), 1024), '%PDF') then 'not a PDF' when doc_id % 5 = 0 then 'cannot be opened' when doc_id % 130 = 0 then 'no pages' when doc_id % 130 > 100 then 'too many pages' end as rejected from documents",
+        "s3_admit_documents": "select doc_id as arrival, case when octet_length(encode(coalesce(text, ''))) + case when doc_id % 3 = 0 then 0 else 9 end > 20000 then 'too large' when doc_id % 3 = 0 and not contains(left(coalesce(text, ''), 1024), '%PDF') then 'not a PDF' when doc_id % 5 = 0 then 'cannot be opened' when doc_id % 130 = 0 then 'no pages' when doc_id % 130 > 100 then 'too many pages' end as rejected from documents",
         "s6_response_key": """with keyed as (select doc_id, sha256(unhex(lpad(hex(cast(octet_length(encode(l)) as bigint)), 16, '0')) || encode(l) || unhex(lpad(hex(cast(octet_length(encode(t)) as bigint)), 16, '0')) || encode(t)) as key
 from (select doc_id, coalesce(lang, '') as l, coalesce(text, '') as t from documents)) select doc_id, key from keyed where key not in (select key from keyed where doc_id % 4 = 1)""",
+        "s6_replayed_requests": """with keyed as (select doc_id, coalesce(lang, '') as l, coalesce(text, '') as t from documents) select k.doc_id, s.reply_of from keyed k join (select l, t, min(doc_id) as reply_of from keyed where doc_id % 4 = 1 group by 1, 2) s on s.l = k.l and s.t = k.t""",
+        "s1_read_raw_documents": "select doc_id // 1000 as part, cast(octet_length(encode(string_agg(coalesce(text, '') || chr(10), '' order by doc_id))) as bigint) as length, sha256(string_agg(coalesce(text, '') || chr(10), '' order by doc_id)) as sha256 from documents group by 1",
+        "s4_read_pages": _sql("select doc_id, page_no, sha256(case when (doc_id + page_no) % 5 = 0 then '' else text end) as sha256 from fx_pages", *paged),
+        "s5_read_responses": _sql("select doc_id, true as named, case when doc_id % 9 = 0 then 'MAX_TOKENS' else 'STOP' end as finish_reason, cast(null as bigint) as input_tokens, cast(sum(length(j) + 1) - 1 + 12 + max(case when doc_id % 5 = 0 then 9 else 0 end) as bigint) as output_tokens, true as whole from (select *, REPLY as j from fx_claims) group by 1").replace("REPLY", _REPLY),
         "s8_publish_and_verify": _sql("select t as table_name, n as source_rows, n as target_rows, 'ok' as outcome from (select 'documents' as t, count(*) as n from fx_documents union all select 'claims', count(*) from fx_claims union all select 'pages', count(*) from fx_pages)", *paged),
         "i1_incremental_documents": _sql(_REL, *_RELATED),
         "i2_stream_dedup": "select sha256(t) as sha256, octet_length(encode(t)) as n_bytes from (select distinct coalesce(text, '') as t from documents)",

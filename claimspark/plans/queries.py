@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from claimspark.functions import periods, words
 from claimspark.operators import canon, gate, pages, records, registry, relate, serve
 from claimspark.plans.fixtures import Fixtures
-from claimspark.session import workers_find
+from claimspark.session import shared_folder, workers_find
 from claimspark.sources import tables
 from claimspark.streaming.incremental import FactState, stream_dedup
 
@@ -31,11 +30,7 @@ def query(of: Callable[[Fixtures], DataFrame]) -> Callable[[Fixtures], DataFrame
 
 def folder(spark: SparkSession) -> str:
     """A new place in the folder that all executors share."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="spark-"))
-    return f"{(root or sc.getCheckpointDir()).rstrip('/')}/facts-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/facts-{uuid.uuid4().hex}"
 
 
 def numbers(x: Fixtures) -> DataFrame:
@@ -164,7 +159,7 @@ def c7_rescue_currency(x: Fixtures) -> DataFrame:
 @query
 def c16_resolve_entities(x: Fixtures) -> DataFrame:
     rows = x.claims().join(x.documents().select("doc_id", "publisher"), "doc_id")
-    return canon.resolve_entities(rows)
+    return canon.resolve_entities(rows).select("claim_id", "entity")
 
 
 @query
@@ -275,14 +270,18 @@ def q5_search_relations(x: Fixtures) -> DataFrame:
 
 
 def _view(x: Fixtures, rows: DataFrame | None = None) -> DataFrame:
+    """Every fifth claim is quarantined and has neither evidence nor coordinates."""
     rows = numbers(x) if rows is None else rows
-    graded = rows.select("claim_id", F.when(F.col("claim_id") % 3 == 0, "tokens").otherwise("exact").alias("grade"), "page_no")
-    return serve.claim_view(x.claims(), x.documents(), graded, rows, rows.where("false").select("claim_id", F.lit("").alias("reason")))
+    good = rows.where("claim_id % 5 <> 2")
+    graded = good.select("claim_id", F.when(F.col("claim_id") % 3 == 0, "tokens").otherwise("exact").alias("grade"), "page_no")
+    bad = x.claims().where("claim_id % 5 = 2").select("claim_id", F.lit("quote_not_found").alias("reason"))
+    claims = x.claims().withColumn("status", F.when(F.col("claim_id") % 5 == 2, "quarantined").otherwise("verified"))
+    return serve.claim_view(claims, x.documents(), graded, good, bad)
 
 
 @query
 def q1_claim_view(x: Fixtures) -> DataFrame:
-    return _view(x).select("claim_id", "filename", "publisher", "grade", "entity", "value_canon", "block_key", "quarantine_reason")
+    return _view(x).select("claim_id", "filename", "publisher", "status", "grade", "located_page", "entity", "value_canon", "block_key", "quarantine_reason")
 
 
 @query
@@ -290,6 +289,41 @@ def q3_search_claims(x: Fixtures) -> DataFrame:
     return serve.search_claims(_view(x), entity="NATION_1", grade="exact", q="TRUCKLOAD").select("claim_id", "entity", "label")
 
 
+@query
+def q3_search_claims_page(x: Fixtures) -> DataFrame:
+    """The second page of fifty: the limit is the feature."""
+    return serve.page(serve.search_claims(_view(x), status="verified"), ["doc_id", "page_no", "claim_id"], limit=50, offset=50).select("claim_id", "doc_id", "grade")
+
+
+@query
+def q5_search_relations_page(x: Fixtures) -> DataFrame:
+    """All relations of the first document, a page of a hundred: the limit is the feature."""
+    rows = numbers(x)
+    first = rows.agg(F.min("doc_id")).first()[0]
+    found = serve.search_relations(related(rows), rows, cross_only=False, doc_id=first)
+    return serve.page(found, ["kind", "metric_key", "a_id", "b_id"], limit=100).select("a_id", "b_id", "kind", "cross_document")
+
+
+@query
+def q8_quarantine_page(x: Fixtures) -> DataFrame:
+    return serve.page(serve.quarantine_list(_view(x)), ["doc_id", "page_no", "claim_id"], limit=40, offset=3).select("claim_id", "doc_id", "quarantine_reason")
+
+
+@query
+def q9_metric_page(x: Fixtures) -> DataFrame:
+    """The hundred most claimed metrics of the parts."""
+    rows = _registered(x).withColumnRenamed("metric_key", "metric_raw")
+    listed = canon.metrics(rows, canon.resolve_metrics(rows, x.aliases()))
+    return serve.page(serve.metric_list(listed, rows.select("doc_id", F.col("label").alias("filename"))), [F.desc("claim_count"), "key"], limit=100).select("key", "claim_count", "filename")
+
+
+@query
+def q10_entity_page(x: Fixtures) -> DataFrame:
+    rows = numbers(x)
+    known = rows.select("entity", F.lit(None).cast("string").alias("kind")).distinct()
+    return serve.page(serve.entity_list(known, rows), [F.desc("claims"), "entity"], limit=10, offset=2).select("entity", "claims")
+
+
 @query
 def q4_claims_by_ids(x: Fixtures) -> DataFrame:
     ids = x.claims().where("claim_id % 7 = 0").select("claim_id")
@@ -299,7 +333,8 @@ def q4_claims_by_ids(x: Fixtures) -> DataFrame:
 @query
 def q6_relation_detail(x: Fixtures) -> DataFrame:
     rows = numbers(x)
-    found = serve.search_relations(related(rows), rows, kind="contradicts")
+    good = rows.where("claim_id % 5 <> 2").checkpoint()
+    found = serve.search_relations(related(good), rows, kind="contradicts")
     return serve.relation_detail(found, _view(x, rows)).select("a_id", "b_id", F.col("a.filename").alias("a_filename"), F.col("b.filename").alias("b_filename"), F.col("a.value_canon").alias("a_value"), F.col("b.value_canon").alias("b_value"))
 
 
@@ -467,7 +502,7 @@ def _verified(x: Fixtures) -> DataFrame:
 @query
 def v6_verify_claims(x: Fixtures) -> DataFrame:
     rows = _verified(x)
-    return rows.select("claim_id", "status", "grade", "located_page", F.col("span.start").alias("char_start"), F.col("span.end").alias("char_end"), "reason", "detail")
+    return rows.select("claim_id", "status", "grade", F.col("page_no").cast("bigint").alias("page_no"), F.col("span.start").alias("char_start"), F.col("span.end").alias("char_end"), "reason", "detail")
 
 
 @query
@@ -509,7 +544,8 @@ def v1_normalize_text(x: Fixtures) -> DataFrame:
 
 @query
 def v4_with_neighbour_pages(x: Fixtures) -> DataFrame:
-    rows = gate.with_neighbour_pages(x.pages().where("page_no % 5 <> 3"))
+    """Every third number is left out, so that some pages have no neighbour."""
+    rows = gate.with_neighbour_pages(x.pages().withColumn("page_no", F.expr("page_no + (page_no - 1) div 2")))
     return rows.select("doc_id", "page_no", F.length("text_before").alias("before"), F.length("text_after").alias("after"))
 
 
@@ -552,7 +588,7 @@ def s2_dedup_by_content(x: Fixtures) -> DataFrame:
 def s3_admit_documents(x: Fixtures) -> DataFrame:
     head = F.when(F.col("arrival") % 3 == 0, "").otherwise("%PDF-1.7 ")
     rows = _arrivals(x).withColumn("content", F.concat(F.encode(head, "UTF-8"), "content")).withColumn("page_count", F.when(F.col("arrival") % 5 != 0, (F.col("arrival") % 130).cast("int")))
-    return tables.admit_documents(rows).select("arrival", "rejected")
+    return tables.admit_documents(rows, most_bytes=20_000).select("arrival", "rejected")
 
 
 @query
@@ -561,6 +597,42 @@ def s6_response_key(x: Fixtures) -> DataFrame:
     return tables.pending_requests(rows, rows.where("doc_id % 4 = 1"))
 
 
+@query
+def s6_replayed_requests(x: Fixtures) -> DataFrame:
+    """Requests that stored replies answer, with the replies."""
+    rows = x.read("documents").select("doc_id", tables.response_key(F.coalesce("lang", F.lit("")), F.coalesce("text", F.lit(""))).alias("key"))
+    stored = rows.where("doc_id % 4 = 1").groupBy("key").agg(F.min("doc_id").alias("reply_of"))
+    return tables.replayed_requests(rows, stored).select("doc_id", "reply_of")
+
+
+@query
+def s1_read_raw_documents(x: Fixtures) -> DataFrame:
+    """Texts written to a file for each thousand ids, and read back as bytes."""
+    at = folder(x.spark)
+    rows = x.read("documents").select(F.expr("doc_id div 1000").alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "text").write.partitionBy("part").text(at)
+    found = tables.read_raw_documents(x.spark, at, "*.txt", only="part-")
+    return found.select(F.regexp_extract("path", "/part=([0-9]+)/", 1).cast("bigint").alias("part"), "length", tables.content_key(F.col("content")).alias("sha256"))
+
+
+@query
+def s4_read_pages(x: Fixtures) -> DataFrame:
+    """Every fifth page could not be read and was stored without a text."""
+    at = folder(x.spark)
+    x.pages().withColumn("text", F.when((F.col("doc_id") + F.col("page_no")) % 5 != 0, F.col("text"))).write.parquet(at)
+    return tables.read_pages(x.spark, at).select("doc_id", F.col("page_no").cast("bigint").alias("page_no"), tables.content_key(F.col("text")).alias("sha256"))
+
+
+@query
+def s5_read_responses(x: Fixtures) -> DataFrame:
+    """Replies stored as one JSON file each."""
+    at = folder(x.spark)
+    replies = x.responses().select("doc_id", "text", "finish_reason", F.length("text").cast("bigint").alias("output_tokens"))
+    replies.repartition("doc_id").write.partitionBy("doc_id").json(at)
+    found = tables.read_responses(x.spark, at)
+    return found.select("doc_id", F.startswith("key", F.lit("part-")).alias("named"), "finish_reason", "input_tokens", "output_tokens", (F.length("text") == F.col("output_tokens")).alias("whole"))
+
+
 @query
 def s8_publish_and_verify(x: Fixtures) -> DataFrame:
     at = folder(x.spark)
