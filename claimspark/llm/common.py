@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from claimspark.session import workers_find
+from claimspark.session import shared_folder, workers_find
 
 #: Rows and bytes that Spark hands to Python at a time; long texts make large rows.
 ARROW_ROWS, ARROW_BYTES = 2048, 8 << 20
@@ -21,31 +20,28 @@ SLICE_BYTES = 1 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches, and a checkpoint folder: the cluster's own, or a new local one where none is named."""
+    """Small Arrow batches, and the checkpoint folder that the cluster names."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     shared_folder(spark)
     return workers_find(spark)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; set only where it is unset."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="spark-"))
-    return root or sc.getCheckpointDir()
-
-
 def new_table(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh_names(frame: DataFrame, *names: str) -> list[str]:
+    """Column names that the frame doesn't have, whatever its columns are called."""
+    taken = {c.lower() for c in frame.columns}
+    return [next(x for k in range(len(taken) + 1) if (x := f"_{name}{k or ''}") not in taken) for name in names]
+
+
 def parts_for(rows: int, per_part: int, least: int = 1) -> int:
     """Partitions so that one holds about per_part rows, however many rows there are."""
     return max(least, -(-rows // per_part))

@@ -18,8 +18,6 @@ SEED = 42
 SHARD_ROWS, LEAF_ROWS = 8_192, 512
 #: Bits that a tree of the forest sees.
 BLOCK = 32
-#: Fingerprints of a chunk in the search without blocks.
-CHUNK_ROWS = 16_384
 
 
 def shingle_hashes(tokens: list[bytes], n: int) -> np.ndarray:
@@ -196,14 +194,13 @@ def near_links(classes: DataFrame, lanes: int, radius: int, block_radius: int) -
     return shards.repartition(max(spark.sparkContext.defaultParallelism, 2 * lanes << levels), "shard").groupBy("shard").applyInArrow(search, "a bigint, b bigint")
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, lanes: int = 4, radius: int = 40, block_radius: int = 2) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = 3, lanes: int = 1, radius: int = 3, block_radius: int = 1) -> DataFrame:
     """(doc_id, lanes, component_id) of each document: component_id is the smallest doc_id reachable by links, itself included.
 
     Documents link if their fingerprints differ in `radius` bits at most. Equal fingerprints become one class with their smallest doc_id
     before anything is compared, so that copies cost a row each. Texts without words have zero fingerprints and link like any other; rows
     with a null doc_id come out as their own component (null), and repeated rows come out as often as they came; no rows give no rows.
-    With lanes=1, radius=3, block_radius=1 the search is exact. With four lanes, 40 of 256 bits stand for a similarity of 0.8 of the word
-    shingles, and the search is by blocks that agree to block_radius bits.
+    With a block_radius of radius // (2 * lanes), as here, the search is exact.
     """
     prints = fingerprints(docs, shingle, lanes).checkpoint()
     classes = prints.where("doc_id is not null").groupBy("lanes").agg(F.min("doc_id").alias("rep")).checkpoint()
@@ -211,159 +208,3 @@ def near_copies(docs: DataFrame, shingle: int = 5, lanes: int = 4, radius: int =
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("lanes").alias("_lanes"), F.coalesce("component", "rep").alias("component_id"))
     out = prints.join(named, F.col("lanes") == F.col("_lanes"), "left").drop("_lanes")
     return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-
-
-def without_near_copies(docs: DataFrame, **how: int) -> DataFrame:
-    """The document with the smallest doc_id of each component, all its columns; of rows that repeat a doc_id, one. Rows without a doc_id stay."""
-    kept = near_copies(docs, **how).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    known = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null"))
-
-
-def sets_of(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
-    """Sorted distinct hashes of each text's runs of words, as in fingerprints()."""
-    for _, _, data, at in slices(texts):
-        low = LOWER[data].tobytes()
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            yield np.unique(shingle_hashes(low[a:b].split(), shingle))
-
-
-def shingle_sets(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
-    """(doc_id, key, n, lanes): name, size and fingerprint of the set of runs of each text. Texts without words have the empty set."""
-    prepare(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(xxhash.xxh3_128_digest(h.tobytes()), len(h), fingerprint(h, lanes)) for h in sets_of(batch.column(1), shingle)]
-            cols = list(zip(*found, strict=True)) if found else [[]] * 3
-            kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, t) for v, t in zip(cols, kinds, strict=True)]], ["doc_id", "key", "n", "lanes"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, key binary, n bigint, lanes array<bigint>")
-
-
-def _candidates(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, radius: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i of a, j of b) within `radius` bits whose sizes allow the similarity. Rows of 64-bit words, both in the order of their sizes."""
-    dense = max(1, min(3, a.shape[1] - 1))  # three words have 192 bits at most, and few pairs come through them
-    columns = np.ascontiguousarray(b.T)
-    for lo in range(0, len(a), 64):
-        own, own_n = a[lo : lo + 64], n_a[lo : lo + 64]
-        first = int(np.searchsorted(n_b, own_n[0] * similarity - 1e-6))
-        last = int(np.searchsorted(n_b, own_n[-1] / similarity + 1e-6, "right"))
-        for start in range(first, last, 4_096):
-            end = min(last, start + 4_096)
-            other = b[start:end]
-            bits = np.bitwise_count(own[:, None, 0] ^ columns[0, start:end])
-            for k in range(1, dense):
-                bits += np.bitwise_count(own[:, None, k] ^ columns[k, start:end])
-            i, j = np.nonzero(bits <= radius)
-            near = np.bitwise_count(own[i] ^ other[j]).sum(axis=1, dtype=np.uint16) <= radius
-            i, j = i[near], j[near]
-            fits = np.minimum(own_n[i], n_b[start + j]) >= similarity * np.maximum(own_n[i], n_b[start + j]) - 1e-6
-            if fits.any():
-                yield i[fits] + lo, j[fits] + start
-
-
-def candidate_links(classes: DataFrame, lanes: int, radius: int, similarity: float) -> DataFrame:
-    """Links (a, b) that connect all sets (rep, n, lanes) within `radius` bits whose sizes allow the similarity, as stars inside each shard.
-
-    The empty set is the only vantage point: two sets that are similar lie in the same or in neighbouring bands of sizes, each as wide as the
-    similarity. At these radii no vantage point inside the bands would prune anything, so that there every pair is compared, chunk
-    by chunk: what is found is exact, and the work grows with the square of a band.
-    """
-    spark = classes.sparkSession
-    width = float(-np.log(similarity) * (1 + 1e-9))
-    banded = classes.where("n > 0").withColumn("band", F.floor(F.log("n") / F.lit(width)).cast("long"))
-    sizes = {r["band"]: r["count"] for r in banded.groupBy("band").count().collect()}  # a row per band, some fifty
-    chunks = {b: parts_for(n, CHUNK_ROWS) for b, n in sizes.items()}
-    first, total = {}, 0
-    for b in sorted(chunks):
-        first[b], total = total, total + chunks[b]
-    partners = {b: [(first[o], first[o] + chunks[o]) for o in (b - 1, b, b + 1) if o in chunks] for b in chunks}
-    shards = sum(chunks[b] * (chunks[b] + 1) // 2 + chunks[b] * chunks.get(b + 1, 0) for b in chunks)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bands = batch.column(0).to_numpy()
-            spread = mixed(batch.column(1).to_numpy().view(np.uint64))
-            for band in np.unique(bands).tolist():
-                at = np.flatnonzero(bands == band)
-                own = first[band] + (spread[at] % np.uint64(chunks[band])).astype(np.int64)
-                taken = batch.select(["rep", "n", "lanes"]).take(pa.array(at))
-                for lo, hi in partners[band]:
-                    for other in range(lo, hi):
-                        shard = np.minimum(own, other) * total + np.maximum(own, other)
-                        yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(own), *taken.columns], ["shard", "chunk", "rep", "n", "lanes"])
-
-    def search(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by([("n", "ascending"), ("rep", "ascending")])
-        rep, n, chunk = (table[k].to_numpy() for k in ("rep", "n", "chunk"))
-        full = np.array(table["lanes"].combine_chunks().flatten(), np.int64).reshape(-1, lanes).view(np.uint64)
-        left = np.flatnonzero(chunk == chunk.min())
-        right = np.flatnonzero(chunk == table["shard"][0].as_py() % total)
-        sets = Forest(len(rep))
-        for i, j in _candidates(full[left], full[right], n[left], n[right], radius, similarity):
-            sets.join(left[i], right[j])
-        low = sets.roots(np.arange(len(rep)))
-        linked = np.flatnonzero(low != np.arange(len(low)))
-        return pa.table({"a": rep[low[linked]], "b": rep[linked]})
-
-    placed = banded.select("band", "rep", "n", "lanes").mapInArrow(place, "shard bigint, chunk bigint, rep bigint, n bigint, lanes array<bigint>")
-    return placed.repartition(max(spark.sparkContext.defaultParallelism, min(shards, 4_096)), "shard").groupBy("shard").applyInArrow(search, "a bigint, b bigint")
-
-
-def similar_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """The first place each sorted set is linked with, over steps of pairs whose intersection is at least `similarity` of their union.
-
-    Each set that is reached is held against those that nothing has reached yet, all at once; no pair that could join two groups is left out.
-    """
-    n = np.array([len(x) for x in sets])
-    out, rest = np.arange(len(sets)), np.arange(1, len(sets))
-    for start in range(len(sets)):
-        if out[start] != start:
-            continue
-        todo, rest = [start], rest[rest != start]
-        while todo and len(rest):
-            own = sets[todo.pop()]
-            fits = np.flatnonzero((n[rest] >= similarity * len(own) - 1e-6) & (n[rest] * similarity <= len(own) + 1e-6) & (n[rest] > 0))
-            if not len(fits):
-                continue
-            reached = []
-            for lo in range(0, len(fits), 1_024):
-                some = fits[lo : lo + 1_024]
-                flat = np.concatenate([sets[k] for k in rest[some].tolist()])
-                there = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
-                size = n[rest[some]]
-                both = np.add.reduceat(there.astype(np.int64), np.cumsum(size) - size)
-                reached.append(some[both >= similarity * (size + len(own) - both) - 1e-6])
-            hit = np.concatenate(reached)
-            out[rest[hit]] = start
-            todo += rest[hit].tolist()
-            rest = np.delete(rest, hit)
-    return out
-
-
-def without_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, lanes: int = 4, radius: int = 64) -> DataFrame:
-    """The document with the smallest doc_id of each group, all its columns; of rows that repeat a doc_id, one. Rows without a doc_id stay.
-
-    Documents link if their sets of word runs share at least `similarity` of their union. Equal sets become one class. All classes within
-    `radius` bits of each other, over steps, come into one task, which counts their common runs exactly; a group's distinct texts must fit
-    there. Of 256 bits a similarity of 0.8 turns about 39, give or take 6, so that 64 leaves next to nothing out.
-    """
-    prints = shingle_sets(docs, shingle, lanes).where("doc_id is not null").checkpoint()
-    classes = prints.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("lanes").alias("lanes")).checkpoint()
-    coarse = components(candidate_links(classes.select("rep", "n", "lanes"), lanes, radius, similarity))
-
-    def verify(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by("node")
-        ids = table["node"].to_numpy()
-        root = similar_sets(list(sets_of(table["text"], shingle)), similarity)
-        return pa.table({"a": ids[root], "b": ids})
-
-    own = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(coarse, F.col("_id") == F.col("node")).select("component", "node", "text")
-    links = own.groupBy("component").applyInArrow(verify, "a bigint, b bigint")
-    # a doc_id that repeats with other texts links their classes
-    found = components(links.unionByName(prints.join(classes.select("key", "rep"), "key").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
-    gone = found.where("node <> component").select(F.col("node").alias("_gone"))
-    known = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null"))
