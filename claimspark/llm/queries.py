@@ -61,5 +61,21 @@ def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
 
+#: Windows by their words; the runs of removed words are islands of places.
+OP8_SQL = r"""with split as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+placed as (select doc_id, w, unnest(generate_series(1, len(w) - 12)) as p from split where len(w) >= 13),
+keyed as (select doc_id, p, array_to_string(w[p : p + 12], ' ') as k from placed),
+least as (select k, min(doc_id) as d from keyed group by 1),
+hit as (select a.doc_id, a.p from keyed a join least b on a.k = b.k where b.d < a.doc_id),
+gone as (select distinct doc_id, p + o as i from hit cross join (select unnest(generate_series(0, 12)) as o)),
+islands as (select doc_id, min(i) - 1 as a, max(i) as b from (select doc_id, i, i - row_number() over (partition by doc_id order by i) as g from gone) group by doc_id, g),
+spans as (select doc_id, string_agg(cast(a as varchar) || ':' || cast(b as varchar), ',' order by a) as s from islands group by 1),
+words as (select doc_id, unnest(w) as word, unnest(generate_series(1, len(w))) as i from split where len(w) > 0),
+kept as (select w.doc_id, string_agg(w.word, ' ' order by w.i) as t from words w left join gone g on g.doc_id = w.doc_id and g.i = w.i where g.i is null group by 1)
+select s.doc_id, len(s.w) as n_words, coalesce(n.n, 0) as n_removed, sha256(coalesce(k.t, '')) as kept_sha256, coalesce(p.s, '') as spans
+from split s left join (select doc_id, count(*) as n from gone group by 1) n on n.doc_id = s.doc_id left join kept k on k.doc_id = s.doc_id left join spans p on p.doc_id = s.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only what SQL can express: the others hash, fit, encode or score."""
+    return {"op8_suffix_tree_repeats": OP8_SQL}

@@ -11,12 +11,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, parts_for, prepare, slices, span_hashes, words
+from .common import gram_hashes, mixed, parts_for, prepare, slices, span_hashes, words
 
 #: Words of a passage that counts as repeated, and of the prefix by which suffixes are split first.
 WINDOW, PREFIX = 13, 5
 #: Bytes of text in a bucket of documents, and bytes of text for each group of the tree.
 BUCKET_BYTES, GROUP_BYTES = 4 << 20, 16 << 20
+#: What is added to words' hashes before the second hash of a window is made.
+CHECKED = np.uint64(0x5851F42D4C957F2D)
 #: Stands for a null doc_id: larger than any.
 NO_ID = np.iinfo(np.int64).max
 
@@ -33,89 +35,98 @@ def _least(values: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(out[: len(values) - n + 1], out[n - span :][: len(values) - n + 1]) if n > span else out
 
 
-def _windows(text: pa.ChunkedArray, window: int, prefix: int | None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each slice of the texts: its rows, the words' offsets, and place, row and hash of each window; with a prefix, the least hash of its prefixes too."""
+def _windows(text: pa.ChunkedArray, window: int, prefix: int | None, with_check: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each slice of the texts: its rows, the words' offsets, and place, row and hash of each window; the least hash of its prefixes, and a second hash, where asked for."""
     for lo, hi, data, at in slices(text):
         starts, ends, offsets = words(data, at)
         h = span_hashes(data, starts, ends)
         grams = gram_hashes(h, window)
         row = np.repeat(np.arange(hi - lo), np.diff(offsets))[: len(grams)]
         place = np.flatnonzero(np.arange(len(grams)) + window <= offsets[1:][row]) if len(grams) else np.zeros(0, np.int64)
-        anchor = _least(gram_hashes(h, prefix), window - prefix + 1)[place] if prefix and len(grams) else np.zeros(0, np.uint64)
-        yield lo, hi, offsets, place, row[place], grams[place] if len(grams) else np.zeros(0, np.uint64), anchor
-
-
-def _summed(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each key once, sorted, with its least document and whether it has several."""
-    if not len(keys):
-        return keys, docs, np.zeros(0, bool)
-    order = np.argsort(keys, kind="stable")
-    keys, docs = keys[order], docs[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    low, high = np.minimum.reduceat(docs, first), np.maximum.reduceat(docs, first)
-    return keys[first], low, low != high
+        none = np.zeros(0, np.uint64)
+        # least hashes lie low; mixed once more they are spread evenly over all groups
+        anchor = mixed(_least(gram_hashes(h, prefix), window - prefix + 1)[place]) if prefix and len(grams) else none
+        check = (gram_hashes(mixed(h + CHECKED), window)[place] >> np.uint64(32)).astype(np.uint32) if with_check and len(grams) else none.astype(np.uint32)
+        yield lo, hi, offsets, place, row[place], grams[place] if len(grams) else none, anchor, check
+
+
+def _summed(keys: np.ndarray, check: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts by key and check; and each of these once: where its run begins, its size, its least document, and whether it has several."""
+    order = np.lexsort((check, keys)) if check.any() else np.argsort(keys, kind="stable")
+    keys, check, low, high = keys[order], check[order], low[order], high[order]
+    first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (check[1:] != check[:-1]))))
+    least = np.minimum.reduceat(low, first)
+    return order, first, np.diff(np.append(first, len(keys))), least, least != np.maximum.reduceat(high, first)
 
 
-SENT = pa.schema([("grp", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("least", pa.binary()), ("several", pa.binary())])
-TOLD = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("least", pa.binary())])
+SENT = pa.schema([("grp", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("checks", pa.binary()), ("least", pa.binary()), ("several", pa.binary())])
+TOLD = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("checks", pa.binary()), ("least", pa.binary())])
 
 
 def _small(x: np.ndarray) -> bytes:
-    return zstandard.compress(x.tobytes(), 1)
+    """Numbers by bytes: all first bytes, then all second ones; the high bytes of sorted numbers repeat and shrink to little."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
 
 
 def _large(raw: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(raw), kind)
+    flat = np.frombuffer(zstandard.decompress(raw), np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
 
+def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else schema.empty_table()
 
-def _send(bucket: int, keys: np.ndarray, docs: np.ndarray, bits: int) -> pa.Table:
+
+def _send(bucket: int, keys: np.ndarray, check: np.ndarray, docs: np.ndarray, bits: int) -> pa.Table:
     """One row for each group that the bucket's keys fall into; a group is the keys with the same first bits."""
     if not len(keys):
         return SENT.empty_table()
-    keys, low, several = _summed(keys, docs)
+    order, first, _, low, several = _summed(keys, check, docs, docs)
+    keys, check = keys[order][first], check[order][first]
     group = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     cuts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     ends = np.append(cuts[1:], len(keys))
-    rows = [(int(group[a]), bucket, keys[a:b].tobytes(), _small(low[a:b]), _small(several[a:b].astype(np.uint8))) for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)]
-    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SENT, strict=True)], schema=SENT)
+    return _rows(SENT, [(int(group[a]), bucket, _small(keys[a:b]), _small(check[a:b]), _small(low[a:b]), _small(several[a:b].astype(np.uint8))) for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)])
 
 
 def _shared(table: pa.Table) -> pa.Table:
     """A group's internal nodes: the keys with several documents below. Each bucket that has some is told which, and their least document."""
     rows = table.to_pylist()
-    keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
-    owner = np.repeat(np.arange(len(rows)), [len(k) for k in keys])
-    keys, low, several = np.concatenate(keys), np.concatenate([_large(r["least"], "i8") for r in rows]), np.concatenate([_large(r["several"], "u1") for r in rows]).astype(bool)
-    order = np.argsort(keys, kind="stable")
-    keys, low, several, owner = keys[order], low[order], several[order], owner[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    least = np.minimum.reduceat(low, first)
-    internal = np.logical_or.reduceat(several, first) | (least != np.maximum.reduceat(low, first))
-    size = np.diff(np.append(first, len(keys)))
-    keep = np.repeat(internal, size)
-    keys, least, owner = keys[keep], np.repeat(least, size)[keep], owner[keep]
+    parts = [_large(r["keys"], "u8") for r in rows]
+    owner = np.repeat(np.arange(len(rows)), [len(k) for k in parts])
+    keys, check, low = np.concatenate(parts), np.concatenate([_large(r["checks"], "u4") for r in rows]), np.concatenate([_large(r["least"], "i8") for r in rows])
+    several = np.concatenate([_large(r["several"], "u1") for r in rows]).astype(bool)
+    order, first, size, least, apart = _summed(keys, check, low, low)
+    keep = np.repeat(apart | np.logical_or.reduceat(several[order], first), size)
+    keys, check, least, owner = keys[order][keep], check[order][keep], np.repeat(least, size)[keep], owner[order][keep]
     back = np.argsort(owner, kind="stable")
-    keys, least, owner = keys[back], least[back], owner[back]
+    keys, check, least, owner = keys[back], check[back], least[back], owner[back]
     cuts = np.searchsorted(owner, np.arange(len(rows) + 1))
-    told = [(rows[k]["bucket"], keys[a:b].tobytes(), _small(least[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
-    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*told, strict=True), TOLD, strict=True)], schema=TOLD) if told else TOLD.empty_table()
+    return _rows(TOLD, [(rows[k]["bucket"], _small(keys[a:b]), _small(check[a:b]), _small(least[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a])
 
 
-def _told(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+class Told:
     """All that a bucket was told, by key."""
-    rows = table.to_pylist()
-    if not rows:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys, least = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows]), np.concatenate([_large(r["least"], "i8") for r in rows])
-    order = np.argsort(keys)
-    return keys[order], least[order]
 
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
+    def __init__(self, table: pa.Table) -> None:
+        rows = table.to_pylist()
+        both = [np.concatenate([np.zeros(0, kind), *[_large(r[c], kind) for r in rows]]) for c, kind in (("keys", "u8"), ("checks", "u4"), ("least", "i8"))]
+        order = np.argsort(both[0], kind="stable")
+        self.keys, self.checks, self.least = (x[order] for x in both)
+        run = np.flatnonzero(np.concatenate(([True], self.keys[1:] != self.keys[:-1]))) if len(self.keys) else np.zeros(0, np.int64)
+        self.alike = int(np.diff(np.append(run, len(self.keys))).max()) if len(run) else 0
+
+    def find(self, keys: np.ndarray, check: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each key (with its check) among those told, and whether it is there."""
+        found, hit = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        start = np.searchsorted(self.keys, keys)
+        for step in range(self.alike):  # keys that are alike though their checks aren't stand side by side
+            at = np.minimum(start + step, len(self.keys) - 1)
+            here = (self.keys[at] == keys) & ~hit
+            if check is not None:
+                here &= self.checks[at] == check
+            found[here], hit = at[here], hit | here
+        return found, hit
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, texts: bool = False) -> DataFrame:
@@ -129,8 +140,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, texts:
     node being named by the 64-bit hash of its path. First come prefixes of `prefix` words, of each window only the one with the least
     hash, which equal windows share: prefix nodes with one document below have no repeat below and are pruned. Suffixes under the
     other prefixes are followed to depth `window`, and nodes there with several documents are the repeats. A bucket sends each node once, with its
-    least document, so that a passage in very many documents costs a row per bucket, and is told the least document of all. Hashes decide:
-    among n windows a wrong match has odds of about n * n / 2**65.
+    least document, so that a passage in very many documents costs a row per bucket, and is told the least document of all. A node at depth `window` is
+    known by 96 bits of two hashes: that any of n windows is judged wrongly has odds of n * n / 2**97, 0.0006 for 10**13 windows.
 
     A null text has no words; a null doc_id counts as larger than any; rows that repeat a doc_id are judged one by one and never against
     each other; documents under `window` words lose nothing; other columns are ignored; no rows give no rows.
@@ -140,34 +151,37 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, texts:
     buckets = parts_for(size, BUCKET_BYTES, 2 * docs.sparkSession.sparkContext.defaultParallelism)
     bits = (parts_for(size, GROUP_BYTES, docs.sparkSession.sparkContext.defaultParallelism) - 1).bit_length()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    placed = docs.select(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(buckets)).cast("bigint").alias("bucket"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition(buckets, "bucket")
+    place = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id", F.lit(3)))
+    placed = docs.select(F.pmod(place, F.lit(buckets)).cast("bigint").alias("bucket"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition(buckets, "bucket")
 
     def prefixes(table: pa.Table) -> pa.Table:
         docs_of, keys, owners = _ids(table["doc_id"]), [], []
-        for lo, _, _, _, row, _, anchor in _windows(table["text"], window, prefix):
+        for lo, _, _, _, row, _, anchor, _ in _windows(table["text"], window, prefix):
             new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])))[: len(anchor)]
             keys.append(anchor[new])
             owners.append(docs_of[row[new] + lo])
-        return _send(table["bucket"][0].as_py(), np.concatenate(keys), np.concatenate(owners), bits)
+        keys = np.concatenate(keys)
+        return _send(table["bucket"][0].as_py(), keys, np.zeros(len(keys), np.uint32), np.concatenate(owners), bits)
 
     def suffixes(table: pa.Table, told: pa.Table) -> pa.Table:
         if not told.num_rows or not table.num_rows:
             return SENT.empty_table()
-        docs_of, (known, _) = _ids(table["doc_id"]), _told(told)
-        keys, owners = [], []
-        for lo, _, _, _, row, gram, anchor in _windows(table["text"], window, prefix):
-            hit = _find(known, anchor)[1]
+        docs_of, known = _ids(table["doc_id"]), Told(told)
+        keys, checks, owners = [], [], []
+        for lo, _, _, _, row, gram, anchor, check in _windows(table["text"], window, prefix, with_check=True):
+            hit = known.find(anchor)[1]
             keys.append(gram[hit])
+            checks.append(check[hit])
             owners.append(docs_of[row[hit] + lo])
-        return _send(table["bucket"][0].as_py(), np.concatenate(keys), np.concatenate(owners), bits)
+        return _send(table["bucket"][0].as_py(), np.concatenate(keys), np.concatenate(checks), np.concatenate(owners), bits)
 
     def removed(table: pa.Table, told: pa.Table) -> pa.Table:
-        docs_of, (known, least) = _ids(table["doc_id"]), _told(told)
+        docs_of, known = _ids(table["doc_id"]), Told(told)
         out: list[list] = [[], [], [], [], []]
-        for lo, _, offsets, place, row, gram, _ in _windows(table["text"], window, None):
-            at, hit = _find(known, gram)
-            if len(known):
-                hit &= least[at] < docs_of[row + lo]
+        for lo, _, offsets, place, row, gram, _, check in _windows(table["text"], window, None, with_check=bool(known.alike)):
+            at, hit = known.find(gram, check)
+            if hit.any():
+                hit &= known.least[at] < docs_of[row + lo]
             edge = np.zeros(int(offsets[-1]) + 1, np.int64)
             edge[place[hit]] += 1
             edge[place[hit] + window] -= 1
@@ -188,8 +202,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, texts:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
         return pa.table([table["doc_id"], *[pa.array(c, t) for c, t in zip(out, kinds, strict=True)]], names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept_text"])
 
-    sent = "grp bigint, bucket bigint, keys binary, least binary, several binary"
-    told = "bucket bigint, keys binary, least binary"
+    sent = "grp bigint, bucket bigint, keys binary, checks binary, least binary, several binary"
+    told = "bucket bigint, keys binary, checks binary, least binary"
     by_bucket = placed.groupBy("bucket")
     upper = by_bucket.applyInArrow(prefixes, sent).groupBy("grp").applyInArrow(_shared, told)
     lower = by_bucket.cogroup(upper.groupBy("bucket")).applyInArrow(suffixes, sent).groupBy("grp").applyInArrow(_shared, told)

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -171,6 +172,19 @@ def test_repeats_of_hard_rows(spark):
     assert repeats.repeats(frame.limit(0)).count() == 0
 
 
+def test_windows_are_known_by_two_hashes():
+    """First hashes that are alike by chance are kept apart by the second ones."""
+    keys = np.array([5, 5, 7, 5], np.uint64)
+    checks = np.array([1, 2, 1, 1], np.uint32)
+    sent = repeats._send(3, keys, checks, np.array([4, 9, 6, 8]), 0)
+    more = repeats._send(4, keys[1:3], checks[1:3], np.array([2, 6]), 0)
+    told = repeats._shared(pa.concat_tables([sent, more])).to_pylist()
+    assert [r["bucket"] for r in told] == [3, 4]
+    known = repeats.Told(repeats._rows(repeats.TOLD, [tuple(told[0].values())]))
+    at, hit = known.find(np.array([5, 5, 7, 5], np.uint64), np.array([1, 2, 1, 3], np.uint32))
+    assert hit.tolist() == [True, True, False, False] and known.least[at[:2]].tolist() == [4, 2]
+
+
 def test_op9_base_against_brute_force(spark):
     sf_dir = "/root/testdata/sf0.01"
     rows = by_id(queries.op9_rare_word_licenses(spark, sf_dir))
