@@ -135,3 +135,13 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
         out *= np.uint64(BASE)
         out += h[k : len(h) - n + 1 + k]
     return mixed(out)
+
+
+def poly_hashes(h: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of h[first], ..., h[end - 1] for each pair of places, from one running sum."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    up, down = _powers(1 << max(20, int(len(h)).bit_length()))
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * up[: len(h)], out=total[1:])
+    return mixed((total[end] - total[first]) * down[first] + (end - first).astype(np.uint64))

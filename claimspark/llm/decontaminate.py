@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,16 +11,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_set, gram_hashes, mixed, prepare, slices, span_hashes, words
+from .common import LOWER, byte_set, fresh_names, mixed, poly_hashes, prepare, slices, span_hashes, words
 
-#: Words of a window, and how many of them must not be slots.
+#: Words of a window at least, and how many of them must be no slots; a window goes on until it has them.
 WINDOW, LITERALS = 10, 6
-#: Items with fewer words than this have no window.
-LEAST = 6
+#: An item without such a window is one window as a whole, if it has so many words and literals; of fewer words down to RUN it is looked for word for word.
+WHOLE, WHOLE_LITERALS, RUN = 6, 2, 3
 #: How words are read: as typed, with capitals as names; in lower case with numbers and units as slots; in lower case without slots.
 TYPED, FOLDED, EXACT = range(3)
-#: Bits of the filter that says which windows of documents are worth a look; its size is all that is sent to the tasks.
-FILTER_BITS = 1 << 22
+#: Bits of the filter that says which windows of documents are worth a look; its size is all that is sent to the tasks, in CHUNK_BITS at a time.
+FILTER_BITS, CHUNK_BITS = 1 << 22, 1 << 15
 # fixed values: units of measurement that follow a number
 UNITS = """kg g mg lb lbs oz km m cm mm mi mile miles ft foot feet inch inches yard yards l ml litre litres liter liters gallon gallons
 second seconds sec minute minutes min hour hours hr hrs day days week weeks month months year years dollar dollars cent cents euro euros
@@ -28,30 +29,44 @@ pound pounds percent degree degrees mph kmh watt watts volt volts""".split()
 WORD_BYTES = byte_set((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 DIGIT, UPPER = byte_set((0x30, 0x39)), byte_set((0x41, 0x5A))
 STOP = byte_set((0x21, 0x21), (0x2E, 0x2E), (0x3F, 0x3F), (0x0A, 0x0A), (0x0D, 0x0D))
-NUMBER, NAME, UNIT = (np.uint64(x) for x in (0x4E554D, 0x4E414D45, 0x554E4954))
+LITERAL, NUMBER, NAME, UNIT = range(4)
+SLOT_HASHES = mixed(np.arange(1, 5, dtype=np.uint64) << np.uint64(50))
 _unit_text = " ".join(UNITS).encode()
 _unit_bytes = np.frombuffer(_unit_text, np.uint8)
 UNIT_HASHES = np.sort(span_hashes(_unit_bytes, *words(_unit_bytes, np.array([0, len(_unit_bytes)]), WORD_BYTES)[:2]))
 
 
-def template(data: np.ndarray, at: np.ndarray, form: int = TYPED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends, hashes, slot marks of the words of all texts, and the offsets of each text's words.
+@dataclass
+class Template:
+    """The words of a buffer of texts: byte places, hashes (those of a slot being its kind's), kinds, and the offsets of each text's words."""
+
+    starts: np.ndarray
+    ends: np.ndarray
+    h: np.ndarray
+    kind: np.ndarray
+    offsets: np.ndarray
+
+    def as_form(self, slots: tuple[int, ...]) -> Template:
+        """With these kinds as slots; h must still be the words' own."""
+        kind = np.where(np.isin(self.kind, slots), self.kind, LITERAL).astype(np.uint8)
+        return Template(self.starts, self.ends, np.where(kind > 0, SLOT_HASHES[kind], self.h), kind, self.offsets)
+
+
+def read_words(data: np.ndarray, at: np.ndarray) -> Template:
+    """All words with the kinds that they may have.
 
     Words are runs of letters, digits and bytes beyond ASCII; a point or comma between digits belongs to the number. A word with a digit is a
-    number; a known unit after a number is a unit; a capitalised word that doesn't open a sentence is a name; all else counts in lower case. FOLDED has no names, EXACT no slots at all.
+    number; a known unit after a number is a unit; a capitalised word that doesn't open a sentence is a name; all else counts in lower case.
     """
     inside = WORD_BYTES[data]
     digit = DIGIT[data]
     if len(data) > 2:
         mark = (data[1:-1] == 0x2E) | (data[1:-1] == 0x2C)
         inside[1:-1] |= mark & digit[:-2] & digit[2:]
-    flags = inside.astype(np.uint8)  # of a document boundary inside a number nothing can be said: words() cuts there
-    starts, ends, offsets = words(flags, at, np.arange(256) == 1)
+    starts, ends, offsets = words(inside.astype(np.uint8), at, np.arange(256) == 1)
     if not len(starts):
-        return starts, ends, np.zeros(0, np.uint64), np.zeros(0, bool), offsets
+        return Template(starts, ends, np.zeros(0, np.uint64), np.zeros(0, np.uint8), offsets)
     h = span_hashes(LOWER[data], starts, ends)
-    if form == EXACT:
-        return starts, ends, h, np.zeros(len(h), bool), offsets
     digits = np.concatenate(([0], np.cumsum(digit)))
     number = digits[ends] > digits[starts]
     first = np.zeros(len(starts), bool)
@@ -60,91 +75,148 @@ def template(data: np.ndarray, at: np.ndarray, form: int = TYPED) -> tuple[np.nd
     opens = first | np.concatenate(([True], stops[starts[1:]] > stops[ends[:-1]]))
     after = np.minimum(starts + 1, len(data) - 1)
     capital = UPPER[data[starts]] | ((data[starts] == 0xC3) & (data[after] >= 0x80) & (data[after] <= 0x9E))
-    name = capital & ~opens & ~number & (form == TYPED)
     unit = np.isin(h, UNIT_HASHES) & np.concatenate(([False], number[:-1])) & ~first
-    h[number], h[name], h[unit] = NUMBER, NAME, UNIT
-    return starts, ends, h, number | name | unit, offsets
+    kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(capital & ~opens, NAME, LITERAL))).astype(np.uint8)
+    return Template(starts, ends, h, kind, offsets)
 
 
-def windows(texts: pa.Array, size: int, exact: bool, form: int = TYPED) -> Iterator[tuple[int, np.ndarray, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each slice: first row, bytes, starts, ends, slot marks, window places and hashes, row of each window. exact: texts of just that size only."""
-    if form != TYPED:
-        texts = pc.utf8_lower(texts)
+def forms(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, Template]]:
+    """(form, first row, bytes, template) of each slice of the texts in each form."""
     for lo, _, data, at in slices(texts):
-        starts, ends, h, slot, offsets = template(data, at, form)
-        if len(h) < size:
-            continue
-        grams = gram_hashes(h, size)
-        row = np.searchsorted(offsets, np.arange(len(grams)), "right") - 1
-        ok = np.arange(len(grams)) + size <= offsets[row + 1]
-        marks = np.concatenate(([0], np.cumsum(slot)))
-        literals = size - (marks[size:] - marks[:-size])
-        ok &= literals >= min(LITERALS, size - 2)
-        if exact:
-            ok &= np.diff(offsets)[row] == size
-        at_ = np.flatnonzero(ok)
-        yield lo, data, starts, ends, slot, at_, grams[at_], row[at_], offsets
-
-
-def _rows(batch: pa.RecordBatch, size: int, exact: bool, wanted: np.ndarray | None, form: int) -> Iterator[pa.RecordBatch]:
-    for lo, data, starts, ends, slot, places, grams, row, offsets in windows(batch.column(1), size, exact, form):
-        if wanted is not None:
-            bit = grams % np.uint64(FILTER_BITS)
-            hit = (wanted[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
-            places, grams, row = places[hit], grams[hit], row[hit]
-        if not len(places):
-            continue
-        low, found, values = LOWER[data].tobytes(), [], []
-        for i in places.tolist():
-            parts = [low[starts[k] : ends[k]].decode("utf-8", "replace") for k in range(i, i + size)]
-            values.append([p for p, s in zip(parts, slot[i : i + size].tolist(), strict=True) if s])
-            found.append(" ".join("\0" if s else p for p, s in zip(parts, slot[i : i + size].tolist(), strict=True)))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(row + lo)), pa.array((places - offsets[row]).astype(np.int64)), pa.array(found, pa.string()), pa.array(values, pa.list_(pa.string())), pa.array(grams.view(np.int64))],
-            ["id", "place", "template", "slots", "gram"],
-        )
-
-
-def _windows_of(rows: DataFrame, id_col: str, size: int, exact: bool = False, wanted: object = None, form: int = TYPED) -> DataFrame:
-    kind = rows.schema[id_col].dataType.simpleString()
+        yield TYPED, lo, data, read_words(data, at).as_form((NUMBER, NAME, UNIT))
+    for lo, _, data, at in slices(pc.utf8_lower(texts)):
+        plain = read_words(data, at)
+        yield FOLDED, lo, data, plain.as_form((NUMBER, UNIT))
+        yield EXACT, lo, data, plain.as_form(())
+
+
+def growing(t: Template) -> tuple[np.ndarray, np.ndarray]:
+    """First and end word of the window that opens at each word: WINDOW words and more, until LITERALS of them are no slots; none that leaves its text."""
+    literals = np.concatenate(([0], np.cumsum(t.kind == LITERAL)))
+    first = np.arange(len(t.h))
+    end = np.maximum(first + WINDOW, np.searchsorted(literals, literals[:-1] + LITERALS))
+    last = np.repeat(t.offsets[1:], np.diff(t.offsets))
+    ok = end <= last
+    return first[ok], end[ok]
+
+
+def of_size(t: Template, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """All runs of so many words; of fewer than RUN only those that are a whole text."""
+    n = np.diff(t.offsets)
+    if size < RUN:
+        first = t.offsets[:-1][n == size]
+    else:
+        first = np.arange(len(t.h))
+        first = first[first + size <= np.repeat(t.offsets[1:], n)]
+    return first, first + size
+
+
+def whole_items(t: Template, form: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, first, end) of the items that have no window of their own in this form."""
+    literals = np.concatenate(([0], np.cumsum(t.kind == LITERAL)))
+    n, own = np.diff(t.offsets), literals[t.offsets[1:]] - literals[t.offsets[:-1]]
+    if form == EXACT:
+        short = (n > 0) & (n < WINDOW)
+    else:
+        short = ((n < WINDOW) | (own < LITERALS)) & (n >= WHOLE) & (own >= WHOLE_LITERALS)
+    for size in np.unique(n[short]).tolist():
+        first = t.offsets[:-1][short & (n == size)]
+        yield size, first, first + size
+
+
+ROWS = "id {kind}, form int, size int, place bigint, template string, slots array<string>, gram bigint"
+
+
+def _rows(ids: pa.Array, form: int, size: int, lo: int, data: np.ndarray, t: Template, first: np.ndarray, end: np.ndarray, grams: np.ndarray) -> pa.RecordBatch:
+    """Windows with their literals and typed slots written out. size 0 stands for windows that grow."""
+    low, found, values = LOWER[data].tobytes(), [], []
+    row = np.searchsorted(t.offsets, first, "right") - 1
+    kinds = t.kind.tolist()
+    for a, b in zip(first.tolist(), end.tolist(), strict=True):
+        parts = [low[t.starts[k] : t.ends[k]].decode("utf-8", "replace") for k in range(a, b)]
+        values.append([p for p, k in zip(parts, kinds[a:b], strict=True) if k])
+        found.append(" ".join(f"\0{k}" if k else p for p, k in zip(parts, kinds[a:b], strict=True)))
+    n = len(found)
+    return pa.RecordBatch.from_arrays(
+        [ids.take(pa.array(row + lo)), pa.array([form] * n, pa.int32()), pa.array([size] * n, pa.int32()), pa.array((first - t.offsets[row]).astype(np.int64)), pa.array(found, pa.string()), pa.array(values, pa.list_(pa.string())), pa.array(grams.view(np.int64))],
+        ["id", "form", "size", "place", "template", "slots", "gram"],
+    )
+
+
+def _grams(t: Template, form: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return poly_hashes(t.h, first, end) + SLOT_HASHES[form]
+
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """All windows of the benchmark's items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for form, lo, data, t in forms(batch.column(1)):
+                if not len(t.h):
+                    continue
+                shapes = [(WINDOW, *of_size(t, WINDOW)) if form == EXACT else (0, *growing(t)), *whole_items(t, form)]
+                for size, first, end in shapes:
+                    yield _rows(batch.column(0), form, size, lo, data, t, first, end, _grams(t, form, first, end))
+
+    return items.select("item_id", "text").mapInArrow(run, ROWS.format(kind=items.schema["item_id"].dataType.simpleString()))
+
+
+def document_windows(docs: DataFrame, shapes: list[tuple[int, int]], wanted: object) -> DataFrame:
+    """The documents' windows of these (form, size) that the filter lets through, all in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
         for batch in batches:
-            yield from _rows(batch, size, exact, wanted.value if wanted is not None else None, form)
+            for form, lo, data, t in forms(batch.column(1)):
+                for size in (s for f, s in shapes if f == form and len(t.h)):
+                    first, end = of_size(t, size) if size else growing(t)
+                    grams = _grams(t, form, first, end)
+                    bit = grams % np.uint64(FILTER_BITS)
+                    hit = (bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                    if hit.any():
+                        yield _rows(batch.column(0), form, size, lo, data, t, first[hit], end[hit], grams[hit])
+
+    return docs.select("doc_id", "text").mapInArrow(run, ROWS.format(kind=docs.schema["doc_id"].dataType.simpleString()))
+
 
-    return rows.select(F.col(id_col), "text").mapInArrow(run, f"id {kind}, place bigint, template string, slots array<string>, gram bigint")
+def _filter(own: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, put together by executors in pieces of CHUNK_BITS, of which the driver gets as many as there are."""
 
+    def pack(table: pa.Table) -> pa.Table:
+        bits = np.zeros(CHUNK_BITS, bool)
+        bits[table["bit"].to_numpy() % CHUNK_BITS] = True
+        return pa.table({"chunk": table["chunk"].slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    # FILTER_BITS is a power of two, so that the remainder of a signed number's bits is that of the unsigned one
+    bits = own.select(F.pmod("gram", F.lit(FILTER_BITS)).alias("bit")).distinct().withColumn("chunk", F.expr(f"bit div {CHUNK_BITS}"))
+    wanted = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in bits.groupBy("chunk").applyInArrow(pack, "chunk bigint, bits binary").collect():  # FILTER_BITS // CHUNK_BITS rows at most
+        wanted[r["chunk"] * CHUNK_BITS // 8 :][: CHUNK_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
+    return wanted
+
+
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, n_slots, n_changed, exact) for each document that holds a benchmark item's window.
 
-    Windows of `window` words, at least 6 of which are no slots, are joined on their template; an item that is shorter, down to 6 words, is
-    one window of its own length. The same is done in lower case (of all alphabets) with numbers and units as the only slots, and in lower
-    case without slots, where windows need no literals, so that capitals and full stops hide nothing. Windows of a document and an item with the same distance between their places belong to one alignment,
-    in which each value of the item's slots must stand for one value of the document's; other alignments are dropped. exact: no value
-    differs. The largest alignment counts. Before the join, windows of documents are held against a filter of FILTER_BITS bits
-    made from the benchmark's, which only lets more through when the benchmark is large. Null and empty texts match nothing, null ids are
-    ids; repeated rows count once, their windows together; other columns are ignored.
+    A window opens at each word and has WINDOW words, or as many more as it takes until LITERALS of them are no slots; windows are joined on their
+    template, in which each slot shows whether it is a number, a name or a unit. An item without such a window is one window as a whole, if it has WHOLE words
+    and WHOLE_LITERALS literals. The same is done in lower case (of all alphabets) with numbers and units as the only slots, and word for word in lower case
+    with WINDOW words, so that capitals and full stops hide nothing; items down to RUN words are looked for word for word as a whole, and those
+    of one or two words only as whole documents. Windows of a document and an item with the same distance between their places belong to one
+    alignment, in which each value of the item's slots must stand for one value of the document's; other alignments are dropped. The largest alignment
+    counts; exact: none of its values differs. What one item gives doesn't depend on the others: a filter of FILTER_BITS bits made from the
+    benchmark's windows goes before the join, and only lets more through when the benchmark is large.
+
+    Null and empty texts match nothing, null ids are ids; repeated rows count once, their windows together; other columns are ignored.
     """
     spark = prepare(docs.sparkSession)
-    items = benchmark.select(F.col("item_id"), "text").dropDuplicates()
-    found = []
-    for form, size in [(form, size) for form in (TYPED, FOLDED, EXACT) for size in range(LEAST, window + 1)]:
-        own = _windows_of(items, "item_id", size, exact=size < window, form=form).checkpoint()
-        # FILTER_BITS is a power of two, so that the remainder of a signed number's bits is that of the unsigned one
-        bits = own.select(F.pmod("gram", F.lit(FILTER_BITS)).alias("bit")).distinct().collect()  # FILTER_BITS at most
-        if not bits and size < window:
-            continue
-        wanted = np.zeros(FILTER_BITS // 8, np.uint8)
-        for (bit,) in bits:
-            wanted[bit >> 3] |= np.uint8(1 << (bit & 7))
-        theirs = _windows_of(docs, "doc_id", size, wanted=spark.sparkContext.broadcast(wanted), form=form)
-        own = own.select(F.col("id").alias("item_id"), F.col("place").alias("_place"), F.col("template").alias("_template"), F.col("slots").alias("_slots"))
-        both = theirs.join(own, F.col("template") == F.col("_template"))
-        found.append(both.select(F.col("id").alias("doc_id"), "item_id", F.lit(form).alias("form"), (F.col("place") - F.col("_place")).alias("shift"), "place", F.arrays_zip(F.col("_slots").alias("item"), F.col("slots").alias("doc")).alias("pairs")))
-    rows = found[0]
-    for more in found[1:]:
-        rows = rows.unionByName(more)
+    own = item_windows(benchmark.select("item_id", "text").dropDuplicates()).checkpoint()
+    shapes = sorted((r["form"], r["size"]) for r in own.select("form", "size").distinct().collect())  # three for each number of words of an item at most
+    theirs = document_windows(docs, shapes, spark.sparkContext.broadcast(_filter(own)))
+    own = own.select(F.col("id").alias("item_id"), F.col("form").alias("_form"), F.col("size").alias("_size"), F.col("place").alias("_place"), F.col("template").alias("_template"), F.col("slots").alias("_slots"))
+    both = theirs.join(own, (F.col("template") == F.col("_template")) & (F.col("form") == F.col("_form")) & (F.col("size") == F.col("_size")))
+    rows = both.select(F.col("id").alias("doc_id"), "item_id", "form", (F.col("place") - F.col("_place")).alias("shift"), "place", F.arrays_zip(F.col("_slots").alias("item"), F.col("slots").alias("doc")).alias("pairs"))
     # the pairs of an alignment are no more than the item's slots times the rows that repeat its document's id
     lined = rows.groupBy("doc_id", "item_id", "form", "shift").agg(F.count_distinct("place").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     lined = lined.withColumn("n_slots", F.size(F.array_distinct(F.col("pairs.item")))).where(F.size("pairs") == F.col("n_slots"))
@@ -154,5 +226,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
 
 
 def without_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that match no item, with all their columns; a null doc_id is never a match's."""
-    return docs.join(matches(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct(), F.col("doc_id") == F.col("_hit"), "left_anti")
+    """The documents that match no item, as often as they came, with columns of any name; a null doc_id stays."""
+    (hit,) = fresh_names(docs, "hit")
+    found = matches(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias(hit)).distinct()
+    return docs.join(found, F.col("doc_id") == F.col(hit), "left_anti")

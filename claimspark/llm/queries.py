@@ -19,9 +19,8 @@ def op1_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.fair_queue(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    rows = rows.select("doc_id", "size", "source_size", "target", "taken", "first_finish")
-    return rows.repartitionByRange("first_finish").sortWithinPartitions("first_finish")
+    rows = mixing.fair_queue(read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return rows.select("row.doc_id", "size", "source_size", "target", "taken", "copies", "place")
 
 
 def op3_simhash_vp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

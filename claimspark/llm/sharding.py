@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .common import parts_for, prepare
 
 ROWS_PER_PART = 200_000
+#: Rows of totals that are sent to all tasks; more are joined.
+MOST_BROADCAST = 100_000
 
 
 def with_offsets(rows: DataFrame, order: list[str], sums: dict[str, str], rows_per_part: int = ROWS_PER_PART) -> DataFrame:
@@ -25,8 +27,8 @@ def with_offsets(rows: DataFrame, order: list[str], sums: dict[str, str], rows_p
     totals = totals.select("_part", *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in sums], *[F.sum(f"_{k}").over(whole).alias(f"all_{k}") for k in sums])
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = placed.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_in_{k}") for k, c in sums.items()])
-    # totals has a row for each partition that was asked for above
-    out = out.join(F.broadcast(totals), "_part")
+    # totals has a row for each of the n partitions that were asked for above
+    out = out.join(F.broadcast(totals) if n <= MOST_BROADCAST else totals, "_part")
     return out.withColumns({k: F.col(f"_in_{k}") + F.col(f"_{k}") for k in sums}).drop("_part", *[f"_in_{k}" for k in sums], *[f"_{k}" for k in sums])
 
 

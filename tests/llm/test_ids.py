@@ -67,18 +67,58 @@ def test_op2_targets_and_words(spark, sf_dir):
         assert r.target == pytest.approx(goal[source[r.doc_id]])
         assert 0 <= r.taken <= 2 * r["size"]
         taken[source[r.doc_id]] += r.taken
-    assert all(abs(taken[s] - goal[s]) <= 1 for s in names)
+    assert all(abs(taken[s] - goal[s]) <= 2 * mixing.PACKET for s in names)
+    assert sum(taken.values()) == round(sum(goal.values()))
     assert sorted(rows) == sorted(queries.op2_weighted_fair_mix(spark, sf_dir).collect())
 
 
+def brute_mix(docs, targets, packet):
+    """All packets in the order of their finish times, until the budget is reached; documents are dicts in queue order of their sources."""
+    queue, at = [], defaultdict(int)
+    total = defaultdict(int)
+    for d in docs:
+        total[d["source"]] += d["size"]
+    for d in docs:
+        start, at[d["source"]] = at[d["source"]], at[d["source"]] + d["size"]
+        for turn in (0, 1):
+            for lo in range(0, d["size"], packet or max(1, d["size"])):
+                hi = min(d["size"], lo + packet) if packet else d["size"]
+                queue.append(((start + turn * total[d["source"]] + hi) / targets[d["source"]], d["order"], turn, hi - lo, d["id"]))
+    left, taken = round(sum(targets.values())), defaultdict(int)
+    for _, _, _, n, i in sorted(queue):
+        taken[i] += min(n, left) if packet or n <= left else 0
+        left -= min(n, left)
+    return taken
+
+
+@pytest.mark.parametrize("packet", [7, None])
+def test_the_cut_against_brute_force(spark, packet):
+    import random
+
+    rng = random.Random(9)
+    rows = [(i, " ".join("w" * rng.choice((0, 1, 5, 30, 200))), rng.choice(("a", "b", None, "c"))) for i in range(80)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r.doc_id: r for r in mixing.fair_queue(frame, packet=packet).select("row.doc_id", "row.source", "size", "target", "taken").collect()}
+    order = {r.doc_id: r.order for r in frame.select("doc_id", mixing._order(0).alias("order")).collect()}
+    docs = sorted(({"id": i, "source": r.source, "size": r["size"], "order": order[i]} for i, r in got.items() if r["size"]), key=lambda d: (d["order"], d["id"]))
+    want = brute_mix(docs, {r.source: r.target for r in got.values()}, packet)
+    assert {i: r.taken for i, r in got.items()} == {i: want[i] for i in got}
+
+
 def test_mix_of_hard_rows(spark):
-    rows = mixing.fair_queue(hard(spark)).collect()
+    frame = hard(spark).selectExpr("*", "'t' as target", "'c' as copies", "1 as row", "2 as turn", "3 as `a.b`", "4 as finish", "5 as name")
+    rows = mixing.fair_queue(frame).collect()
     assert len(rows) == len(HARD)
     assert all(r.taken <= 2 * r["size"] for r in rows)
     assert mixing.fair_queue(hard(spark).limit(0)).count() == 0
-    queue = mixing.fair_queue(hard(spark), cut="documents")
-    order = [r.finish for r in mixing.in_mix_order(queue.where("size > 0"), 3).collect()]
+    mix = mixing.mixed_documents(frame)
+    assert mix.columns == frame.columns and mix.count() > 0
+    assert all((r.target, r.copies, r.row, r.turn, r["a.b"], r.finish, r.name) == ("t", "c", 1, 2, 3, 4, 5) for r in mix.collect())
+    assert {r["size"] for r in mix.collect()} <= {"x", None}
+    order = [r.place for r in mixing.in_mix_order(mixing.fair_queue(frame, packet=None), 3).collect()]
     assert order == sorted(order) and order
+    alike = spark.createDataFrame([(1, "w " * 10, "a")] * 30 + [(2, "w " * 100, "b")], "doc_id bigint, text string, source string")
+    assert {r.doc_id: r.taken for r in mixing.fair_queue(alike).select("row.doc_id", "taken").collect()}[1] <= 20
 
 
 def test_op3_against_all_pairs(spark, sf_dir):
