@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from claimspark.session import shared_folder, workers_find
 
@@ -42,6 +43,15 @@ def fresh_names(frame: DataFrame, *names: str) -> list[str]:
     return [next(x for k in range(len(taken) + 1) if (x := f"_{name}{k or ''}") not in taken) for name in names]
 
 
+#: Rows of a small table that are sent to all tasks; with more it is joined like any other.
+MOST_SENT = 100_000
+
+
+def sent(small: DataFrame) -> DataFrame:
+    """A table that is written down already, marked to be sent to all tasks if it has MOST_SENT rows at most."""
+    return F.broadcast(small) if small.limit(MOST_SENT + 1).count() <= MOST_SENT else small
+
+
 def parts_for(rows: int, per_part: int, least: int = 1) -> int:
     """Partitions so that one holds about per_part rows, however many rows there are."""
     return max(least, -(-rows // per_part))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, sent
 from .sharding import with_offsets
 
 #: Words that are served at a time; a document queues up in packets of so many, which is also how near a source's taken words come to its target.
@@ -53,13 +53,13 @@ def queue(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, se
     """
     slim = docs.select(*_name(F.col("source")), _order(seed).alias("order"), F.col("doc_id").alias("id"), size(F.col("text")).alias("size")).checkpoint()
     sizes = slim.groupBy("none", "name").agg(F.sum("size").alias("source_size")).select(F.when(~F.col("none"), F.col("name")).alias("source"), "source_size")
-    goals = targets(sizes, weights, share, most).select(*_name(F.col("source")), "source_size", "target").checkpoint()  # a row per source
+    goals = targets(sizes, weights, share, most).select(*_name(F.col("source")), "source_size", "target")  # a row per source
     whole = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = Window.orderBy("none", "name").rowsBetween(Window.unboundedPreceding, -1)
-    goals = goals.withColumns({"budget": F.round(F.sum("target").over(whole)).cast("long"), "words_before": F.coalesce(F.sum("source_size").over(before), F.lit(0))})
+    goals = goals.withColumns({"budget": F.round(F.sum("target").over(whole)).cast("long"), "words_before": F.coalesce(F.sum("source_size").over(before), F.lit(0))}).checkpoint()
     line = with_offsets(slim.where("size > 0"), ["none", "name", "order", "id"], {"place": "size"})
-    line = line.join(goals.select("none", "name", "words_before"), ["none", "name"]).select("none", "name", "order", "id", "size", (F.col("place") - F.col("words_before")).alias("start"))
-    return line, goals.drop("words_before")
+    line = line.join(sent(goals).select("none", "name", "words_before"), ["none", "name"]).select("none", "name", "order", "id", "size", (F.col("place") - F.col("words_before")).alias("start"))
+    return line, goals
 
 
 def _order(seed: int) -> Column:
@@ -73,7 +73,7 @@ def cut_of(line: DataFrame, goals: DataFrame, most: int, packet: int | None) ->
     range-sorted by it and cut where their words reach the budget. In its source's queue, what lies before the cut is a beginning: two keys tell it.
     """
     number = F.ceil(F.col("size") / packet).cast("long") if packet else F.lit(1).cast("long")
-    rows = line.join(goals, ["none", "name"]).withColumn("turn", F.explode(F.array(*[F.lit(k) for k in range(most)]))).withColumn("number", F.explode(F.sequence(F.lit(1).cast("long"), number)))
+    rows = line.join(sent(goals), ["none", "name"]).withColumn("turn", F.explode(F.array(*[F.lit(k) for k in range(most)]))).withColumn("number", F.explode(F.sequence(F.lit(1).cast("long"), number)))
     done = F.least(F.col("number") * packet, F.col("size")) if packet else F.col("size")
     finish = (F.col("start") + F.col("source_size") * F.col("turn") + done) / F.col("target")
     words = done - (F.col("number") - 1) * packet if packet else F.col("size")
@@ -114,7 +114,8 @@ def fair_queue(
     cut = cut_of(line, goals, most, packet)
     by_turn = cut.groupBy("none", "name").pivot("turn", list(range(most))).agg(F.first("full").alias("full"), F.first("part").alias("part"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), *_name(F.col("source")), _order(seed).alias("order"), F.col("doc_id").alias("id"), size(F.col("text")).alias("size"))
-    rows = rows.join(goals.join(by_turn, ["none", "name"], "left"), ["none", "name"])
+    cuts = goals.drop("words_before").join(by_turn, ["none", "name"], "left").checkpoint()
+    rows = rows.join(sent(cuts), ["none", "name"])
     key = F.struct("order", "id")
 
     def taken_in(turn: int) -> Column:

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from .common import byte_set, new_table, parts_for, prepare, slices
 
 END_ID = 2
-ROWS_PER_PART = 4_000
+#: Bytes of text that a task encodes, about.
+PART_BYTES = 8 << 20
 #: Ids of a segment, about; a document is never cut, so that a longer one makes a longer segment.
 SEGMENT_IDS = 250_000
 MAGIC, LEVEL_BITS, BLOCK_BITS = b"DAC1", 8, 512
@@ -204,8 +205,13 @@ class Segment:
 def write_segments(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> None:
     """Writes the documents' ids, each with end_id behind it, as segments in ascending order of doc_id.
 
-    The rows of the files are (part, seq, docs, ids, segment): part and seq give the order. Documents are range-partitioned by doc_id, equal
-    ones by the text's hash; null ids come first; null and empty texts have the end id only.
+    The rows of the files are (part, seq, docs, ids, segment): part and seq give the order, and the columns beside the segment are its index. Segments are
+    neither compressed nor put into dictionaries, so that a segment's bytes can be used as they lie in the file. Documents are range-partitioned by
+    doc_id into parts of about PART_BYTES of text. doc_ids are integers of at most 64 bits.
+
+    Rows that repeat a doc_id are ordered by their texts' hashes, and rows alike in both are interchangeable; null ids come first; null and empty texts
+    have the end id only; a very long text is never cut and makes a longer segment; other columns, whatever their names, are left out; no rows give files
+    without segments.
     """
     prepare(docs.sparkSession)
 
@@ -240,8 +246,9 @@ def write_segments(docs: DataFrame, tokenizer: str, path: str, end_id: int = END
             yield flush()
 
     rows = docs.select("doc_id", "text").withColumn("_tie", F.xxhash64("text"))
-    rows = rows.repartitionByRange(parts_for(docs.count(), ROWS_PER_PART, docs.sparkSession.sparkContext.defaultParallelism), "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
-    rows.select("doc_id", "text").mapInArrow(run, "part int, seq int, docs bigint, ids bigint, segment binary").write.parquet(path)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = rows.repartitionByRange(parts_for(size, PART_BYTES, docs.sparkSession.sparkContext.defaultParallelism), "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
+    rows.select("doc_id", "text").mapInArrow(run, "part int, seq int, docs bigint, ids bigint, segment binary").write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
 
 
 SCHEMA = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("docs", pa.int64()), ("ids", pa.int64()), ("segment", pa.binary())])
@@ -265,6 +272,20 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return found.join(parts, "part").select("doc_id", (F.col("at") + F.col("_before")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def token_at(spark: SparkSession, path: str, place: int) -> int:
+    """The id at one place of all files: the index says which segment has it, and only that segment's cell is read."""
+    index = spark.read.parquet(path).select("part", "seq", "ids")
+    parts = index.groupBy("part").agg(F.sum("ids").alias("n"))
+    ends = parts.withColumn("end", F.sum("n").over(Window.orderBy("part"))).where(F.col("end") > place)  # a row per part
+    part = ends.orderBy("part").select("part", (F.col("end") - F.col("n")).alias("before")).first()
+    if part is None or place < 0:
+        raise IndexError(place)
+    rows = index.where(F.col("part") == part["part"]).withColumn("end", F.sum("ids").over(Window.orderBy("seq")) + part["before"])  # a row per segment of the part
+    row = rows.where(F.col("end") > place).orderBy("seq").first()
+    raw = spark.read.parquet(path).where((F.col("part") == part["part"]) & (F.col("seq") == row["seq"])).select("segment").first()["segment"]
+    return Segment(bytes(raw)).token(place - (row["end"] - row["ids"]))
+
+
 def write_and_read(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """Writes the files to a new table in the shared folder and reads them back; no rows give no rows."""
     path = new_table(docs.sparkSession, "token-ids")

@@ -58,6 +58,15 @@ def test_toxicity_of_hard_rows(spark):
     assert toxicity.without_toxic(hard(spark), labels.limit(0)).count() == len(HARD)
 
 
+def test_toxic_spans_lie_in_the_text_itself(spark):
+    model = toxicity.Model({"=vile": 8.0}, -3.0, np.zeros((2, 2)), np.array([-2.0, 0, 0, 5.0]))
+    text = "İİ a VILE, vile b"
+    row = toxicity.score(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), model).collect()[0]
+    assert [text[int(a) : int(b)] for a, b in (s.split(":") for s in row.spans.split(","))] == ["VILE, vile"]
+    x = toxicity.Tagger(model).aggregate(["a", "vile", "vile", "b"])[2]
+    assert row.predicted == 1 and row.score == pytest.approx(1 / (1 + np.exp(-(model.document @ x))))
+
+
 ITEM = "In the spring Anna bought 12 apples and 7 kg of pears for her friend Bertha, who paid 12 coins. So how many coins did Anna keep?"
 
 
@@ -136,7 +145,20 @@ def test_segments_give_any_token():
         assert segment.names == [7, None] and segment.before == 5
 
 
+def test_any_token_of_the_files(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    tokens.write_segments(docs, queries.TOKENIZER, str(tmp_path / "ids"))
+    encoder = tokens.Encoder(queries.TOKENIZER)
+    ids = [i for d in sorted(documents(spark, sf_dir), key=lambda d: d["doc_id"]) for i in [*np.frombuffer(encoder.plain((d["text"] or "").encode()), "<u4").tolist(), 2]]
+    for place in (0, len(ids) // 3, len(ids) - 1):
+        assert tokens.token_at(spark, str(tmp_path / "ids"), place) == ids[place]
+    with pytest.raises(IndexError):
+        tokens.token_at(spark, str(tmp_path / "ids"), len(ids))
+
+
 def test_token_files_of_hard_rows(spark):
+    clashing = hard(spark).selectExpr("*", "1 as part", "2 as _tie", "3 as segment", "4 as n")
+    assert tokens.write_and_read(clashing, queries.TOKENIZER).count() == len(HARD)
     rows = sorted((r.start, r.doc_id, r.n_tokens) for r in tokens.write_and_read(hard(spark), queries.TOKENIZER).collect())
     assert [r[1] for r in rows] == [1, 2, 2, 3, 4, 5, 6]
     assert [r[0] for r in rows] == np.cumsum([0, *[r[2] for r in rows[:-1]]]).tolist()
