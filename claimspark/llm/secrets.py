@@ -32,16 +32,31 @@ SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "sec
 STAND_IN = re.compile(rb"(?i)example|changeme|placeholder|your[_-]|dummy|xxxx|\*\*\*\*|<[^>]*>|\$\{|todo|redacted")
 #: A literal's score is its name's weight times how unlike words it is; at least this makes a span.
 ACCEPT = 0.45
-#: A name and what may stand after it, both read backwards from the operator.
-TARGET = re.compile(rb"""[\x20\t]*["'\]]?([A-Za-z0-9_.$-]*[A-Za-z_])""")
-LITERAL = re.compile(rb"""(?:[bru]?"((?:[^"\\\n]|\\.)*)"|[bru]?'((?:[^'\\\n]|\\.)*)')""")
-BARE = re.compile(rb"""([A-Za-z0-9+/_.=~@!-]+)""")
-JOIN = re.compile(rb"[\x20\t]*\+[\x20\t]*")
+# fixed values: what opens a comment to the end of its line, and the operators that give a value to a name or only look like it
+LINE_COMMENTS = (b"#", b"//", b"-- ", b";")
+GIVES, OTHERS = (b":=", b"=>", b"?=", b"=", b":"), (b"===", b"==", b"!=", b"<=", b">=", b"::", b"://")
+#: Where the lexer stops: comments, quotes, ends of tags and operators, the longer first. All begin with a fixed byte, so that plain text is passed over fast.
+STOPS = re.compile(b"|".join(re.escape(x) for x in sorted((*LINE_COMMENTS, b"/*", b"<!--", b'"', b"'", b"`", b">", *GIVES, *OTHERS), key=len, reverse=True)))
+#: Strings by their opening quotes; only those of three quotes go over lines.
+STRINGS = {
+    b'"""': re.compile(rb'"""((?:[^"\\]|\\.|"(?!""))*)"""', re.S),
+    b"'''": re.compile(rb"'''((?:[^'\\]|\\.|'(?!''))*)'''", re.S),
+    b'"': re.compile(rb'"((?:[^"\\\n]|\\.)*)"'),
+    b"'": re.compile(rb"'((?:[^'\\\n]|\\.)*)'"),
+    b"`": re.compile(rb"`([^`\n]*)`"),
+}
+PREFIX = re.compile(rb"[bBrRuUfF]{0,2}(?=[\"'`])")
+#: A name, read backwards from what comes after it; the text of an element up to its end tag; a bare value; a name that stands for its value; what joins two strings.
+NAME_BACK = re.compile(rb"[\x20\t]*\]?[\x20\t]*([A-Za-z0-9_.$-]*[A-Za-z_])")
+ELEMENT = re.compile(rb">\s*([^<>]*?)\s*</([A-Za-z_][A-Za-z0-9_.:-]*)\s*>")
+BARE = re.compile(rb"[A-Za-z0-9+/_.=~@!-]+")
+REFERENCE = re.compile(rb"\$\{?([A-Za-z_][A-Za-z0-9_]*)\}?")
+JOIN = re.compile(rb"[\x20\t]*(?:[+.][\x20\t]*)?(?=[\"'`])")
 
 
 def name_weight(name: bytes) -> float:
     """The weight of the most telling part of a name, split at case changes and signs; parts that run on are tried joined in pairs too."""
-    text = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name.decode())
+    text = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name.decode("utf-8", "replace"))
     parts = [p for p in re.split(r"[^a-z0-9]+", text.lower()) if p]
     return max((SENSITIVE.get(p, 0.0) for p in [*parts, *map("".join, zip(parts, parts[1:], strict=False))]), default=0.0)
 
@@ -56,70 +71,127 @@ def value_weight(value: bytes) -> float:
     return min(1.0, bits / 3.5) * min(1.0, 0.4 + 0.3 * (classes - 1) + 0.2 * (n >= 16))
 
 
-def _value_at(line: bytes, at: int, constants: dict[bytes, tuple[bytes, int, int]]) -> tuple[bytes, int, int, bool] | None:
-    """The value that stands at a place of a line, its start and end, and whether it was quoted; names stand for their constant, and sums are joined."""
-    if m := LITERAL.match(line, at):
-        value, start, end, quoted = _inside(m), m.start() + m[0].index(m[0][-1:]) + 1, m.end() - 1, True
-    elif m := BARE.match(line, at):
-        if m[1] in constants:
-            return *constants[m[1]], True
-        if line[m.end() : m.end() + 1] in (b"(", b"["):
-            return None  # a call
-        value, start, end, quoted = m[1], m.start(), m.end(), False
-    else:
-        return None
-    while quoted and (j := JOIN.match(line, m.end())) and (more := LITERAL.match(line, j.end())):
-        m = more
-        value, end = value + _inside(m), m.end() - 1
-    return value, start, end, quoted
+def _string_at(text: bytes, at: int) -> tuple[int, int, int] | None:
+    """Start and end of a string's inside, and the end of the string, if one opens here."""
+    at = m.end() if (m := PREFIX.match(text, at)) else at
+    kind = STRINGS.get(text[at : at + 3]) or STRINGS.get(text[at : at + 1])
+    m = kind.match(text, at) if kind else None
+    return (*m.span(1), m.end()) if m else None
 
 
-def _inside(m: re.Match) -> bytes:
-    return m[1] if m[1] is not None else m[2]
+class Lexer:
+    """Reads a source or configuration text once, from stop to stop, and tells its name-value pairs.
 
+    Comments are passed over: #, // and -- after a blank or at the start of a line, ; at the start of a line, /* */ and <!-- -->. A quote behind a letter or digit opens nothing.
+    """
 
-def assignments(text: bytes, operators: list[int]) -> Iterator[tuple[bytes, bytes, int, int, bool]]:
-    """(name, value, start, end, quoted) of each name = value, name: value, "name": "value" or name := value; start and end enclose the value.
+    def __init__(self, text: bytes) -> None:
+        self.text = text
+        #: Values of names: those in quotes, which a plain name stands for, and all, which $NAME stands for.
+        self.quoted: dict[bytes, tuple[bytes, int, int]] = {}
+        self.known: dict[bytes, tuple[bytes, int, int]] = {}
+
+    def pairs(self) -> Iterator[tuple[bytes, bytes, int, int]]:
+        """(name, value, start, end); start and end enclose the value where it is written.
+
+        Read are name = value, name: value, name := value, name ?= value, "name" => value, x["name"] = value, name: type = value, and <name>value</name>.
+        """
+        text, at, floor = self.text, 0, 0  # names are looked for behind the floor
+        said: tuple[bytes, int, int] | None = None  # a string just before, which may be a name
+        typed: tuple[bytes, int] | None = None  # a name whose colon was followed by a bare word, and where that word ends
+        while stop := STOPS.search(text, at):
+            token, start, at = stop[0], stop.start(), stop.end()
+            if token in LINE_COMMENTS:
+                if (text[start - 1 : start] in b"\n\r" if token == b";" else text[start - 1 : start].isspace() or not start):
+                    end = text.find(b"\n", at)
+                    at = floor = len(text) if end < 0 else end
+            elif token in (b"/*", b"<!--"):
+                end = text.find(b"*/" if token == b"/*" else b"-->", at)
+                at = floor = len(text) if end < 0 else end + 2
+            elif token in (b'"', b"'", b"`"):
+                if not text[start - 1 : start].isalnum() and (found := _string_at(text, start)):
+                    said, at = (text[found[0] : found[1]], start, found[2]), found[2]
+                    floor = at
+            elif token == b">":
+                if m := ELEMENT.match(text, start):
+                    floor = at = m.end()
+                    yield from self.keep(m[2], m[1], *m.span(1), True)
+            elif token in OTHERS:
+                floor, typed = at, None
+            else:
+                name = self.name_before(start, floor, said)
+                if typed and token == b"=" and not text[typed[1] : start].strip(b" \t"):
+                    name = typed[0]
+                typed = None
+                found = self.value_after(at)
+                floor = at
+                if not found:
+                    continue
+                value, a, b, quoted, after = found
+                if quoted or BARE.match(text, at) or b"=" in value:
+                    at = max(at, after)
+                if quoted:
+                    floor = at
+                elif token == b":":
+                    typed = (name, after)
+                if name:
+                    yield from self.keep(name, value, a, b, quoted)
+
+    def name_before(self, start: int, floor: int, said: tuple[bytes, int, int] | None) -> bytes:
+        if said and not self.text[said[2] : start].strip(b" \t]"):
+            return said[0]
+        m = NAME_BACK.match(self.text[floor:start][::-1])
+        return m[1][::-1] if m else b""
+
+    def value_after(self, at: int) -> tuple[bytes, int, int, bool, int] | None:
+        """A value, its start and end where it is written, whether it was in quotes, and where reading goes on."""
+        text = self.text
+        while text[at : at + 1] in (b" ", b"\t") and at < len(text):
+            at += 1
+        if found := _string_at(text, at):
+            value, start, end, after = text[found[0] : found[1]], *found
+            while (j := JOIN.match(text, after)) and (more := _string_at(text, j.end())):
+                value, end, after = value + text[more[0] : more[1]], more[1], more[2]
+            return value, start, end, True, after
+        if m := REFERENCE.match(text, at):
+            return (*self.known[m[1]], True, m.end()) if m[1] in self.known else None
+        if m := BARE.match(text, at):
+            if m[0] in self.quoted:
+                return *self.quoted[m[0]], True, m.end()
+            if text[m.end() : m.end() + 1] not in (b"(", b"["):  # no call
+                return m[0], m.start(), m.end(), False, m.end()
+        return None
 
-    A name that was given a literal stands for it in later assignments of the same text.
-    """
-    constants: dict[bytes, tuple[bytes, int, int]] = {}
-    for k, at in enumerate(operators):
-        if text[at - 1 : at] in (b"=", b":", b"!", b"<", b">") or text[at + 1 : at + 2] == b"=" and text[at : at + 1] == b"=":
-            if not (text[at - 1 : at] == b":" and text[at : at + 1] == b"="):
-                continue
-        end = at - (text[at - 1 : at] == b":")
-        before = k - 1 - (end < at)  # names hold no operators
-        found_name = TARGET.match(text[operators[before] + 1 if before >= 0 else 0 : end][::-1])
-        if not found_name:
-            continue
-        name = found_name[1][::-1]
-        i = at + 1
-        while text[i : i + 1] in (b" ", b"\t", b"=") and i < len(text):
-            i += 1
-        found = _value_at(text, i, constants)
-        if found:
-            value, start, end, quoted = found
-            if quoted or name in constants:
-                constants[name] = (value, start, end)
-            yield name, value, start, end, quoted
-
-
-def spans_of(text: bytes, hex_runs: list[tuple[int, int]], operators: list[int]) -> dict[str, list[tuple[int, int]]]:
-    """Byte spans of each kind."""
+    def keep(self, name: bytes, value: bytes, start: int, end: int, quoted: bool) -> Iterator[tuple[bytes, bytes, int, int]]:
+        self.known[name] = (value, start, end)
+        if quoted or name in self.quoted:
+            self.quoted[name] = (value, start, end)
+        yield name, value, start, end
+
+
+def scored(text: bytes) -> dict[tuple[int, int], float]:
+    """The scores of the literals that are secret enough, by their byte spans: the name's weight times how little the value looks like words."""
+    out: dict[tuple[int, int], float] = {}
+    for name, value, start, end in Lexer(text).pairs():
+        weight = name_weight(name)
+        score = weight * value_weight(value) if weight else 0.0
+        if score >= ACCEPT:
+            out[start, end] = max(score, out.get((start, end), 0.0))
+    return out
+
+
+def spans_of(text: bytes, hex_runs: list[tuple[int, int]], pairs: bool) -> tuple[dict[str, list[tuple[int, int]]], list[float]]:
+    """Byte spans of each kind, and the scores of the literals; pairs: the text has something that may give a name a value."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    if operators:
+    scores: list[float] = []
+    if pairs:
         out["assign"] = [m.span() for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
-        seen: set[tuple[int, int]] = set()
-        for name, value, start, end, _ in assignments(text, operators):
-            weight = name_weight(name)
-            if weight and (start, end) not in seen and weight * value_weight(value) >= ACCEPT:
-                seen.add((start, end))
-        out["literal"] = sorted(seen)
+        found = sorted(scored(text).items())
+        out["literal"], scores = [k for k, _ in found], [v for _, v in found]
     if b"AKIA" in text:
         out["access"] = [m.span() for m in ACCESS.finditer(text) if len(m[0]) >= LEAST["access"]]
     out["hex"] = hex_runs
-    return out
+    return out, scores
 
 
 def _points(text: bytes, spans: dict[str, list[tuple[int, int]]]) -> list[tuple[int, int, int]]:
@@ -135,11 +207,11 @@ def _written(points: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, n_literal, base_sha256, spans) of each document.
+    """(doc_id, n_assign, n_access, n_hex, n_literal, base_sha256, spans, literal_scores) of each document.
 
     assign, access and hex are the plain kinds, found leftmost without overlap in the whole text; matches that are too short are dropped
     after they are found. literal spans enclose the values of assignments, in code and configuration, whose name is sensitive and whose value
-    isn't like words; a constant counts where it is written. Offsets count code points, ends are exclusive; spans are ordered by start, then kind,
+    isn't like words; a constant counts where it is written; assignments in comments don't count. literal_scores has their scores, in the order of the spans. Offsets count code points, ends are exclusive; spans are ordered by start, then kind,
     base_sha256 is that of the plain kinds' spans. Null and empty texts have none; repeated rows come out as often as they came; other
     columns are ignored; no rows give no rows.
     """
@@ -154,20 +226,19 @@ def scan(docs: DataFrame) -> DataFrame:
                 long = ends - starts >= LEAST["hex"]
                 starts, ends = starts[long], ends[long]
                 hex_bounds = np.searchsorted(starts, at)
-                ops = np.flatnonzero((data == 0x3D) | (data == 0x3A))
+                ops = np.flatnonzero((data == 0x3D) | (data == 0x3A) | (data == 0x3C))
                 op_bounds = np.searchsorted(ops, at)
                 for r in range(len(at) - 1):
                     lo, hi = int(at[r]), int(at[r + 1])
                     text = raw[lo:hi]
                     a, b = hex_bounds[r], hex_bounds[r + 1]
-                    c, d = op_bounds[r], op_bounds[r + 1]
-                    spans = spans_of(text, [(int(s) - lo, int(e) - lo) for s, e in zip(starts[a:b], ends[a:b], strict=True)], (ops[c:d] - lo).tolist())
+                    spans, scores = spans_of(text, [(int(s) - lo, int(e) - lo) for s, e in zip(starts[a:b], ends[a:b], strict=True)], bool(op_bounds[r + 1] > op_bounds[r]))
                     points = _points(text, spans) if any(spans.values()) else []
                     base = _written([p for p in points if p[1] < 3])
-                    rows.append((*[len(spans[k]) for k in KINDS], hashlib.sha256(base.encode()).hexdigest(), _written(points)))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = (pa.int64(),) * 4 + (pa.string(),) * 2
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, t) for v, t in zip(cols, kinds, strict=True)]], ["doc_id", "n_assign", "n_access", "n_hex", "n_literal", "base_sha256", "spans"])
+                    rows.append((*[len(spans[k]) for k in KINDS], hashlib.sha256(base.encode()).hexdigest(), _written(points), scores))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            kinds = (*(pa.int64(),) * 4, pa.string(), pa.string(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, t) for v, t in zip(cols, kinds, strict=True)]], ["doc_id", "n_assign", "n_access", "n_hex", "n_literal", "base_sha256", "spans", "literal_scores"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, n_literal bigint, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, n_literal bigint, base_sha256 string, spans string, literal_scores array<double>")

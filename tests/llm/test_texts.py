@@ -326,17 +326,60 @@ def test_licenses_of_a_file_with_all_of_them(spark):
     assert by_id(licenses.scan(frame))[1].labels == ",".join(sorted({label for label, _, _ in licenses.TEMPLATES}))
 
 
-def test_secrets_with_many_constants_and_long_names():
-    def literals(text):
-        raw = text.encode()
-        return [raw[a:b].decode() for a, b in secrets.spans_of(raw, [], [i for i, c in enumerate(raw) if c in b"=:"])["literal"]]
+def literals(text):
+    raw = text.encode()
+    return [raw[a:b].decode() for a, b in sorted(secrets.scored(raw))]
+
 
+def test_secrets_with_many_constants_and_long_names():
     many = "".join(f'n{i} = "v"\n' for i in range(10_001)) + 'base = "s3cr3t-Val9x"\ndb_password = base\n'
     assert literals(many) == ["s3cr3t-Val9x"]
     assert literals("password." + "x" * 300 + " = 'qW8#kd0!pZ3vT'") == ["qW8#kd0!pZ3vT"]
     assert literals("auth_key" + " " * 300 + ":= 'A1b2C3d4E5f6G7h8'") == ["A1b2C3d4E5f6G7h8"]
 
 
+SECRET = "qW8#kd0!pZ3vT"
+LEXED = {
+    f"# password = '{SECRET}'\n": [], f"// token: '{SECRET}'": [], f"x = 1 # secret = '{SECRET}'": [], f"/* api_key = '{SECRET}'\n secret = '{SECRET}' */ a = 1": [], f"<!-- <password>{SECRET}</password> -->": [], f"-- secret = '{SECRET}'": [], f"; secret = '{SECRET}'": [],
+    f'secret = """{SECRET}"""': [SECRET], f"secret = r'''{SECRET}'''": [SECRET], f"const secret = `{SECRET}`;": [SECRET], f"<db><password>{SECRET}</password></db>": [SECRET], f'<add secret="{SECRET}" x="1"/>': [SECRET], f"<password type='a'>{SECRET}</password>": [SECRET],
+    f'{{"a": {{"clientSecret" : "{SECRET}"}}}}': [SECRET], f"cfg['api_key'] = '{SECRET}'": [SECRET], f"cfg = {{'token' => '{SECRET}'}}": [SECRET], f"password: str = '{SECRET}'": [SECRET], f"if password == '{SECRET}'": [], f"password != '{SECRET}'": [], f"connect(user='me', password='{SECRET}')": [SECRET],
+    f"url = 'http://x'  # c\npassword = '{SECRET}'": [SECRET], f"it's the user's token = '{SECRET}'": [SECRET], f'text = "password = {SECRET}"': [], f"a = '#'; secret = '{SECRET}'": [SECRET], "pw = 'qW8#kd0!' + 'pZ3vT'\ndb_password = pw": ["qW8#kd0!' + 'pZ3vT"],
+    "export BASE=s3cr3t-Val9x/Q\nexport DB_PASSWORD=${BASE}": ["s3cr3t-Val9x/Q"], "base = s3cr3t-Val9x\npassword = base": [], "secret = load('s3cr3t-Val9x')": [], "secret ?= A1b2C3d4E5f6G7h8": ["A1b2C3d4E5f6G7h8"], f"std::secret::x('{SECRET}')": [], f"secret = 'unfinished\ntoken = '{SECRET}'": [SECRET],
+    "password = 'hello'": [], "password = 'changeme123A!'": [], f"name = '{SECRET}'": [], "": [], "=:=:\"'`><": [], f"```\nsecret = '{SECRET}'\n```": [SECRET],
+}
+
+
+@pytest.mark.parametrize("text", LEXED)
+def test_secrets_are_lexed(text):
+    assert literals(text) == LEXED[text]
+
+
+def test_literals_of_planted_programs(spark):
+    """Random lines in many syntaxes; which hold a secret is known from how they are made."""
+    import random
+    import string
+
+    rng = random.Random(4)
+    value = lambda: "".join(rng.choice(string.ascii_letters) + rng.choice(string.digits) for _ in range(rng.randrange(8, 14))) + "!"
+    shapes = ['{n} = "{v}"', "{n}: '{v}'", '"{n}": "{v}",', "{n} := `{v}`", "<{n}>{v}</{n}>", "x['{n}'] = '{v}'", "f(a=1, {n}='{v}')", "{n} => \"{v}\"", '{n} = \'\'\'{v}\'\'\'']
+    rows, want = [], {}
+    for k in range(60):
+        text, spans = "é caf" + "é" * rng.randrange(3) + "\n", []
+        for _ in range(rng.randrange(12)):
+            v, good = value(), rng.random() < 0.5
+            line = rng.choice(shapes).format(n=rng.choice(("db_password", "apiKey", "secret_token")) if good else rng.choice(("title", "color", "path")), v=v)
+            if rng.random() < 0.2:
+                line, good = rng.choice(("# ", "// ", "<!-- ")) + line + " -->", False
+            if good:
+                spans.append(f"literal:{len(text) + line.index(v)}:{len(text) + line.index(v) + len(v)}")
+            text += line + "\n" + rng.choice(("", "plain words: here\n", "it's (so) = fine\n"))
+        rows.append((k, text))
+        want[k] = spans
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: [s for s in r.spans.split(",") if s.startswith("literal")] for r in got} == want
+    assert all(len(r.literal_scores) == r.n_literal and all(secrets.ACCEPT <= x <= 1 for x in r.literal_scores) for r in got)
+
+
 def test_op5_finds_items_in_any_case(spark):
     item = "every évening the old miller counts 12 sacks of flour and writes them down in a small book"
     texts = [item.upper(), item.title(), item.upper().replace("12", "31"), item.replace("old ", "old. "), "nothing of it"]
