@@ -3,8 +3,9 @@
 import pytest
 
 import __spark_entry__
-from claimspark.operators import gate, records, registry, relate, serve
+from claimspark.operators import canon, gate, records, registry, relate, serve
 from claimspark.sources import tables
+from claimspark.streaming.incremental import FactState
 
 CANON = (
     "claim_id bigint, doc_id bigint, block_key string, value_canon double, value_text string, unit_canon string, precision double, scope_canon string, basis_canon string, "
@@ -76,6 +77,74 @@ def test_quotes(spark):
     assert tuple(rows[1].span) == (6, 17) and rows[5].detail == "page 9 of 3"
 
 
+def test_moved_claims_take_the_currency_of_their_own_page(spark):
+    """The quote stands on page 1, in rupees; page 2, in dollars, was cited."""
+    pages = spark.createDataFrame([(1, 1, "All figures in rupees. Revenue was 815 crore"), (1, 2, "US$ 5")], "doc_id bigint, page_no int, text string")
+    docs = spark.createDataFrame([(1, 2, "Acme", None)], "doc_id bigint, page_count int, publisher string, published_at string")
+    kinds = "claim_id bigint, doc_id bigint, page_no int, subject string, metric_raw string, label string, value_raw string, unit_raw string, period_raw string, scope_raw string, basis_raw string, quote string, keys map<string,string>, status string"
+    claims = spark.createDataFrame([(7, 1, 2, "Acme", "revenue", "Revenue", "815", "crore", "FY24", None, None, "Revenue was 815", {}, "unverified")], kinds)
+    checked = gate.verify_claims(claims, pages, docs).checkpoint()
+    assert [(r.page_no, r.grade, tuple(r.span)) for r in checked.collect()] == [(1, "nearby", (23, 38))]
+    row = canon.canonicalise_claims(checked, docs, spark.createDataFrame([], "alias string, key string"), pages).collect()[0]
+    assert (row.unit_canon, row.value_canon, row.block_key) == ("INR", 815e7, "acme|revenue|2023-04-01|2024-03-31")
+
+
+CLAIM = "claim_id bigint, doc_id bigint, page_no int, subject string, metric_raw string, label string, value_raw string, unit_raw string, period_raw string, scope_raw string, basis_raw string, quote string, keys map<string,string>, status string"
+
+
+def stated(i, subject, keys, value="1", metric="revenue", status="verified"):
+    return (i, i % 3, 1, subject, metric, "Revenue", value, "INR", "FY24", None, "actual", "q", keys, status)
+
+
+def test_owners_are_followed_to_the_root(spark):
+    """Claims that share an identifier have one entity, however long the chain."""
+    chain = [stated(k, f"name {k}", {f"k{k - 1}": "v", f"k{k}": "V"}) for k in range(1, 12)]
+    rows = spark.createDataFrame([*chain, stated(20, "alone", {"k0": "", "x": None}), stated(21, "none", {})], CLAIM).selectExpr("*", "'P' as publisher")
+    assert {r.claim_id: r.entity for r in canon.resolve_entities(rows).collect()} == {**{k: "name 1" for k in range(1, 12)}, 20: "alone", 21: "none"}
+
+
+def test_aliases_are_followed_and_counted_once(spark):
+    counts = spark.createDataFrame([("a", 1), ("b", 1), ("c", 5), ("d", 1)], "metric_raw string, n bigint")
+    aliases = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("d", "d")], "alias string, key string")
+    assert sorted(tuple(r) for r in canon.metric_keys(counts, aliases).collect()) == [("a", "c"), ("b", "c"), ("c", "c"), ("d", "d")]
+
+
+def test_published_tables_that_differ(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "a/t"))
+    assert [tuple(r) for r in tables.publish_and_verify(spark, str(tmp_path / "a"), str(tmp_path / "b"), ["t"]).collect()] == [("t", 3, 3, "ok")]
+    compared = tables.publish_and_verify(spark, str(tmp_path / "a"), str(tmp_path / "b"), ["t"])
+    spark.range(2).write.mode("overwrite").parquet(str(tmp_path / "b/t"))
+    spark.catalog.clearCache()
+    assert [r.outcome for r in tables.compare_counts(spark, str(tmp_path / "a"), str(tmp_path / "b"), ["t"]).collect()] == ["MISMATCH"] and compared.columns[-1] == "outcome"
+
+
+def test_the_state_equals_a_rebuild(spark, tmp_path):
+    """Claims in any order over batches: older ids and more frequent spellings come late and move what is there; the first batch has no relation, one is sent twice."""
+    import random
+
+    rng = random.Random(1)
+    claims = [stated(k, f"name {rng.randrange(6)}", {x: str(rng.randrange(4)) for x in rng.sample(["din", "pan", "cin"], rng.randrange(3))}, str(rng.randrange(3)), rng.choice(["revenue", "revenues", "cost", "costs"]), rng.choice(["verified", "verified", "quarantined"])) for k in range(36)]
+    rng.shuffle(claims)
+    docs = spark.createDataFrame([(k, f"P{k}", "2024") for k in range(3)], "doc_id bigint, publisher string, published_at string")
+    aliases = spark.createDataFrame([], "alias string, key string")
+    state = FactState(spark, str(tmp_path / "state"), docs, aliases)
+    cuts = [0, 1, 12, 12, 25, 36]
+    for batch, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        rows = spark.createDataFrame(claims[a:b] + claims[: a // 2], CLAIM)
+        state.take(rows, batch)
+        if batch == 2:
+            state = FactState(spark, str(tmp_path / "state"), docs, aliases)
+            state.take(rows, batch)
+    whole = canon.canonicalise_claims(spark.createDataFrame(claims, CLAIM), docs, aliases).checkpoint()
+    shown = lambda frame, names: sorted(map(str, (tuple(r) for r in frame.select(*names).collect())))
+    names = ["claim_id", "entity", "metric_key", "value_canon", "unit_canon", "block_key", "period_start"]
+    assert shown(state.canon(), names) == shown(whole, names)
+    names = ["block_key", "a_id", "b_id", "kind", "explanation"]
+    assert shown(state.relations(), names) == shown(relate.relations(whole), names)
+    touched = {r.batch: r.n for r in spark.read.parquet(str(tmp_path / "state/touched")).groupBy("batch").count().withColumnRenamed("count", "n").collect()}
+    assert 2 not in touched  # nothing new arrived
+
+
 def test_truncated_replies(spark):
     line = '{"type":"claim","page":%d,"metric":"m","quote":"q"}'
     replies = [(1, 1, "\n".join(line % p for p in (1, 2, 2, 3)), "MAX_TOKENS"), (2, 1, "junk", "MAX_TOKENS"), (3, 1, "", "STOP")]
