@@ -205,7 +205,12 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, texts:
     sent = "grp bigint, bucket bigint, keys binary, checks binary, least binary, several binary"
     told = "bucket bigint, keys binary, checks binary, least binary"
     by_bucket = placed.groupBy("bucket")
-    upper = by_bucket.applyInArrow(prefixes, sent).groupBy("grp").applyInArrow(_shared, told)
-    lower = by_bucket.cogroup(upper.groupBy("bucket")).applyInArrow(suffixes, sent).groupBy("grp").applyInArrow(_shared, told)
+
+    def shared(rows: DataFrame) -> DataFrame:
+        """As many tasks as there are groups, and then as there are buckets: both grow with the text."""
+        return rows.repartition(1 << bits, "grp").groupBy("grp").applyInArrow(_shared, told).repartition(buckets, "bucket")
+
+    upper = shared(by_bucket.applyInArrow(prefixes, sent))
+    lower = shared(by_bucket.cogroup(upper.groupBy("bucket")).applyInArrow(suffixes, sent))
     out = by_bucket.cogroup(lower.groupBy("bucket")).applyInArrow(removed, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, spans string, kept_text string")
     return out if texts else out.drop("kept_text")
