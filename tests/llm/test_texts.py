@@ -476,3 +476,23 @@ def test_decontamination_keeps_all_columns(spark):
     frame = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, "clean"), (2, "clean"), (None, ITEM)], "doc_id bigint, text string").selectExpr("*", "'h' as _hit", "1 as id", "2 as gram")
     kept = decontaminate.without_matches(frame, spark.createDataFrame([(1, ITEM)], "item_id bigint, text string"))
     assert kept.columns == frame.columns and sorted((r.doc_id or 0, r._hit, r.id, r.gram) for r in kept.collect()) == [(0, "h", 1, 2), (2, "h", 1, 2), (2, "h", 1, 2)]
+
+
+def test_pipeline_runs_on_hard_rows(spark, tmp_path):
+    """Nulls, empty and repeated rows, clashing columns and empty tables; what is left after each stage is told in run()."""
+    extra = [(20, "a clean text of its own with some words", "en", "a", 3, "x"), (None, "a text without an id of its own", "en", "b", 3, "x"), (21, ITEM, "en", "b", 3, "x")]
+    frame = spark.createDataFrame([*HARD, *extra], SCHEMA).selectExpr("*", "1 as taken", "2 as _hit", "3 as _id", "4 as row", "5 as part")
+    for name, rows in (("documents", frame), ("labels", spark.createDataFrame([], "doc_id bigint, quality int, toxic int")), ("benchmark", spark.createDataFrame([(1, ITEM)], "item_id bigint, text string"))):
+        rows.write.parquet(str(tmp_path / f"a/{name}.parquet"))
+        rows.limit(0).write.parquet(str(tmp_path / f"b/{name}.parquet"))
+    docs, dir_ = frame, str(tmp_path / "a")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, dir_).checkpoint()
+        assert docs.columns == frame.columns
+    left = {r.doc_id for r in docs.collect()}
+    assert 21 not in left and not left & {1, 2, 5} and left <= {3, 4, 6, 20, None} and left
+    rows = corpus_pipeline.run(spark, dir_).collect()
+    assert {r.doc_id for r in rows} == left
+    starts = sorted((r.start, r.n_tokens) for r in rows)
+    assert [a for a, _ in starts] == np.cumsum([0, *[n for _, n in starts[:-1]]]).tolist()
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
