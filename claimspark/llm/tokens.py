@@ -61,14 +61,20 @@ class Encoder:
             self.ids[p] = self.plain(b" " + p)
         easy = [p for p in pieces if p not in odd] if odd else pieces
         runs = [easy[i : i + 48] for i in range(0, len(easy), 48)]
-        for run, code in zip(runs, self.tokenizer.encode_batch_fast([(b" " + b" ".join(r)).decode() for r in runs], add_special_tokens=False), strict=True):
-            ids = np.array(code.ids, "<u4")
-            ends = np.cumsum([len(p) + 1 for p in run])
-            cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
-            raw, lo = ids.tobytes(), 0
-            for p, hi in zip(run, (cuts * 4).tolist(), strict=True):
-                self.ids[p] = raw[lo:hi]
-                lo = hi
+        codes = self.tokenizer.encode_batch_fast([(b" " + b" ".join(r)).decode() for r in runs], add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(code.ids for code in codes), "<u4")
+        ends = np.cumsum(np.fromiter(map(len, easy), np.int64, len(easy)) + 1)
+        cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
+        raw, lo = ids.tobytes(), 0
+        for p, hi in zip(easy, (cuts * 4).tolist(), strict=True):
+            self.ids[p] = raw[lo:hi]
+            lo = hi
+
+    def openings(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of pieces that open a text, with no blank before them."""
+        each = list(pieces)
+        codes = self.tokenizer.encode_batch_fast([p.decode() for p in each], add_special_tokens=False)
+        return {p: np.array(code.ids, "<u4").tobytes() for p, code in zip(each, codes, strict=True)}
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> list[bytes]:
         """Little-endian 32-bit ids of each text of a buffer."""
@@ -85,16 +91,17 @@ class Encoder:
                 stopped.append(p)
             else:
                 new.append(p)
-        new += {p[:-1] for p in stopped}.difference(known, older, new)
+        # not difference() of all three, which would go through all that is remembered
+        new += {q for p in stopped if (q := p[:-1]) not in known and q not in older}.difference(new)
         self.learn(new)
         for p in stopped:
             known[p] = (known.get(p[:-1]) or older[p[:-1]]) + self.stops[p[-1:]]
-        out = []
+        first, out = self.openings({x[0] for x in parts if x}), []
         for k, x in enumerate(parts):
             if x is None:
                 out.append(self.plain(raw[bounds[k] : bounds[k + 1]]))
             else:
-                out.append((self.plain(x[0]) if x[0] else b"") + b"".join(map(known.__getitem__, x[1:])))
+                out.append(first[x[0]] + b"".join(map(known.__getitem__, x[1:])))
         return out
 
 
