@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from claimspark.functions.periods import with_period
 from claimspark.functions.words import bare_scale, basis_canon, entity_key, measure_family, money_like, page_currency, parse_unit, parse_value, precision_of, squash, stated, subject_name
+from claimspark.session import written
 
 #: Rounds in which chains of aliases are followed; n rounds follow 2 ** n aliases.
 ALIAS_DOUBLINGS = 3
@@ -28,10 +29,10 @@ def identifiers(claims: DataFrame) -> DataFrame:
 
 def follow_owners(pointers: DataFrame) -> DataFrame:
     """(claim_id, owner) with each owner replaced by the last of its chain. Owners are earlier claims, so that chains end; each round doubles the steps."""
-    rows = pointers.select("claim_id", "owner").checkpoint()
+    rows = pointers.select("claim_id", "owner").transform(written)
     while True:
         further = rows.select(F.col("claim_id").alias("_c"), F.col("owner").alias("_next"))
-        rows = rows.select("claim_id", "owner").join(further, F.col("owner") == F.col("_c"), "left").select("claim_id", F.coalesce("_next", "owner").alias("owner"), F.col("_next").isNotNull().alias("_moved")).checkpoint()
+        rows = rows.select("claim_id", "owner").join(further, F.col("owner") == F.col("_c"), "left").select("claim_id", F.coalesce("_next", "owner").alias("owner"), F.col("_next").isNotNull().alias("_moved")).transform(written)
         if rows.where("_moved").isEmpty():
             return rows.select("claim_id", "owner")
 
@@ -75,7 +76,7 @@ def metric_keys(counts: DataFrame, aliases: DataFrame) -> DataFrame:
         further = stored.select(F.col("alias").alias("_a"), F.col("key").alias("_k"))
         stored = stored.join(further, F.col("key") == F.col("_a"), "left").select("alias", F.coalesce("_k", "key").alias("key"))
     stored = stored.select(F.col("alias").alias("_a"), F.col("key").alias("_k"))
-    live = counts.join(stored, F.col("metric_raw") == F.col("_a"), "left").select("metric_raw", "n", F.coalesce("_k", "metric_raw").alias("_key")).withColumn("_family", measure_family(F.col("_key"))).checkpoint()
+    live = counts.join(stored, F.col("metric_raw") == F.col("_a"), "left").select("metric_raw", "n", F.coalesce("_k", "metric_raw").alias("_key")).withColumn("_family", measure_family(F.col("_key"))).transform(written)
     total = live.groupBy("_family", "_key").agg(F.sum("n").alias("n"))
     best = total.groupBy("_family").agg(F.min_by("_key", F.struct((-F.col("n")).alias("n"), "_key")).alias("metric_key"))
     return live.join(best, "_family").select("metric_raw", "metric_key")
@@ -111,7 +112,7 @@ def canonicalise_claims(claims: DataFrame, documents: DataFrame, aliases: DataFr
     A claim with a number needs a unit and a period for a block 'entity|metric|start|end'; one with text is in 'entity|metric' whatever its period; all
     others are in none. The claims are written down first: entities, metrics, periods and the rows themselves are each read from there.
     """
-    claims = claims.checkpoint()
+    claims = claims.transform(written)
     rows = with_publishers(claims.where("status = 'verified'"), documents)
     entity, metric = resolve_entities(rows), resolve_metrics(claims, aliases)
     if done is not None:

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from claimspark.functions.periods import with_published_key
 from claimspark.functions.words import basis_rank, entity_key, label_tokens
+from claimspark.session import written
 
 #: Values without a printed precision agree within this share of the larger one.
 RELATIVE = 0.005
 #: Claims of a block beyond which its pairs are dealt out to more tasks, and how many members a task's share then has about.
 BLOCK_SHARE = 2_000
+#: Pairs that a task compares, about, and so many fewer that it pays to give each core a share of them.
+TASK_PAIRS, CORE_PAIRS = 2_000_000, 20_000
 COMPARED = ["value_canon", "value_text", "unit_canon", "precision", "scope_canon", "basis_canon", "publisher", "publisher_key", "vintage", "period_end", "label", "label_set", "doc_id"]
 
 
@@ -27,16 +30,23 @@ def comparable(canon: DataFrame) -> DataFrame:
     return rows.withColumns({"publisher_key": F.nullif(entity_key(F.col("publisher")), F.lit("")), "label_set": label_tokens(F.col("label"))}).select("claim_id", "block_key", *COMPARED)
 
 
+def tasks_for(pairs: float, cores: int) -> int:
+    """Tasks for so many pairs: each has TASK_PAIRS at most, about, and few pairs still go to all cores."""
+    return int(max(1, -(-pairs // TASK_PAIRS), min(cores, -(-pairs // CORE_PAIRS))))
+
+
 def candidate_pairs(compared: DataFrame) -> DataFrame:
     """All pairs (a, b), a.claim_id < b.claim_id, of claims in one block; only blocks of two and more.
 
     A block of n claims is cut into shares of about BLOCK_SHARE, by the claim's hash: side a is in its own share, side b goes to each of them, so that
-    a block that holds a third of all claims is spread over tasks.
+    a block that holds a third of all claims is spread over tasks. Shares are dealt to as many tasks as the number of pairs asks for: Spark would go by
+    the bytes of the claims, which say little of their pairs.
     """
-    sizes = compared.groupBy("block_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("block_key", F.ceil(F.col("_n") / BLOCK_SHARE).cast("int").alias("_k"))
-    rows = compared.join(sizes, "block_key")
-    a = rows.withColumn("_share", F.pmod(F.xxhash64("claim_id"), F.col("_k")).cast("int")).select("block_key", "_share", F.struct("claim_id", *COMPARED).alias("a"))
-    b = rows.withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).select("block_key", "_share", F.struct("claim_id", *COMPARED).alias("b"))
+    sizes = compared.groupBy("block_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("block_key", F.ceil(F.col("_n") / BLOCK_SHARE).cast("int").alias("_k"), (F.col("_n") * (F.col("_n") - 1.0) / 2).alias("_pairs")).transform(written)
+    parts = tasks_for(sizes.agg(F.sum("_pairs")).first()[0] or 0, compared.sparkSession.sparkContext.defaultParallelism)
+    rows = compared.join(sizes.drop("_pairs"), "block_key")
+    a = rows.withColumn("_share", F.pmod(F.xxhash64("claim_id"), F.col("_k")).cast("int")).select("block_key", "_share", F.struct("claim_id", *COMPARED).alias("a")).repartition(parts, "block_key", "_share")
+    b = rows.withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).select("block_key", "_share", F.struct("claim_id", *COMPARED).alias("b")).repartition(parts, "block_key", "_share")
     return a.join(b, ["block_key", "_share"]).where("a.claim_id < b.claim_id").drop("_share")
 
 

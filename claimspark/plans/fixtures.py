@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimspark.session import no_rows
+
 LINES_PER_PAGE = 3
 
 FX_DOCUMENTS = """select s_suppkey * 2 + v as doc_id, 'doc-' || cast(s_suppkey * 2 + v as string) || '.pdf' as filename, cast(null as string) as title,
@@ -79,7 +81,7 @@ class Fixtures:
         return rows.withColumn("keys", F.create_map(F.lit("din"), "din")).drop("din", "o_custkey", "c_name")
 
     def aliases(self) -> DataFrame:
-        return self.spark.createDataFrame([], "alias string, key string, source string")
+        return no_rows(self.spark, "alias string, key string, source string")
 
     def pages(self) -> DataFrame:
         """Documents' texts, three lines to a page, some with declarations on top."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from claimspark.functions import periods, words
 from claimspark.operators import canon, gate, pages, records, registry, relate, serve
 from claimspark.plans.fixtures import Fixtures
-from claimspark.session import shared_folder, workers_find
+from claimspark.session import no_rows, shared_folder, workers_find, written
 from claimspark.sources import tables
 from claimspark.streaming.incremental import FactState, stream_dedup
 
@@ -35,15 +35,15 @@ def folder(spark: SparkSession) -> str:
 
 def numbers(x: Fixtures) -> DataFrame:
     """Figures with their coordinates, written down once: what follows joins them several times."""
-    return canon.canonicalise_claims(x.claims(), x.documents(), x.aliases()).checkpoint()
+    return canon.canonicalise_claims(x.claims(), x.documents(), x.aliases()).transform(written)
 
 
 def states(x: Fixtures) -> DataFrame:
-    return canon.canonicalise_claims(x.states(), x.documents(), x.aliases()).checkpoint()
+    return canon.canonicalise_claims(x.states(), x.documents(), x.aliases()).transform(written)
 
 
 def related(rows: DataFrame) -> DataFrame:
-    return relate.relations(rows).checkpoint()
+    return relate.relations(rows).transform(written)
 
 
 def text(*names: str) -> list[Column]:
@@ -140,12 +140,12 @@ COORDINATES = ["claim_id", "doc_id", "entity", "metric_key", "unit_canon", "valu
 
 @query
 def c18_canonicalise_claims(x: Fixtures) -> DataFrame:
-    return numbers(x).select(*COORDINATES, *text("period_start", "period_end"))
+    return canon.canonicalise_claims(x.claims(), x.documents(), x.aliases()).select(*COORDINATES, *text("period_start", "period_end"))
 
 
 @query
 def c18_canonicalise_states(x: Fixtures) -> DataFrame:
-    return states(x).select("claim_id", "doc_id", "entity", "metric_key", "value_text", "block_key", *text("period_start", "period_end"))
+    return canon.canonicalise_claims(x.states(), x.documents(), x.aliases()).select("claim_id", "doc_id", "entity", "metric_key", "value_text", "block_key", *text("period_start", "period_end"))
 
 
 @query
@@ -200,7 +200,7 @@ RELATION = ["a_id", "b_id", "kind", "dimension", "explanation", "confidence", "c
 
 @query
 def r5_relate_numeric(x: Fixtures) -> DataFrame:
-    return related(numbers(x)).select(*RELATION)
+    return relate.relations(numbers(x)).select(*RELATION)
 
 
 @query
@@ -248,14 +248,14 @@ def q11_current_states(x: Fixtures) -> DataFrame:
 def q12_value_history(x: Fixtures) -> DataFrame:
     rows = numbers(x)
     found = related(rows)
-    return serve.value_history(found, serve.current_values(rows, found).checkpoint())
+    return serve.value_history(found, serve.current_values(rows, found).transform(written))
 
 
 @query
 def q13_related_to_current(x: Fixtures) -> DataFrame:
     rows = numbers(x)
     found = related(rows)
-    return serve.related_to_current(found, serve.current_values(rows, found).checkpoint()).select("block_key", "current_id", "other_id", "kind", "explanation")
+    return serve.related_to_current(found, serve.current_values(rows, found).transform(written)).select("block_key", "current_id", "other_id", "kind", "explanation")
 
 
 @query
@@ -333,7 +333,7 @@ def q4_claims_by_ids(x: Fixtures) -> DataFrame:
 @query
 def q6_relation_detail(x: Fixtures) -> DataFrame:
     rows = numbers(x)
-    good = rows.where("claim_id % 5 <> 2").checkpoint()
+    good = rows.where("claim_id % 5 <> 2").transform(written)
     found = serve.search_relations(related(good), rows, kind="contradicts")
     return serve.relation_detail(found, _view(x, rows)).select("a_id", "b_id", F.col("a.filename").alias("a_filename"), F.col("b.filename").alias("b_filename"), F.col("a.value_canon").alias("a_value"), F.col("b.value_canon").alias("b_value"))
 
@@ -349,7 +349,7 @@ def q10_entity_list(x: Fixtures) -> DataFrame:
 def q16_answer_requests(x: Fixtures) -> DataFrame:
     """Nations by exact and by partial name, unknown ones, aliases, and periods that can't be read, for each fiscal year."""
     rows, claims = numbers(x), x.claims()
-    now = serve.current_values(rows, related(rows)).checkpoint()
+    now = serve.current_values(rows, related(rows)).transform(written)
     years = x.spark.range(1995, 2003).select(F.col("id").alias("fy"))
     k = F.col("n_nationkey") % 4
     asked = x.read("nation").crossJoin(F.broadcast(years)).select(  # eight years
@@ -416,7 +416,7 @@ def g5_validate_merges(x: Fixtures) -> DataFrame:
 def g6_apply_aliases_and_rebuild(x: Fixtures) -> DataFrame:
     """'revenues' under a key of its own that a merge then joins with 'revenue': blocks merge and are related again."""
     claims = x.claims().withColumn("metric_raw", F.when(F.col("metric_raw") == "revenues", "turnover").otherwise(F.col("metric_raw")))
-    units = x.spark.createDataFrame([], "metric_key string, unit string")
+    units = no_rows(x.spark, "metric_key string, unit string")
     proposals = claims.groupBy("metric_raw").count().where("metric_raw = 'turnover'").select(F.lit("g").alias("group_no"), F.lit(0).alias("item_no"), F.lit("revenue").alias("keep"), F.col("metric_raw").alias("alias"), F.lit("").alias("why"))
     validated = registry.validate_merges(proposals, claims.select(F.col("metric_raw").alias("key")).distinct(), x.aliases(), units)
     rows = canon.canonicalise_claims(claims, x.documents(), registry.applied_aliases(validated, x.aliases()))
@@ -454,7 +454,7 @@ def e2_build_requests(x: Fixtures) -> DataFrame:
 
 
 def _parsed(x: Fixtures) -> DataFrame:
-    return records.trim_truncated(records.parse_claim_lines(x.responses()).checkpoint())
+    return records.trim_truncated(records.parse_claim_lines(x.responses()).transform(written))
 
 
 @query
@@ -496,7 +496,7 @@ def e10_pending_documents(x: Fixtures) -> DataFrame:
 
 
 def _verified(x: Fixtures) -> DataFrame:
-    return gate.verify_claims(x.quotes(), x.pages(), x.paged_documents()).checkpoint()
+    return gate.verify_claims(x.quotes(), x.pages(), x.paged_documents()).transform(written)
 
 
 @query
@@ -519,7 +519,7 @@ def v8_verify_stats(x: Fixtures) -> DataFrame:
 def v9_reverify(x: Fixtures) -> DataFrame:
     """Nothing was grounded while the pages were empty; all that can be is once they are there."""
     empty = x.pages().withColumn("text", F.lit(""))
-    first = gate.verify_claims(x.quotes(), empty, x.paged_documents()).checkpoint()
+    first = gate.verify_claims(x.quotes(), empty, x.paged_documents()).transform(written)
     return gate.verify_stats(gate.reverify(first, x.pages(), x.paged_documents()))
 
 

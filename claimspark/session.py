@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -32,3 +35,16 @@ def shared_folder(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root.rstrip("/")
+
+
+def no_rows(spark: SparkSession, schema: T.StructType | str) -> DataFrame:
+    """An empty table, made without Python workers."""
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields])
+
+
+def written(frame: DataFrame) -> DataFrame:
+    """The same rows, computed once: written as Parquet to the shared folder and read from there. A lost executor loses nothing, and Spark knows the table's real size."""
+    path = f"{shared_folder(frame.sparkSession)}/written-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
