@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, licenses, mixing, repeats, secrets, sharding, simhash, tokens, toxicity
+from . import decontaminate, embeddings, licenses, mixing, quality, repeats, secrets, sharding, simhash, tokens, toxicity
 from .common import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,6 +56,11 @@ def op10_assignment_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
+def op13_target_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.assess(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
