@@ -29,7 +29,7 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 HEX_BYTES = byte_set((0x30, 0x39), (0x61, 0x66))
 # fixed values: parts of names that tell of a secret, with their weight, and of values that are only a stand-in
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "privatekey": 1.0, "accesskey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.6, "key": 0.5, "signature": 0.5, "salt": 0.5, "bearer": 0.9}
-STAND_IN = re.compile(rb"(?i)example|changeme|placeholder|your[_-]|dummy|xxxx|\*\*\*\*|<[^>]*>|\$\{|todo|redacted")
+STAND_IN = re.compile(rb"(?i)example|changeme|placeholder|your[_-]|dummy|xxxx|\*\*\*\*|<[^<>]*>|\$\{|todo|redacted")
 #: A literal's score is its name's weight times how unlike words it is; at least this makes a span.
 ACCEPT = 0.45
 # fixed values: what opens a comment to the end of its line, and the operators that give a value to a name or only look like it
@@ -46,9 +46,9 @@ STRINGS = {
     b"`": re.compile(rb"`([^`\n]*)`"),
 }
 PREFIX = re.compile(rb"[bBrRuUfF]{0,2}(?=[\"'`])")
-#: A name, read backwards from what comes after it; the text of an element up to its end tag; a bare value; a name that stands for its value; what joins two strings.
-NAME_BACK = re.compile(rb"[\x20\t]*\]?[\x20\t]*([A-Za-z0-9_.$-]*[A-Za-z_])")
-ELEMENT = re.compile(rb">\s*([^<>]*?)\s*</([A-Za-z_][A-Za-z0-9_.:-]*)\s*>")
+#: The bytes of a name, read backwards from its end; the end tag of an element; a bare value; a name that stands for its value; what joins two strings.
+NAME_BACK = re.compile(rb"[A-Za-z0-9_.$-]*")
+END_TAG = re.compile(rb"</([A-Za-z_][A-Za-z0-9_.:-]*)\s*>")
 BARE = re.compile(rb"[A-Za-z0-9+/_.=~@!-]+")
 REFERENCE = re.compile(rb"\$\{?([A-Za-z_][A-Za-z0-9_]*)\}?")
 JOIN = re.compile(rb"[\x20\t]*(?:[+.][\x20\t]*)?(?=[\"'`])")
@@ -71,22 +71,17 @@ def value_weight(value: bytes) -> float:
     return min(1.0, bits / 3.5) * min(1.0, 0.4 + 0.3 * (classes - 1) + 0.2 * (n >= 16))
 
 
-def _string_at(text: bytes, at: int) -> tuple[int, int, int] | None:
-    """Start and end of a string's inside, and the end of the string, if one opens here."""
-    at = m.end() if (m := PREFIX.match(text, at)) else at
-    kind = STRINGS.get(text[at : at + 3]) or STRINGS.get(text[at : at + 1])
-    m = kind.match(text, at) if kind else None
-    return (*m.span(1), m.end()) if m else None
-
-
 class Lexer:
-    """Reads a source or configuration text once, from stop to stop, and tells its name-value pairs.
+    """Reads a source or configuration text once, from stop to stop, and tells its name-value pairs. Its time is linear in the text.
 
     Comments are passed over: #, // and -- after a blank or at the start of a line, ; at the start of a line, /* */ and <!-- -->. A quote behind a letter or digit opens nothing.
     """
 
     def __init__(self, text: bytes) -> None:
         self.text = text
+        #: By kind of quote, up to where one that opened is known not to close: none that opens before closes either. Where the next start of a tag is.
+        self.unclosed: dict[bytes, int] = {}
+        self.next_tag = -1
         #: Values of names: those in quotes, which a plain name stands for, and all, which $NAME stands for.
         self.quoted: dict[bytes, tuple[bytes, int, int]] = {}
         self.known: dict[bytes, tuple[bytes, int, int]] = {}
@@ -109,13 +104,14 @@ class Lexer:
                 end = text.find(b"*/" if token == b"/*" else b"-->", at)
                 at = floor = len(text) if end < 0 else end + 2
             elif token in (b'"', b"'", b"`"):
-                if not text[start - 1 : start].isalnum() and (found := _string_at(text, start)):
+                if not text[start - 1 : start].isalnum() and (found := self.string_at(start)):
                     said, at = (text[found[0] : found[1]], start, found[2]), found[2]
                     floor = at
             elif token == b">":
-                if m := ELEMENT.match(text, start):
-                    floor = at = m.end()
-                    yield from self.keep(m[2], m[1], *m.span(1), True)
+                if found := self.element_at(at):
+                    name, a, b, floor = found
+                    at = floor
+                    yield from self.keep(name, text[a:b], a, b, True)
             elif token in OTHERS:
                 floor, typed = at, None
             else:
@@ -137,22 +133,53 @@ class Lexer:
                 if name:
                     yield from self.keep(name, value, a, b, quoted)
 
+    def string_at(self, at: int) -> tuple[int, int, int] | None:
+        """Start and end of a string's inside, and the end of the string, if one opens here."""
+        text = self.text
+        at = m.end() if (m := PREFIX.match(text, at)) else at
+        quote = text[at : at + 3] if text[at : at + 3] in STRINGS else text[at : at + 1]
+        if quote not in STRINGS or at < self.unclosed.get(quote, 0):
+            return None
+        if m := STRINGS[quote].match(text, at):
+            return (*m.span(1), m.end())
+        end = text.find(b"\n", at) if len(quote) == 1 else -1
+        self.unclosed[quote] = len(text) if end < 0 else end
+        return None
+
+    def element_at(self, at: int) -> tuple[bytes, int, int, int] | None:
+        """Name, start and end of the text of the element whose start tag ends here, and the end of its end tag, if there is no other tag between."""
+        text = self.text
+        if self.next_tag < at:
+            found = text.find(b"<", at)
+            self.next_tag = len(text) if found < 0 else found
+        tag = self.next_tag
+        if text.find(b">", at, tag) >= 0 or not (m := END_TAG.match(text, tag)):
+            return None
+        inside = text[at:tag]
+        start = at + len(inside) - len(inside.lstrip())
+        return m[1], start, max(start, at + len(inside.rstrip())), m.end()
+
     def name_before(self, start: int, floor: int, said: tuple[bytes, int, int] | None) -> bytes:
-        if said and not self.text[said[2] : start].strip(b" \t]"):
+        """The name that ends before an operator; blanks and the bracket of an index may stand between. Nothing before the floor is read again."""
+        before = self.text[floor:start]
+        if said and said[2] == floor and not before.strip(b" \t]"):
             return said[0]
-        m = NAME_BACK.match(self.text[floor:start][::-1])
-        return m[1][::-1] if m else b""
+        before = before.rstrip(b" \t")
+        if before.endswith(b"]"):
+            before = before[:-1].rstrip(b" \t")
+        return NAME_BACK.match(before[::-1])[0][::-1].lstrip(b"0123456789.$-")
 
     def value_after(self, at: int) -> tuple[bytes, int, int, bool, int] | None:
         """A value, its start and end where it is written, whether it was in quotes, and where reading goes on."""
         text = self.text
         while text[at : at + 1] in (b" ", b"\t") and at < len(text):
             at += 1
-        if found := _string_at(text, at):
-            value, start, end, after = text[found[0] : found[1]], *found
-            while (j := JOIN.match(text, after)) and (more := _string_at(text, j.end())):
-                value, end, after = value + text[more[0] : more[1]], more[1], more[2]
-            return value, start, end, True, after
+        if found := self.string_at(at):
+            parts, (start, end, after) = [text[found[0] : found[1]]], found
+            while (j := JOIN.match(text, after)) and (more := self.string_at(j.end())):
+                parts.append(text[more[0] : more[1]])
+                end, after = more[1:]
+            return b"".join(parts), start, end, True, after
         if m := REFERENCE.match(text, at):
             return (*self.known[m[1]], True, m.end()) if m[1] in self.known else None
         if m := BARE.match(text, at):
@@ -172,9 +199,15 @@ class Lexer:
 def scored(text: bytes) -> dict[tuple[int, int], float]:
     """The scores of the literals that are secret enough, by their byte spans: the name's weight times how little the value looks like words."""
     out: dict[tuple[int, int], float] = {}
+    names: dict[bytes, float] = {}
+    weights: dict[tuple[int, int], float] = {}  # a constant may stand for very many names
     for name, value, start, end in Lexer(text).pairs():
-        weight = name_weight(name)
-        score = weight * value_weight(value) if weight else 0.0
+        if name not in names:
+            names[name] = name_weight(name)
+        weight = names[name]
+        if weight and (start, end) not in weights:
+            weights[start, end] = value_weight(value)
+        score = weight * weights[start, end] if weight else 0.0
         if score >= ACCEPT:
             out[start, end] = max(score, out.get((start, end), 0.0))
     return out
@@ -212,8 +245,8 @@ def scan(docs: DataFrame) -> DataFrame:
     assign, access and hex are the plain kinds, found leftmost without overlap in the whole text; matches that are too short are dropped
     after they are found. literal spans enclose the values of assignments, in code and configuration, whose name is sensitive and whose value
     isn't like words; a constant counts where it is written; assignments in comments don't count. literal_scores has their scores, in the order of the spans. Offsets count code points, ends are exclusive; spans are ordered by start, then kind,
-    base_sha256 is that of the plain kinds' spans. Null and empty texts have none; repeated rows come out as often as they came; other
-    columns are ignored; no rows give no rows.
+    base_sha256 is that of the plain kinds' spans. Null and empty texts have none; null ids stay; repeated rows come out as often as they came; other
+    columns are ignored; a very long text takes time and memory in proportion to its size; no rows give no rows.
     """
     prepare(docs.sparkSession)
 

@@ -496,3 +496,40 @@ def test_pipeline_runs_on_hard_rows(spark, tmp_path):
     starts = sorted((r.start, r.n_tokens) for r in rows)
     assert [a for a, _ in starts] == np.cumsum([0, *[n for _, n in starts[:-1]]]).tolist()
     assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
+
+
+HOSTILE = {
+    "blanks behind a tag": b">" + b" " * 1_000, "blanks behind =": b"=" + b" " * 1_000, "blanks before =": b" " * 1_000 + b"=", "open quotes": b'x = "' + b"a" * 1_000, "escaped quotes": b'"\\' * 500,
+    "three quotes": b"'''\\" * 250, "tags": b"> " * 500, "operators": b"a: " * 300, "equal signs": b"= " * 500, "strings": b'x="a" ' * 160, "joined strings": b'"a" ' * 250, "stand-ins": b'password = "' + b"<" * 1_000 + b'"',
+    "brackets": b"x] " * 300, "a string, then colons": b'"k" ' + b": " * 500, "one constant, many names": b'k = "' + b"Ab9$" * 100 + b'"\n' + b"password = $k\n" * 60, "elements": b"<a>x</a>" * 125, "comments": b"/*" * 500,
+}
+
+
+@pytest.mark.parametrize("name", [*HOSTILE])
+def test_secrets_of_hostile_texts_take_linear_time(name):
+    import time
+
+    def took(times):
+        text, began = HOSTILE[name] * times, time.process_time()
+        secrets.spans_of(text, [], True)
+        return time.process_time() - began
+
+    took(100)
+    assert took(1_000) < 4 * took(500) + 2  # a megabyte; twice the text, about twice the time
+
+
+def test_elements_and_quotes_that_never_close():
+    pairs = [*secrets.Lexer(b'<a>  x y </a ><b>1<c></c></b><d></d>"k" : "v" z = "open\n t = \'ok\' u = """ w = "w"').pairs()]
+    assert [(n, v) for n, v, _, _ in pairs] == [(b"a", b"x y"), (b"c", b""), (b"d", b""), (b"k", b"v"), (b"t", b"ok"), (b"w", b"w")]
+
+
+def test_ids_that_are_null(spark):
+    """Rows without an id stay, whatever else they are like, under every operator on single documents."""
+    frame = spark.createDataFrame([*HARD, *[(None, t, "en", None, 1, "z") for t in ("mit license password = 'Xk29Qm81Lw0z'", None, "", "a b c d e f g h i j k l m")]], SCHEMA)
+    none = lambda rows: sum(r.doc_id is None for r in rows.collect())
+    labels = spark.createDataFrame([(4, 0), (5, 1), (None, 1)], "doc_id bigint, toxic int")
+    assert none(toxicity.score(frame, toxicity.fit(frame, labels))) == 4
+    assert none(secrets.scan(frame)) == none(licenses.scan(frame)) == none(tokens.write_and_read(frame, queries.TOKENIZER)) == 4
+    from claimspark.llm import mixing, sharding, simhash
+
+    assert none(mixing.fair_queue(frame, keep=["doc_id"]).select("row.doc_id")) == none(simhash.near_copies(frame, shingle=3, lanes=1, radius=3, block_radius=1)) == none(sharding.byte_shards(frame)) == 4
