@@ -128,18 +128,19 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, prefix: int = PREF
     below the threshold links. Equal vectors become one class first, in which all link with each other. Each class enters inverted
     lists of its nearest pivots; in a list shared pivots are counted, and pairs with enough of them are verified, each pair in one list, so that nothing is
     counted twice. A block of a list gives a row per member: its links and the smallest member that they lead to. Long lists are split by further
-    shared pivots and then into blocks, never capped. n_links counts other ids.
+    shared pivots and then into blocks, never capped. n_links counts other vectors.
 
     Vectors that are null, empty, zero or have null or non-finite components link with nothing; shorter vectors
     are taken with zeros behind; rows with a null id link with nothing and stay as they are; rows that repeat an id and its vector are one vector and come out once, while an
-    id with several vectors comes out for each. Other columns are ignored; no rows give no rows.
+    id with several vectors comes out for each, and they may link with each other. Other columns are ignored; no rows give no rows.
     """
     spark = prepare(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     usable = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))) & F.exists("embedding", lambda v: v != 0)
     whole = rows.withColumn("_ok", F.coalesce(usable, F.lit(False)))
     once = whole.where("_ok").groupBy("vec_id", "embedding").agg(F.lit(1).alias("_one"))
-    classes = once.groupBy("embedding").agg(F.min("vec_id").cast("bigint").alias("rep"), F.count(F.lit(1)).alias("n")).checkpoint()
+    # classes are numbered, as two of them may have the same smallest id
+    classes = once.groupBy("embedding").agg(F.min("vec_id").cast("bigint").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("rep", F.monotonically_increasing_id()).checkpoint()
     total, width = classes.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     none = spark.createDataFrame([], "rep bigint, low bigint, links bigint")
     found = none
@@ -152,8 +153,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, prefix: int = PREF
         found = placed.groupBy("pivots", "i", "j").applyInArrow(lambda t: _compare(t, threshold, need), none.schema).checkpoint()
     links = found.groupBy("rep").agg(F.sum("links").alias("_links"))
     joined = components(found.select(F.col("low").alias("a"), F.col("rep").alias("b")))
-    named = classes.join(links, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left")
-    named = named.select(F.col("embedding").alias("_e"), F.col("rep").alias("_r"), (F.coalesce("_links", F.lit(0)) + F.col("n") - 1).alias("_n"), F.coalesce("component", "rep").alias("_c"))
+    linked = joined.join(classes.select("rep", "first"), F.col("node") == F.col("rep")).select("node", "component", "first")
+    least = linked.groupBy(F.col("component").alias("_part")).agg(F.min("first").alias("_least"))
+    named = classes.join(links, "rep", "left").join(linked.drop("first").join(least, F.col("component") == F.col("_part")), F.col("rep") == F.col("node"), "left")
+    named = named.select(F.col("embedding").alias("_e"), (F.coalesce("_links", F.lit(0)) + F.col("n") - 1).alias("_n"), F.coalesce("_least", "first").alias("_c"))
     known = once.join(named, F.col("embedding") == F.col("_e")).select("vec_id", F.col("_n").cast("long").alias("n_links"), F.col("_c").cast("long").alias("component_id"))
     apart = whole.where("not _ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
     return known.unionByName(apart).withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -70,8 +70,28 @@ def test_recall_at_a_larger_size(spark):
     assert len(want) > 2_000 and 0.95 * len(want) <= sum(r.n_links for r in got) / 2 <= len(want)
 
 
-def test_op4_on_the_table(spark, sf_dir):
+def test_op4_on_the_table(spark, sf_dir, tmp_path):
+    """The table's own vectors are far from each other, so near and equal ones of them are planted: from just below the threshold to equal."""
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
-    got = queries.op4_pivot_permutations(spark, sf_dir).collect()
+    rng, first = np.random.default_rng(3), 1 + max(i for i, _ in rows)
+    planted = []
+    for k in range(1_500):
+        v = np.array(rows[int(rng.integers(0, len(rows)))][1])
+        planted.append((first + k, (v + rng.normal(size=len(v)) * np.linalg.norm(v) / len(v) ** 0.5 * (0.0 if k % 10 == 0 else rng.uniform(0.05, 0.36))).tolist()))
+    spark.createDataFrame([*rows, *planted], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{tmp_path}/embeddings.parquet").collect()]
+    got = queries.op4_pivot_permutations(spark, str(tmp_path)).collect()
     assert sorted(r.vec_id for r in got) == sorted(i for i, _ in rows)
-    assert sum(r.n_links for r in got) / 2 >= 0.9 * len(brute(rows, 0.95))
+    want = brute(rows, 0.95)
+    degree = np.bincount(np.array(sorted(want)).ravel(), minlength=first + 1_500)
+    assert len(want) > 2_000 and 0.9 * len(want) <= sum(r.n_links for r in got) / 2 <= len(want)
+    assert all(r.n_links <= degree[r.vec_id] for r in got)
+    assert queries.op4_pivot_permutations(spark, sf_dir).where("n_links > 0").count() == 2 * len(brute(rows[:0] or [r for r in rows if r[0] < first], 0.95))
+
+
+def test_ids_with_several_vectors(spark):
+    """Classes with the same smallest id are told apart, and the vectors of one id count each other."""
+    x, y, z = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.1]
+    rows = [(1, x), (1, y), (2, x), (3, [0.01, 1.0, 0.0, 0.0]), (4, z), (4, [0.0, 0.0, 1.0, 0.11]), (5, y), (5, y)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 1, 4, True), (4, 1, 4, True), (5, 2, 1, False)]
