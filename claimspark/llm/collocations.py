@@ -89,8 +89,10 @@ def _cells(bucket: int, found: Iterator[np.ndarray], bits: int) -> pa.Table:
             once, n = _sums(keys, counts)
             keys, counts, held = [once], [n], 0
     once, n = _sums(keys, counts)
+    if not len(once):
+        return SENT.empty_table()
     group = (once >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(once), np.int64)
-    cuts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(once) else np.zeros(0, np.int64)
+    cuts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     ends = np.append(cuts[1:], len(once))
     return _rows(SENT, [(int(group[a]), bucket, _small(once[a:b]), _small(n[a:b])) for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)])
 

@@ -1,12 +1,15 @@
 """op11, op12 and op13 against brute force, and on hard rows."""
 
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from claimspark.llm import collocations, quality, queries, variants
+from claimspark.llm.common import buffers, span_hashes, words
 from tests.llm.test_ids import HARD, documents
 
 EXTRA = "doc_id bigint, text string, lang string, source string, n bigint, word string, near string, key string, part string, trusted string"
@@ -134,7 +137,7 @@ def test_op12_many_buckets_and_tasks(spark, monkeypatch):
 def test_op12_exact_beyond_64_bits():
     row = [0, ("en", "a", "b"), True, 3 * 10**12, False, [5 * 10**12], 0]
     out = list(collocations.merged(iter([(0, ("en", "a"), True, 4 * 10**12, False, []), tuple(row[:6])]), lambda r, s: (r[1], r[3], [x[3] for x in s], r[6])))
-    assert out == [(("en", "a", "b"), 3 * 10**12, [4 * 10**12], 0), (("en", "a"), 4 * 10**12, [], 0)]
+    assert out == [(("en", "a", "b"), 3 * 10**12, [4 * 10**12], 0), (("en", "a"), 4 * 10**12, [], 3 * 10**12)]
     assert collocations.SCALE * out[0][1] ** 2 // (4 * 10**12 * 5 * 10**12) == 450_000
 
 
@@ -174,17 +177,11 @@ def test_op13_of_hard_rows(spark):
 
 def test_op13_scores_against_brute_force(spark):
     """Few buckets, so that n-grams share them; the ratio of smoothed shares, averaged over a document's n-grams."""
-    import math
-
-    from claimspark.llm.common import buffers, span_hashes, words
-
     texts = {k: " ".join(("alpha beta gamma delta" if k % 3 else "junk&& noise%%").split()[(k * j) % 2] for j in range(12 + k)) for k in range(30)}
     frame = spark.createDataFrame([*texts.items()], "doc_id bigint, text string")
     labels = spark.createDataFrame([(k, 1 if k % 3 else 0) for k in texts], "doc_id bigint, quality int")
     known = {r.doc_id: (r.trusted, r.held) for r in quality.with_trust(frame, labels).collect()}
     model = quality.fit(frame, labels, buckets=7)
-    import pyarrow as pa
-
     grams = {}
     for k, text in texts.items():
         data, at = buffers(pa.array([text]))
