@@ -154,25 +154,28 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
         return _cells(table["bucket"][0].as_py(), found(), bits) if len(known) and table.num_rows else SENT.empty_table()
 
     def spell(table: pa.Table, told: pa.Table) -> pa.Table:
-        known, total = _told(told), {}
-        count, said = np.zeros(len(known), np.int64), [None] * len(known)
+        known, names, total = _told(told), {}, []  # languages by number, and their words
+        count, spoken, said = np.zeros(len(known), np.int64), np.zeros(len(known), np.int32), [None] * len(known)
         seen = np.zeros(len(known), bool)
         for s in _slices(table):
-            for k, n in zip(*np.unique(s.row, return_counts=True), strict=True):
-                total[s.langs[k]] = total.get(s.langs[k], 0) + int(n)
+            code = np.array([names.setdefault(x, len(names)) for x in s.langs], np.int32)[s.row]
+            total.extend([0] * (len(names) - len(total)))
+            for k, n in enumerate(np.bincount(code, minlength=len(names)).tolist()):
+                total[k] += n
             for n in range(1, longest + 1):
                 key, whole = s.keys(n)
                 at, hit = _among(key, known)
                 place = np.flatnonzero(hit & whole)
                 once, first, times = np.unique(at[place], return_index=True, return_counts=True)
                 count[once] += times
-                new = ~seen[once]
-                for k, p in zip(once[new].tolist(), place[first[new]].tolist(), strict=True):
-                    said[k] = (s.langs[s.row[p]], s.phrase(p, n))
-                seen[once] = True
-        rows = [(*x, f) for x, f in zip(said, count.tolist(), strict=True) if x] + [(lang, b"", n) for lang, n in total.items()]
-        columns = list(zip(*rows, strict=True)) or [[], [], []]
-        return pa.table([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.binary()).cast(pa.string()), pa.array(columns[2], pa.int64())], schema=SPELLED)
+                new, place = once[~seen[once]], place[first[~seen[once]]]
+                spoken[new] = code[place]
+                for k, p in zip(new.tolist(), place.tolist(), strict=True):
+                    said[k] = s.phrase(p, n)
+                seen[new] = True
+        langs = pa.array([*names], pa.string()).take(pa.array(np.concatenate((spoken[seen], np.arange(len(names), dtype=np.int32)))))
+        phrases = pa.array([x for x in said if x is not None] + [b""] * len(names), pa.binary()).cast(pa.string())
+        return pa.table([langs, phrases, pa.array(np.concatenate((count[seen], np.array(total, np.int64))))], schema=SPELLED)
 
     def told(rows: DataFrame) -> DataFrame:
         return written(rows.repartition(1 << bits, "grp").groupBy("grp").applyInArrow(lambda t: _frequent(t, least), "bucket bigint, keys binary"))
