@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+import functools
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimspark.functions.words import BASES, metric_slug
-from claimspark.session import workers_find
+from claimspark.session import written
 
-PAGES_PER_REQUEST, REGISTRY_KEYS = 50, 200
+#: Pages of a request, keys of the registry that it lists, and requests that may follow a reply that was cut off.
+PAGES_PER_REQUEST, REGISTRY_KEYS, MOST_RESUMES = 50, 200, 4
 PENDING, IN_FLIGHT, STALE_SECONDS = ["queued", "ingested", "partial", "quota_exhausted", "failed"], ["extracting", "verifying", "reconciling"], 900
 CLAIM_TEXTS = ("subject", "metric", "label", "unit", "period", "scope", "basis", "quote")
 
@@ -38,66 +37,103 @@ def build_requests(documents: DataFrame, featured: DataFrame, registry: DataFram
     return rows.crossJoin(F.broadcast(keys))  # one row of REGISTRY_KEYS keys at most
 
 
-def _text(value: object) -> str | None:
-    return value if value is None or isinstance(value, str) else json.dumps(value)
-
-
-def _number(value: object) -> str | None:
-    """A value as it was printed: numbers in their shortest form, truth values in lower case."""
-    if isinstance(value, bool):
-        return str(value).lower()
-    return value if value is None or isinstance(value, str) else repr(value) if isinstance(value, int | float) else str(value)
-
-
-def _records(text: str) -> Iterator[object]:
-    """The objects of a reply: of the lines, or of one array around all; None for what isn't JSON. Blank lines and fences give nothing."""
-    whole = text.strip()
-    if whole[:1] == "[" and whole[-1:] == "]":
-        try:
-            yield from json.loads(whole)
-            return
-        except ValueError:
-            pass
-    for line in text.splitlines():
-        line = line.strip()
-        if line and not line.startswith("```"):
-            try:
-                yield json.loads(line)
-            except ValueError:
-                yield None
-
-
-def read_reply(text: str | None) -> tuple[dict | None, list[dict], int]:
-    """The last document record, the claims and the number of malformed records of one reply."""
-    document, claims, malformed = None, [], 0
-    for x in _records(text or ""):
-        if isinstance(x, dict) and x.get("type") == "document":
-            document = {k: x[k] if isinstance(x.get(k), str) else None for k in ("title", "publisher", "published_at")}
-            continue
-        page = x.get("page") if isinstance(x, dict) else None
-        if isinstance(page, str) and page.strip().isdigit():
-            page = int(page)
-        if isinstance(x, dict) and x.get("type") == "claim" and type(page) is int and x.get("quote") and x.get("metric"):
-            keys = x.get("keys")
-            claims.append({"page_no": page, **{f"{k}_in": _text(x.get(k)) for k in CLAIM_TEXTS}, "value_in": _number(x.get("value")), "keys": {str(k): _text(v) for k, v in keys.items()} if isinstance(keys, dict) else {}})
-        else:
-            malformed += 1
-    return document, claims, malformed
+#: White space at the ends of lines, and what ends one: as Unicode has them.
+_ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+_LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+_DOCUMENT = ("title", "publisher", "published_at")
+_RECORD = ", ".join(f"`{c}` string" for c in ("type", "page", "value", *CLAIM_TEXTS, *_DOCUMENT)) + ", `keys` map<string, string>"
+_CLAIM = "struct<page_no: bigint, " + ", ".join(f"{k}_in: string" for k in CLAIM_TEXTS) + ", value_in: string, keys: map<string, string>>"
 
 
-_CLAIM = "struct<page_no: bigint, " + ", ".join(f"{k}_in: string" for k in CLAIM_TEXTS) + ", value_in: string, keys: map<string, string>>"
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, _ENDS, "")
+
+
+def record_lines(text: Column) -> Column:
+    """The records of a reply, as JSON texts: its lines, or the items of the one array that it is. Blank lines and fences are none."""
+    whole = _stripped(F.coalesce(text, F.lit("")))
+    array = whole.startswith("[") & whole.endswith("]") & F.try_parse_json(whole).isNotNull()
+    items = F.transform(F.from_json(whole, "array<string>"), lambda x: F.coalesce(x, F.lit("null")))
+    lines = F.transform(F.when(array, items).otherwise(F.split(whole, _LINES)), _stripped)
+    return F.filter(lines, lambda x: (x != "") & ~x.startswith("```"))
+
+
+def _shortest(number: Column) -> Column:
+    """A number as JSON readers print it: digits in full between 1e-4 and 1e16, and beyond that an exponent of two digits at the least."""
+    mantissa, power = F.regexp_replace(F.substring_index(number, "E", 1), r"\.0$", ""), F.substring_index(number, "E", -1).cast("int")
+    full = F.regexp_replace(number.cast("decimal(38,20)").cast("string"), r"(?<=\.\d)(\d*?)0+$", "$1")
+    short = F.concat(mantissa, F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.length(F.abs(power).cast("string")), F.lit(2)), F.lit("0")))
+    return F.when(~F.contains(number, F.lit("E")), number).when((power >= -4) & (power < 16), full).otherwise(short)
+
+
+def _kind(whole: Column, name: str) -> Column:
+    """The JSON type of a field, of a record that was parsed in brackets; null if there is none."""
+    return F.schema_of_variant(F.try_variant_get(whole, f"$[0].{name}", "variant"))
+
+
+def _read(line: Column) -> Column:
+    """What a record says: kind 'document', 'claim' or 'malformed', with its document or claim.
+
+    A claim needs a page that is a whole number, in quotes or not, a metric and a quote. Fields that aren't text are kept as JSON; an empty, zero or false one counts as none.
+    """
+    whole = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
+    one = line.startswith("{") & whole.isNotNull() & F.try_variant_get(whole, "$[1]", "variant").isNull()
+    o = F.from_json(line, _RECORD)
+
+    def said(name: str) -> Column:
+        return F.coalesce(o[name], F.lit("")) != "" if name == "type" else F.coalesce(F.when(_kind(whole, name) == "STRING", o[name] != "").otherwise(~o[name].isin("0", "0.0", "-0.0", "false", "[]", "{}")), F.lit(False))
+
+    page = F.when(_kind(whole, "page").isin("BIGINT", "STRING"), _stripped(o["page"]))
+    claim = (o["type"] == "claim") & page.rlike(r"(?U)^\d+$") & said("quote") & said("metric")
+    minus = (o["type"] == "claim") & (_kind(whole, "page") == "BIGINT") & said("quote") & said("metric")
+    value = F.when(_kind(whole, "value") == "STRING", o["value"]).otherwise(F.when(o["value"].rlike(r"^-?[0-9.]+(E-?[0-9]+)?$"), _shortest(o["value"])).otherwise(o["value"]))
+    keys = F.coalesce(o["keys"], F.create_map().cast("map<string,string>"))
+    found = F.struct(page.cast("bigint").alias("page_no"), *[o[k].alias(f"{k}_in") for k in CLAIM_TEXTS], value.alias("value_in"), keys.alias("keys"))
+    document = F.struct(*[F.when(_kind(whole, c) == "STRING", o[c]).alias(c) for c in _DOCUMENT])
+    kind = F.when(~F.coalesce(one, F.lit(False)), "malformed").when(o["type"] == "document", "document").when(F.coalesce(claim | minus, F.lit(False)), "claim").otherwise("malformed")
+    return F.struct(kind.alias("kind"), document.alias("document"), found.alias("claim"))
 
 
 def parse_claim_lines(replies: DataFrame) -> DataFrame:
-    """Replies (doc_id, response_id, text, ...) with document, claims (array) and malformed. A reply is parsed where it is; nothing is shuffled."""
-    workers_find(replies.sparkSession)
+    """Replies (doc_id, response_id, text, ...) with document, claims (array) and malformed. A reply is parsed where it is; nothing is shuffled, and no Python runs.
 
-    @F.pandas_udf(f"struct<document: struct<title: string, publisher: string, published_at: string>, claims: array<{_CLAIM}>, malformed: bigint>")
-    def parsed(text: pd.Series) -> pd.DataFrame:
-        rows = [read_reply(t) for t in text]
-        return pd.DataFrame({"document": [d or {"title": None, "publisher": None, "published_at": None} for d, _, _ in rows], "claims": [c for _, c, _ in rows], "malformed": [m for _, _, m in rows]})
+    The last document record holds. A record with a key twice is malformed.
+    """
+    rows = replies.withColumn("_r", F.transform(record_lines(F.col("text")), _read))
+    of = lambda kind: F.filter("_r", lambda r: r["kind"] == kind)
+    documents = F.transform(of("document"), lambda r: r["document"])
+    none = F.struct(*[F.lit(None).cast("string").alias(c) for c in _DOCUMENT])
+    return rows.withColumns({"document": F.coalesce(F.try_element_at(documents, F.lit(-1)), none), "claims": F.transform(of("claim"), lambda r: r["claim"]), "malformed": F.size(of("malformed")).cast("bigint")}).drop("_r")
 
-    return replies.withColumn("_p", parsed("text")).withColumns({"document": F.col("_p.document"), "claims": F.col("_p.claims"), "malformed": F.col("_p.malformed")}).drop("_p")
+
+def resume_rounds(sliced: DataFrame, parsed: DataFrame, resumes: int = MOST_RESUMES) -> tuple[DataFrame, DataFrame]:
+    """Rounds of request and reply for slices (doc_id, first, last) of pages, each from the page where the last reply broke off.
+
+    parsed has replies (doc_id, start, document, claims, malformed, finish_reason) to requests for the pages from start on. A reply that was cut off loses the claims of its
+    highest page, and the next request starts there. A slice ends with a reply that was not cut off; it is partial if a reply that was has no claims, which is
+    then not counted at all, if a request would start no later than the one before, or after so many resumes. Slices behind a document's first partial one are not asked for.
+
+    Gives the replies that count (doc_id, first, round, start, next_start, document, claims, malformed, finish_reason), and how slices (doc_id, first, last, rounds, ended) end:
+    'complete', 'partial', or 'pending' with the page from which a reply is still wanted (start). All slices take a round together, as many as resumes allow.
+    """
+    replies = trim_truncated(parsed).select(F.col("doc_id").alias("_doc"), F.col("start").alias("_start"), "document", "claims", "malformed", "finish_reason", "next_start", F.col("partial").alias("_bare"))
+    asked = sliced.select("doc_id", "first", "last", F.col("first").cast("bigint").alias("start"))
+    taken, ended = [], []
+    for turn in range(resumes + 1):
+        got = asked.join(replies, (F.col("doc_id") == F.col("_doc")) & (F.col("start") == F.col("_start")), "left").withColumn("round", F.lit(turn)).drop("_start")
+        stuck = F.col("next_start").isNotNull() & (F.col("next_start") <= F.col("last")) & ((F.col("next_start") <= F.col("start")) | F.lit(turn == resumes))
+        goes_on = F.col("next_start").isNotNull() & (F.col("next_start") <= F.col("last")) & ~stuck
+        end = F.when(F.col("_doc").isNull(), "pending").when(F.col("_bare") | stuck, "partial").when(goes_on, None).otherwise("complete")
+        got = got.withColumn("ended", end).transform(written)
+        taken.append(got.where("_doc is not null and not _bare").select("doc_id", "first", "round", "start", "next_start", "document", "claims", "malformed", "finish_reason"))
+        ended.append(got.where("ended is not null").select("doc_id", "first", "last", F.when(F.col("ended") == "pending", F.col("start")).alias("start"), (F.col("round") + F.col("_doc").isNotNull().cast("int")).alias("rounds"), "ended"))
+        asked = got.where("ended is null").select("doc_id", "first", "last", F.col("next_start").alias("start"))
+        if asked.isEmpty():
+            break
+    ends = functools.reduce(DataFrame.unionByName, ended).transform(written)
+    broken = ends.where("ended = 'partial'").groupBy(F.col("doc_id").alias("_d")).agg(F.min("first").alias("_broken"))
+    kept = lambda rows: rows.join(broken, F.col("doc_id") == F.col("_d"), "left").where("_broken is null or first <= _broken").drop("_d", "_broken")
+    return kept(functools.reduce(DataFrame.unionByName, taken)), kept(ends)
 
 
 def trim_truncated(parsed: DataFrame) -> DataFrame:

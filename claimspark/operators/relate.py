@@ -24,10 +24,10 @@ def close(a: Column, b: Column, precision: Column) -> Column:
     return F.when(precision > 0, F.abs(a - b) <= precision * 1.0000001).otherwise(F.abs(a - b) <= F.lit(RELATIVE) * size)
 
 
-def comparable(canon: DataFrame) -> DataFrame:
+def comparable(canon: DataFrame, *keep: str) -> DataFrame:
     """What is compared of each claim in a block, with the keys that a pair would else compute again and again."""
     rows = with_published_key(canon.where("block_key is not null"))
-    return rows.withColumns({"publisher_key": F.nullif(entity_key(F.col("publisher")), F.lit("")), "label_set": label_tokens(F.col("label"))}).select("claim_id", "block_key", *COMPARED)
+    return rows.withColumns({"publisher_key": F.nullif(entity_key(F.col("publisher")), F.lit("")), "label_set": label_tokens(F.col("label"))}).select("claim_id", "block_key", *COMPARED, *keep)
 
 
 def tasks_for(pairs: float, cores: int) -> int:
@@ -35,7 +35,7 @@ def tasks_for(pairs: float, cores: int) -> int:
     return int(max(1, -(-pairs // TASK_PAIRS), min(cores, -(-pairs // CORE_PAIRS))))
 
 
-def candidate_pairs(compared: DataFrame) -> DataFrame:
+def candidate_pairs(compared: DataFrame, columns: list[str] = COMPARED) -> DataFrame:
     """All pairs (a, b), a.claim_id < b.claim_id, of claims in one block; only blocks of two and more.
 
     A block of n claims is cut into shares of about BLOCK_SHARE, by the claim's hash: side a is in its own share, side b goes to each of them, so that
@@ -45,11 +45,24 @@ def candidate_pairs(compared: DataFrame) -> DataFrame:
     sizes = compared.groupBy("block_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("block_key", F.ceil(F.col("_n") / BLOCK_SHARE).cast("int").alias("_k"), (F.col("_n") * (F.col("_n") - 1.0) / 2).alias("_pairs")).transform(written)
     parts = tasks_for(sizes.agg(F.sum("_pairs")).first()[0] or 0, compared.sparkSession.sparkContext.defaultParallelism)
     rows = compared.join(sizes.drop("_pairs"), "block_key")
-    a = rows.withColumn("_share", F.pmod(F.xxhash64("claim_id"), F.col("_k")).cast("int")).select("block_key", "_share", F.struct("claim_id", *COMPARED).alias("a")).repartition(parts, "block_key", "_share")
-    b = rows.withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).select("block_key", "_share", F.struct("claim_id", *COMPARED).alias("b")).repartition(parts, "block_key", "_share")
+    a = rows.withColumn("_share", F.pmod(F.xxhash64("claim_id"), F.col("_k")).cast("int")).select("block_key", "_share", F.struct("claim_id", *columns).alias("a")).repartition(parts, "block_key", "_share")
+    b = rows.withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).select("block_key", "_share", F.struct("claim_id", *columns).alias("b")).repartition(parts, "block_key", "_share")
     return a.join(b, ["block_key", "_share"]).where("a.claim_id < b.claim_id").drop("_share")
 
 
+def fresh_pairs(compared: DataFrame) -> DataFrame:
+    """Pairs as candidate_pairs, of claims with `fresh`, but only those in which one is fresh at the least: pairs of others are not even made."""
+    sizes = compared.groupBy("block_key").agg(F.count(F.lit(1)).alias("_n"), F.count_if("fresh").alias("_f")).where("_n > 1 and _f > 0")
+    sizes = sizes.select("block_key", F.ceil(F.col("_f") / BLOCK_SHARE).cast("int").alias("_k"), (F.col("_f") * F.col("_n")).alias("_pairs")).transform(written)
+    parts = tasks_for(sizes.agg(F.sum("_pairs")).first()[0] or 0, compared.sparkSession.sparkContext.defaultParallelism)
+    rows = compared.join(sizes.drop("_pairs"), "block_key")
+    a = rows.where("fresh").withColumn("_share", F.pmod(F.xxhash64("claim_id"), F.col("_k")).cast("int")).select("block_key", "_share", F.struct("claim_id", *COMPARED).alias("a")).repartition(parts, "block_key", "_share")
+    b = rows.withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).select("block_key", "_share", F.struct("claim_id", *COMPARED).alias("b"), F.col("fresh").alias("_old")).withColumn("_old", ~F.col("_old")).repartition(parts, "block_key", "_share")
+    ahead = F.col("a.claim_id") < F.col("b.claim_id")
+    pairs = a.join(b, ["block_key", "_share"]).where((F.col("a.claim_id") != F.col("b.claim_id")) & (F.col("_old") | ahead))
+    return pairs.select("block_key", F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("b"))
+
+
 def _relation(kind: str, dimension: str | None, confidence: str, explanation: Column | str | None, swap: Column | bool = False) -> Column:
     text = F.lit(explanation) if not isinstance(explanation, Column) else explanation
     return F.struct(
@@ -61,9 +74,8 @@ def _arrow(old: Column, new: Column) -> Column:
     return F.concat(old, F.lit(" → "), new)
 
 
-def relate_numeric() -> Column:
-    """The relation of two numbers in columns a and b, by the first rule that holds."""
-    a, b = F.col("a"), F.col("b")
+def relate_numeric(a: Column, b: Column) -> Column:
+    """The relation of two numbers, by the first rule that holds."""
     versus = lambda c: F.concat(a[c], F.lit(" vs "), b[c])
     said = lambda c: F.coalesce(c, F.lit("")) != ""
     both = said(a["scope_canon"]) & said(b["scope_canon"])
@@ -100,9 +112,8 @@ def relate_numeric() -> Column:
     )
 
 
-def relate_text() -> Column:
-    """The relation of two states in columns a and b: equal, or the later one supersedes."""
-    a, b = F.col("a"), F.col("b")
+def relate_text(a: Column, b: Column) -> Column:
+    """The relation of two states: equal, or the later one supersedes."""
     da, db = F.coalesce(a["period_end"].cast("string"), a["vintage"]), F.coalesce(b["period_end"].cast("string"), b["vintage"])
     swap = da < db
     state = lambda first: F.when(first, F.concat(a["value_text"], F.lit(" ("), da, F.lit(")"))).otherwise(F.concat(b["value_text"], F.lit(" ("), db, F.lit(")")))
@@ -116,14 +127,112 @@ def relate_text() -> Column:
 
 def relations(canon: DataFrame) -> DataFrame:
     """(block_key, a_id, b_id, kind, dimension, explanation, confidence, cross_document); of two that supersede, a_id is the newer."""
-    textual = F.col("a.value_text").isNotNull() | F.col("b.value_text").isNotNull()
-    rows = candidate_pairs(comparable(canon)).withColumn("r", F.when(textual, relate_text()).otherwise(relate_numeric())).where("r is not null")
+    return related_pairs(candidate_pairs(comparable(canon)))
+
+
+def relations_of_fresh(canon: DataFrame) -> DataFrame:
+    """The relations of claims that are new or have moved (`fresh`) with all in their blocks; what the others are to each other stays as it is."""
+    return related_pairs(fresh_pairs(comparable(canon, "fresh")))
+
+
+def relate(a: str, b: str) -> Column:
+    textual = F.col(f"{a}.value_text").isNotNull() | F.col(f"{b}.value_text").isNotNull()
+    return F.when(textual, relate_text(F.col(a), F.col(b))).otherwise(relate_numeric(F.col(a), F.col(b)))
+
+
+def related_pairs(pairs: DataFrame) -> DataFrame:
+    rows = pairs.withColumn("r", relate("a", "b")).where("r is not null")
     a, b = F.col("a.claim_id"), F.col("b.claim_id")
     return rows.select(
         "block_key", F.when(F.col("r.swap"), b).otherwise(a).alias("a_id"), F.when(F.col("r.swap"), a).otherwise(b).alias("b_id"), "r.kind", "r.dimension", "r.explanation", "r.confidence", (F.col("a.doc_id") != F.col("b.doc_id")).alias("cross_document")
     )
 
 
+CLASSED = [c for c in COMPARED if c != "doc_id"]
+
+
+def value_classes(canon: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes (block_key, class_id, n, what is compared) and members (claim_id, class_id, block_key, doc_id).
+
+    Claims of a block that are alike in all that relations go by are one class: a text by its words and date, a number by its value, precision, unit, scope, basis,
+    label and publication. A class is named by its smallest claim. Equal claims are counted before they are shuffled, so that a block of very many costs a row per task.
+    """
+    rows = comparable(canon)
+    text = F.col("value_text").isNotNull()
+    dated = F.coalesce(F.col("period_end").cast("string"), "vintage")
+    own = {c: F.col(c) if c == "value_text" else F.when(text, dated).otherwise(F.col(c)) if c == "vintage" else F.lit(None).cast("date") if c == "period_end" else F.when(~text, F.col(c)) for c in CLASSED}
+    rows = rows.select("claim_id", "block_key", "doc_id", F.struct(*[v.alias(c) for c, v in own.items()]).alias("of")).transform(written)
+    classes = rows.groupBy("block_key", "of").agg(F.min("claim_id").alias("class_id"), F.count(F.lit(1)).alias("n")).transform(written)
+    named = classes.select(F.col("block_key").alias("_b"), F.col("of").alias("_of"), "class_id")
+    members = rows.join(named, (F.col("block_key") == F.col("_b")) & F.col("of").eqNullSafe(F.col("_of"))).select("claim_id", "class_id", "block_key", "doc_id")
+    return classes.select("block_key", "class_id", "n", "of.*"), members
+
+
+def class_relations(classes: DataFrame) -> DataFrame:
+    """(block_key, a_class, b_class, a_n, b_n, kind, dimension, confidence, newer, ab, ba): how classes of a block relate, and members of one class to each other.
+
+    All members of a class relate alike to all of another. newer is 'a' or 'b' where one supersedes; ab is the explanation of a pair whose smaller claim is a's, ba of others. The
+    rows are as many as pairs of classes, whatever the number of claims.
+    """
+    columns = [*CLASSED, "n"]
+    rows = classes.withColumnRenamed("class_id", "claim_id")
+    same = rows.where("n > 1").select("block_key", F.struct("claim_id", *columns).alias("a"))
+    pairs = candidate_pairs(rows, columns).unionByName(same.withColumn("b", F.col("a")))
+    found = pairs.withColumns({"r": relate("a", "b"), "q": relate("b", "a")}).where("r is not null")
+    newer = F.when(F.col("r.kind") == "supersedes", F.when(F.col("r.swap"), "b").otherwise("a"))
+    return found.select("block_key", F.col("a.claim_id").alias("a_class"), F.col("b.claim_id").alias("b_class"), F.col("a.n").alias("a_n"), F.col("b.n").alias("b_n"), "r.kind", "r.dimension", "r.confidence", newer.alias("newer"), F.col("r.explanation").alias("ab"), F.col("q.explanation").alias("ba"))
+
+
+def expand(found: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs of claims behind relations of classes, in the form of `relations`; filter classes first, as there may be very many."""
+    side = lambda s: members.select(F.col("class_id").alias(f"{s}_class"), F.col("claim_id").alias(f"_{s}"), F.col("doc_id").alias(f"_{s}_doc"))
+    rows = found.join(side("a"), "a_class").join(side("b"), "b_class").where("a_class <> b_class or _a < _b")
+    small = F.col("_a") < F.col("_b")
+    first = F.when(F.col("newer").isNotNull(), F.col("newer") == "a").otherwise(small)
+    return rows.select(
+        "block_key", F.when(first, F.col("_a")).otherwise(F.col("_b")).alias("a_id"), F.when(first, F.col("_b")).otherwise(F.col("_a")).alias("b_id"), "kind", "dimension", F.when(small, F.col("ab")).otherwise(F.col("ba")).alias("explanation"), "confidence", (F.col("_a_doc") != F.col("_b_doc")).alias("cross_document")
+    )
+
+
+def _pairs_of(found: DataFrame) -> Column:
+    return F.when(F.col("a_class") == F.col("b_class"), F.expr("a_n * (a_n - 1) div 2")).otherwise(F.col("a_n") * F.col("b_n"))
+
+
+def claim_marks(found: DataFrame, members: DataFrame) -> DataFrame:
+    """(claim_id, superseded, corroborations) of the claims for which relations of classes tell of either, without any pair of claims."""
+    sides = [("a", "b"), ("b", "a")]
+    marks = found.select(F.explode(F.array(*[
+        F.struct(
+            F.col(f"{x}_class").alias("class_id"), F.coalesce(F.col("newer") == y, F.lit(False)).alias("old"),
+            F.when(F.col("kind") != "corroborates", 0).when(F.col("a_class") != F.col("b_class"), F.col(f"{y}_n")).otherwise((F.col("a_n") - 1) if x == "a" else F.lit(0)).alias("agreed"),
+        )
+        for x, y in sides
+    ])).alias("m")).select("m.*")
+    marks = marks.groupBy("class_id").agg(F.max("old").alias("superseded"), F.sum("agreed").alias("corroborations")).where("superseded or corroborations > 0")
+    return members.select("claim_id", "class_id").join(marks, "class_id").drop("class_id")
+
+
+def class_counts(found: DataFrame, members: DataFrame) -> DataFrame:
+    """(kind, cross_document, n): numbers of pairs. Those within a document are counted from the classes of each document, the others are the rest."""
+    each = members.groupBy("block_key", "doc_id", "class_id").agg(F.count(F.lit(1)).alias("m"))
+    a, b = (each.select("block_key", "doc_id", F.col("class_id").alias(f"{s}_class"), F.col("m").alias(f"{s}_m")) for s in "ab")
+    within = a.join(b, ["block_key", "doc_id"]).where("a_class <= b_class")
+    count = F.when(F.col("a_class") == F.col("b_class"), F.expr("a_m * (a_m - 1) div 2")).otherwise(F.col("a_m") * F.col("b_m"))
+    inside = within.withColumn("n", count).where("n > 0").groupBy("a_class", "b_class").agg(F.sum("n").alias("inside"))
+    rows = found.select("a_class", "b_class", "kind", _pairs_of(found).alias("n")).join(inside, ["a_class", "b_class"], "left").withColumn("inside", F.coalesce("inside", F.lit(0)))
+    both = rows.groupBy("kind").agg(F.sum("inside").alias("inside"), F.sum(F.col("n") - F.col("inside")).alias("across"))
+    ways = F.explode(F.array(F.struct(F.lit(False).alias("cross_document"), F.col("inside").alias("n")), F.struct(F.lit(True).alias("cross_document"), F.col("across").alias("n")))).alias("w")
+    return both.select("kind", ways).select("kind", "w.*").where("n > 0")
+
+
+def class_stats(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """reconcile_stats, from classes."""
+    blocks = classes.groupBy("block_key").agg(F.sum("n").alias("n")).where("n > 1").agg(F.count(F.lit(1)).alias("blocks"))
+    n = _pairs_of(found)
+    kinds = found.agg(F.coalesce(F.sum(n), F.lit(0)).alias("pairs"), *[F.coalesce(F.sum(F.when(F.col("kind") == k, n)), F.lit(0)).alias(k) for k in ("corroborates", "reconciled", "supersedes", "contradicts")])
+    return blocks.crossJoin(kinds)  # one row each
+
+
 def touched_blocks(canon_of_document: DataFrame) -> DataFrame:
     return canon_of_document.where("block_key is not null").select("block_key").distinct()
 

@@ -88,11 +88,17 @@ def entity_list(entities: DataFrame, canon: DataFrame) -> DataFrame:
     return entities.select("entity", "kind").join(counts, "entity", "left").na.fill(0, ["claims"])
 
 
-def _members(canon: DataFrame, relations: DataFrame, evidence: DataFrame | None) -> DataFrame:
+def relation_marks(relations: DataFrame) -> DataFrame:
+    """(claim_id, superseded, corroborations) of the claims that relations tell either of."""
+    ways = F.explode(F.array(F.struct(F.col("a_id").alias("claim_id"), F.lit(False).alias("old")), F.struct(F.col("b_id").alias("claim_id"), (F.col("kind") == "supersedes").alias("old")))).alias("w")
+    rows = relations.where("kind in ('supersedes', 'corroborates')").select("kind", ways).select("w.*", (F.col("kind") == "corroborates").cast("long").alias("agreed"))
+    return rows.groupBy("claim_id").agg(F.max("old").alias("superseded"), F.sum("agreed").alias("corroborations"))
+
+
+def _members(canon: DataFrame, marks: DataFrame, evidence: DataFrame | None) -> DataFrame:
     """Members of blocks with what they are ranked by; superseded ones are marked, and count only where all are."""
-    old = relations.where("kind = 'supersedes'").select(F.col("b_id").alias("claim_id")).distinct().withColumn("_old", F.lit(True))
-    agreed = relations.where("kind = 'corroborates'").select(F.explode(F.array("a_id", "b_id")).alias("claim_id")).groupBy("claim_id").agg(F.count(F.lit(1)).alias("corroborations"))
-    rows = with_published_key(canon.where("block_key is not null")).join(old, "claim_id", "left").join(agreed, "claim_id", "left")
+    marks = marks.select("claim_id", F.col("superseded").alias("_old"), "corroborations")
+    rows = with_published_key(canon.where("block_key is not null")).join(marks, "claim_id", "left")
     rank = F.lit(0)
     if evidence is not None:
         rows = rows.join(evidence.select("claim_id", "grade"), "claim_id", "left")
@@ -100,13 +106,13 @@ def _members(canon: DataFrame, relations: DataFrame, evidence: DataFrame | None)
     return rows.withColumns({"superseded": F.coalesce("_old", F.lit(False)), "corroborations": F.coalesce("corroborations", F.lit(0)), "_grade": rank, "_basis": F.coalesce(basis_rank(F.col("basis_canon")), F.lit(0))})
 
 
-def current_values(canon: DataFrame, relations: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
-    """The current claim of every block, with its members and corroborations.
+def current_values(canon: DataFrame, relations: DataFrame | None = None, evidence: DataFrame | None = None, marks: DataFrame | None = None) -> DataFrame:
+    """The current claim of every block, with its members and corroborations; from relations, or from the marks that relations of classes give.
 
     Live members go before superseded ones; then maturity of basis, corroborations, publication date, grade and the smaller id decide. The best
     member is a maximum, which Spark takes before it shuffles, so that a large block is no hot spot.
     """
-    rows = _members(canon, relations, evidence)
+    rows = _members(canon, relation_marks(relations) if marks is None else marks, evidence)
     order = F.struct((~F.col("superseded")).alias("live"), "_basis", "corroborations", F.coalesce("vintage", F.lit("")).alias("v"), "_grade", (-F.col("claim_id")).alias("i"))
     keep = F.struct("claim_id", "entity", "metric_key", "period_start", "period_end", "value_canon", "value_text", "unit_canon", "basis_canon", "scope_canon", "corroborations", "superseded")
     best = rows.groupBy("block_key").agg(F.max_by(keep, order).alias("c"), F.count(F.lit(1)).alias("members"), F.count_if("superseded").alias("n_superseded"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimspark.operators.records import parse_claim_lines
 from claimspark.session import no_rows
 
 LINES_PER_PAGE = 3
@@ -102,6 +103,16 @@ class Fixtures:
         quote = F.concat(F.array_join(F.slice("w", 1, 6), " "), F.when(F.col("doc_id") % 7 == 0, " 98765").otherwise(""))
         return rows.select((F.col("doc_id") * 10_000 + F.col("page_no")).alias("claim_id"), "doc_id", (F.col("page_no") + F.col("doc_id") % 4 - 1).cast("int").alias("page_no"), quote.alias("quote"), F.lit("unverified").alias("status"))
 
+    def resumed_replies(self) -> tuple[DataFrame, DataFrame]:
+        """A slice of pages 1 to 8 for each document, and parsed replies to requests from each page on: they hold doc_id % 9 pages, 0 being cut off at once and 8 all; every eleventh document has none."""
+        docs = self.documents().select("doc_id", (F.col("doc_id") % 9).alias("w"))
+        rows = docs.where("doc_id % 11 <> 5").select("doc_id", "w", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("start"))
+        end = F.when(F.col("w") == 0, F.col("start") - 1).otherwise(F.least(F.col("start") + F.col("w") - 1, F.lit(8)))
+        rows = rows.withColumn("end", end.cast("int")).withColumn("pages", F.filter(F.sequence(F.lit(1), F.lit(8)), lambda p: (p >= F.col("start")) & (p <= F.col("end"))))
+        line = F.transform("pages", lambda p: F.to_json(F.struct(F.lit("claim").alias("type"), p.alias("page"), F.lit("revenue").alias("metric"), F.lit("q").alias("quote"))))
+        replies = rows.select("doc_id", "start", F.array_join(line, "\n").alias("text"), F.when(F.col("end") < 8, "MAX_TOKENS").otherwise("STOP").alias("finish_reason"))
+        return docs.select("doc_id", F.lit(1).alias("first"), F.lit(8).alias("last")), parse_claim_lines(replies)
+
     def responses(self) -> DataFrame:
         """Claims of a document as JSON lines, between fences; some with a bad line, some cut off."""
         fields = F.struct(F.lit("claim").alias("type"), F.substring("period_raw", -2, 2).cast("int").alias("page"), "subject", F.col("metric_raw").alias("metric"), "label", F.col("value_raw").alias("value"), F.col("unit_raw").alias("unit"), F.col("period_raw").alias("period"), F.col("scope_raw").alias("scope"), F.col("basis_raw").alias("basis"), "quote", "keys")

@@ -177,6 +177,8 @@ from (select doc_id, page_count, unnest(generate_series(1, page_count, 4)) as fi
 on f.doc_id = s.doc_id and f.page_no between s.first and s.first + 3 group by s.doc_id, s.first, s.page_count""", *paged),
         "e3_parse_claim_lines": _sql("select doc_id, count(*) as claims, case when doc_id % 5 = 0 then 1 else 0 end as malformed from fx_claims group by 1"),
         "e4_trim_truncated": _sql("select c.doc_id, count(t.claim_id) as claims, case when c.broken then c.top end as next_start, false as partial from cut c left join trimmed t on t.doc_id = c.doc_id group by c.doc_id, c.broken, c.top", _RECORDS),
+        "e4_resume_rounds": _sql("""select doc_id, cast(case when doc_id % 11 = 5 then 0 when w < 2 then 1 when w = 2 then 5 else least(5, 1 + cast(ceil((8 - w) / (w - 1.0)) as bigint)) end as bigint) as rounds, case when doc_id % 11 = 5 then 'pending' when w < 3 then 'partial' else 'complete' end as ended,
+case when doc_id % 11 = 5 or w < 2 then 0 when w = 2 then 5 else 8 end as claims, case when doc_id % 11 = 5 or w < 2 then '' when w = 2 then '1,2,3,4,5' else '1,2,3,4,5,6,7,8' end as pages from (select doc_id, doc_id % 9 as w from fx_documents)"""),
         "e5_type_claims": _sql("select doc_id, page_no, subject, metric_raw, label, value_raw, unit_raw, period_raw, scope_raw, basis_raw, quote, cin from trimmed", _RECORDS),
         "e7_registry_counts": _sql("select metric_raw, count(*) as claim_count, min(label) as label, min(doc_id) as first_seen_doc from fx_claims group by 1"),
         "e8_replace_document": _sql("select metric_raw, count(*) as claim_count, min(label) as label, min(doc_id) as first_seen_doc from fx_claims where doc_id % 5 <> 0 group by 1"),

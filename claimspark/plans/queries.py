@@ -46,6 +46,18 @@ def related(rows: DataFrame) -> DataFrame:
     return relate.relations(rows).transform(written)
 
 
+def classed(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes, members and relations of classes, each written down once."""
+    classes, members = relate.value_classes(rows)
+    return classes, members.transform(written), relate.class_relations(classes).transform(written)
+
+
+def current(rows: DataFrame) -> DataFrame:
+    """Current values by relations of classes: no pair of claims is made."""
+    _, members, found = classed(rows)
+    return serve.current_values(rows, marks=relate.claim_marks(found, members))
+
+
 def text(*names: str) -> list[Column]:
     return [F.col(n).cast("string").alias(n) for n in names]
 
@@ -205,7 +217,9 @@ def r5_relate_numeric(x: Fixtures) -> DataFrame:
 
 @query
 def r6_relate_text(x: Fixtures) -> DataFrame:
-    return related(states(x)).select(*RELATION)
+    """Equal states are one class; the pairs behind related classes are made in the end."""
+    _, members, found = classed(states(x))
+    return relate.expand(found, members).select(*RELATION)
 
 
 @query
@@ -224,8 +238,8 @@ def r9_touched_blocks(x: Fixtures) -> DataFrame:
 
 @query
 def r10_reconcile_stats(x: Fixtures) -> DataFrame:
-    rows = numbers(x)
-    return relate.reconcile_stats(rows, related(rows))
+    classes, _, found = classed(numbers(x))
+    return relate.class_stats(classes, found)
 
 
 # serving
@@ -233,15 +247,12 @@ def r10_reconcile_stats(x: Fixtures) -> DataFrame:
 
 @query
 def q11_current_values(x: Fixtures) -> DataFrame:
-    rows = numbers(x)
-    now = serve.current_values(rows, related(rows))
-    return now.select("block_key", "claim_id", "value_canon", "unit_canon", "basis_canon", "corroborations", "members", "n_superseded")
+    return current(numbers(x)).select("block_key", "claim_id", "value_canon", "unit_canon", "basis_canon", "corroborations", "members", "n_superseded")
 
 
 @query
 def q11_current_states(x: Fixtures) -> DataFrame:
-    rows = states(x)
-    return serve.current_values(rows, related(rows)).select("block_key", "claim_id", "value_text", "corroborations", "members", "n_superseded")
+    return current(states(x)).select("block_key", "claim_id", "value_text", "corroborations", "members", "n_superseded")
 
 
 @query
@@ -260,7 +271,8 @@ def q13_related_to_current(x: Fixtures) -> DataFrame:
 
 @query
 def q7_relation_counts(x: Fixtures) -> DataFrame:
-    return serve.relation_counts(related(numbers(x)))
+    _, members, found = classed(numbers(x))
+    return relate.class_counts(found, members)
 
 
 @query
@@ -349,7 +361,7 @@ def q10_entity_list(x: Fixtures) -> DataFrame:
 def q16_answer_requests(x: Fixtures) -> DataFrame:
     """Nations by exact and by partial name, unknown ones, aliases, and periods that can't be read, for each fiscal year."""
     rows, claims = numbers(x), x.claims()
-    now = serve.current_values(rows, related(rows)).transform(written)
+    now = current(rows).transform(written)
     years = x.spark.range(1995, 2003).select(F.col("id").alias("fy"))
     k = F.col("n_nationkey") % 4
     asked = x.read("nation").crossJoin(F.broadcast(years)).select(  # eight years
@@ -467,6 +479,14 @@ def e4_trim_truncated(x: Fixtures) -> DataFrame:
     return _parsed(x).select("doc_id", F.size("claims").cast("bigint").alias("claims"), "next_start", "partial")
 
 
+@query
+def e4_resume_rounds(x: Fixtures) -> DataFrame:
+    """Slices of eight pages, whose replies reach as far as a document's number says: some are read at once, some in four rounds, some give up, some get no reply."""
+    got, ends = records.resume_rounds(*x.resumed_replies())
+    kept = got.groupBy("doc_id").agg(F.sum(F.size("claims")).alias("claims"), F.array_join(F.array_sort(F.flatten(F.collect_list(F.transform("claims", lambda c: c["page_no"])))).cast("array<string>"), ",").alias("pages"))  # eight pages
+    return ends.join(kept, "doc_id", "left").select("doc_id", F.col("rounds").cast("bigint").alias("rounds"), "ended", F.coalesce("claims", F.lit(0)).alias("claims"), F.coalesce("pages", F.lit("")).alias("pages"))
+
+
 @query
 def e5_type_claims(x: Fixtures) -> DataFrame:
     return records.type_claims(_parsed(x)).select("doc_id", "page_no", "subject", "metric_raw", "label", "value_raw", "unit_raw", "period_raw", "scope_raw", "basis_raw", "quote", F.col("keys")["cin"].alias("cin"))
