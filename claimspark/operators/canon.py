@@ -125,9 +125,9 @@ def with_publishers(claims: DataFrame, documents: DataFrame) -> DataFrame:
     return claims.join(published, F.col("doc_id") == F.col("_d"), "left").drop("_d")
 
 
-def coordinates(rows: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """Claims whose entity and metric_key are known, with all other coordinates and the block."""
-    rows = with_period(rows)
+def coordinates(rows: DataFrame, pages: DataFrame | None = None, periods: DataFrame | None = None) -> DataFrame:
+    """Claims whose entity and metric_key are known, with all other coordinates and the block; periods is a vocabulary of their periods, if there is one."""
+    rows = with_period(rows, known=periods)
     rows = rows.withColumn("_u", parse_unit(F.col("unit_raw"))).withColumns({"unit_canon": F.col("_u.unit"), "_scale": F.col("_u.scale"), "_number": parse_value(F.col("value_raw"))}).drop("_u")
     if pages is not None:
         rows = rescue_currency(rows, pages)

@@ -60,8 +60,8 @@ def record_lines(text: Column) -> Column:
 
 def _shortest(number: Column) -> Column:
     """A number as JSON readers print it: digits in full between 1e-4 and 1e16, and beyond that an exponent of two digits at the least."""
-    mantissa, power = F.regexp_replace(F.substring_index(number, "E", 1), r"\.0$", ""), F.substring_index(number, "E", -1).cast("int")
-    full = F.regexp_replace(number.cast("decimal(38,20)").cast("string"), r"(?<=\.\d)(\d*?)0+$", "$1")
+    mantissa, power = F.regexp_replace(F.substring_index(number, "E", 1), r"\.0$", ""), F.substring_index(number, "E", -1).try_cast("int")
+    full = F.regexp_replace(number.try_cast("decimal(38,20)").cast("string"), r"(?<=\.\d)(\d*?)0+$", "$1")
     short = F.concat(mantissa, F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.length(F.abs(power).cast("string")), F.lit(2)), F.lit("0")))
     return F.when(~F.contains(number, F.lit("E")), number).when((power >= -4) & (power < 16), full).otherwise(short)
 
@@ -88,7 +88,7 @@ def _read(line: Column) -> Column:
     minus = (o["type"] == "claim") & (_kind(whole, "page") == "BIGINT") & said("quote") & said("metric")
     value = F.when(_kind(whole, "value") == "STRING", o["value"]).otherwise(F.when(o["value"].rlike(r"^-?[0-9.]+(E-?[0-9]+)?$"), _shortest(o["value"])).otherwise(o["value"]))
     keys = F.coalesce(o["keys"], F.create_map().cast("map<string,string>"))
-    found = F.struct(page.cast("bigint").alias("page_no"), *[o[k].alias(f"{k}_in") for k in CLAIM_TEXTS], value.alias("value_in"), keys.alias("keys"))
+    found = F.struct(page.try_cast("bigint").alias("page_no"), *[o[k].alias(f"{k}_in") for k in CLAIM_TEXTS], value.alias("value_in"), keys.alias("keys"))
     document = F.struct(*[F.when(_kind(whole, c) == "STRING", o[c]).alias(c) for c in _DOCUMENT])
     kind = F.when(~F.coalesce(one, F.lit(False)), "malformed").when(o["type"] == "document", "document").when(F.coalesce(claim | minus, F.lit(False)), "claim").otherwise("malformed")
     return F.struct(kind.alias("kind"), document.alias("document"), found.alias("claim"))

@@ -25,8 +25,9 @@ def close(a: Column, b: Column, precision: Column) -> Column:
 
 
 def comparable(canon: DataFrame, *keep: str) -> DataFrame:
-    """What is compared of each claim in a block, with the keys that a pair would else compute again and again."""
-    rows = with_published_key(canon.where("block_key is not null"))
+    """What is compared of each claim in a block, with the keys that a pair would else compute again and again. A vintage that is there already holds."""
+    rows = canon.where("block_key is not null")
+    rows = rows if "vintage" in rows.columns else with_published_key(rows)
     return rows.withColumns({"publisher_key": F.nullif(entity_key(F.col("publisher")), F.lit("")), "label_set": label_tokens(F.col("label"))}).select("claim_id", "block_key", *COMPARED, *keep)
 
 

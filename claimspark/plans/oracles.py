@@ -197,6 +197,8 @@ case when doc_id % 11 = 5 or w < 2 then 0 when w = 2 then 5 else 8 end as claims
         "q8_quarantine_list": _sql("select claim_id, reason, case when reason = 'page_out_of_range' then 'page ' || cast(page_no as string) || ' of ' || cast(page_count as string) else left(quote, 200) end as detail from gated where reason is not null", *gate),
         "s2_dedup_by_content": "with a as (select doc_id as arrival, sha256(coalesce(text, '')) as sha256 from documents) select arrival, sha256, arrival = min(arrival) over (partition by sha256) and sha256 not in (select sha256 from a where arrival % 10 = 0) as is_new from a where arrival % 10 <> 0",
         "s3_admit_documents": "select doc_id as arrival, case when octet_length(encode(coalesce(text, ''))) + case when doc_id % 3 = 0 then 0 else 9 end > 20000 then 'too large' when doc_id % 3 = 0 and not contains(left(coalesce(text, ''), 1024), '%PDF') then 'not a PDF' when doc_id % 5 = 0 then 'cannot be opened' when doc_id % 130 = 0 then 'no pages' when doc_id % 130 > 100 then 'too many pages' end as rejected from documents",
+        "s3_admit_files": "select doc_id // 50 as part, sum(strlen(coalesce(text, '')) + 1 + case when doc_id // 50 % 3 = 0 then 9 else 0 end) <= 100000 as opened, case when sum(strlen(coalesce(text, '')) + 1 + case when doc_id // 50 % 3 = 0 then 9 else 0 end) > 100000 then 'too large' when doc_id // 50 % 3 <> 0 then 'not a PDF' end as rejected from documents group by 1, doc_id // 50 % 3",
+        "s7_replace_documents": _sql("select claim_id, doc_id, metric_raw, case when doc_id % 7 = 3 then value_raw || '9' else value_raw end as value_raw from fx_claims where doc_id % 7 <> 3 or doc_id % 21 <> 3 and claim_id % 2 = 1"),
         "s6_response_key": """with keyed as (select doc_id, sha256(unhex(lpad(hex(cast(octet_length(encode(l)) as bigint)), 16, '0')) || encode(l) || unhex(lpad(hex(cast(octet_length(encode(t)) as bigint)), 16, '0')) || encode(t)) as key
 from (select doc_id, coalesce(lang, '') as l, coalesce(text, '') as t from documents)) select doc_id, key from keyed where key not in (select key from keyed where doc_id % 4 = 1)""",
         "s6_replayed_requests": """with keyed as (select doc_id, coalesce(lang, '') as l, coalesce(text, '') as t from documents) select k.doc_id, s.reply_of from keyed k join (select l, t, min(doc_id) as reply_of from keyed where doc_id % 4 = 1 group by 1, 2) s on s.l = k.l and s.t = k.t""",

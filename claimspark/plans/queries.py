@@ -611,6 +611,29 @@ def s3_admit_documents(x: Fixtures) -> DataFrame:
     return tables.admit_documents(rows, most_bytes=20_000).select("arrival", "rejected")
 
 
+@query
+def s3_admit_files(x: Fixtures) -> DataFrame:
+    """Texts as files, a file for each fifty ids; those over 100,000 bytes are never opened."""
+    at = folder(x.spark)
+    rows = x.read("documents").select(F.expr("doc_id div 50").alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("text", F.when(F.col("part") % 3 == 0, F.concat(F.lit("%PDF-1.7 "), "text")).otherwise(F.col("text")))
+    rows.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "text").write.partitionBy("part").text(at)
+    found = tables.admit_files(x.spark, at, "*.txt", most_bytes=100_000, only="part-")
+    return found.select(F.regexp_extract("path", "/part=([0-9]+)/", 1).cast("bigint").alias("part"), F.col("content").isNotNull().alias("opened"), "rejected")
+
+
+@query
+def s7_replace_documents(x: Fixtures) -> DataFrame:
+    """Every seventh document is extracted again: its claims of odd ids have another value, the others are gone; every 21st has none left. Its buckets alone are written."""
+    at = folder(x.spark)
+    rows = x.claims().select("claim_id", "doc_id", "metric_raw", "value_raw").transform(written)
+    tables.write_by_document(rows, at, 32)
+    again = x.documents().where("doc_id % 7 = 3").select("doc_id")
+    new = rows.where("doc_id % 7 = 3 and doc_id % 21 <> 3 and claim_id % 2 = 1").withColumn("value_raw", F.concat("value_raw", F.lit("9")))
+    tables.replace_documents(new, again, at, 32)
+    return tables.read_by_document(x.spark, at).select("claim_id", "doc_id", "metric_raw", "value_raw")
+
+
 @query
 def s6_response_key(x: Fixtures) -> DataFrame:
     rows = x.read("documents").select("doc_id", tables.response_key(F.coalesce("lang", F.lit("")), F.coalesce("text", F.lit(""))).alias("key"))

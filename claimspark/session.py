@@ -48,3 +48,48 @@ def written(frame: DataFrame) -> DataFrame:
     path = f"{shared_folder(frame.sparkSession)}/written-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+class Folder:
+    """Files under one folder, by the file system that Spark uses for it."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.fs = self.path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):  # noqa: ANN202
+        return self.path(f"{self.root}/{name}" if name else self.root)
+
+    def exists(self, name: str) -> bool:
+        return self.fs.exists(self._at(name))
+
+    def names(self, name: str) -> list[str]:
+        """What is in a folder; nothing, if there is none."""
+        return [x.getPath().getName() for x in self.fs.listStatus(self._at(name))] if self.exists(name) else []
+
+    def buckets(self, name: str) -> list[int]:
+        """The buckets that a table written by its column `bucket` has rows in."""
+        return [int(x.partition("=")[2]) for x in self.names(name) if x.startswith("bucket=")]
+
+    def mark(self, name: str) -> None:
+        self.fs.create(self._at(name), True).close()
+
+    def put(self, name: str, text: str) -> None:
+        """A small file, which is there whole or not at all: it is written under another name and renamed."""
+        part = f"{name}.{uuid.uuid4().hex}.tmp"
+        out = self.fs.create(self._at(part), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if not self.fs.rename(self._at(part), self._at(name)):
+            raise FileExistsError(f"{self.root}/{name}")
+
+    def text(self, name: str) -> str:
+        source = self.fs.open(self._at(name))
+        try:
+            return bytes(source.readAllBytes()).decode()
+        finally:
+            source.close()
+
+    def remove(self, name: str) -> None:
+        self.fs.delete(self._at(name), True)
