@@ -15,10 +15,12 @@ from .common import LOWER, byte_set, fresh_names, mixed, poly_hashes, prepare, s
 
 #: Words of a window at least, and how many of them must be no slots; a window goes on until it has them.
 WINDOW, LITERALS = 10, 6
-#: An item without such a window is one window as a whole, if it has so many words and literals; of fewer words down to RUN it is looked for word for word.
+#: An item without such a window is one window as a whole. If it has so many words and literals it is looked for anywhere; of fewer, it must be whole sentences or lines of a
+#: document, as its template says little. Word for word it is looked for anywhere down to RUN words.
 WHOLE, WHOLE_LITERALS, RUN = 6, 2, 3
-#: How words are read: as typed, with capitals as names; in lower case with numbers and units as slots; in lower case without slots.
-TYPED, FOLDED, EXACT = range(3)
+#: How words are read: as typed, with capitals inside sentences as names; in lower case with numbers and units as slots; in lower case without slots; and as typed, with all
+#: capitals as names, those that open a sentence too.
+TYPED, FOLDED, EXACT, OPENED = range(4)
 #: Bits of the filter that says which windows of documents are worth a look; its size is all that is sent to the tasks, in CHUNK_BITS at a time.
 FILTER_BITS, CHUNK_BITS = 1 << 22, 1 << 15
 # fixed values: units of measurement that follow a number
@@ -29,7 +31,7 @@ pound pounds percent degree degrees mph kmh watt watts volt volts""".split()
 WORD_BYTES = byte_set((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 DIGIT, UPPER = byte_set((0x30, 0x39)), byte_set((0x41, 0x5A))
 STOP = byte_set((0x21, 0x21), (0x2E, 0x2E), (0x3F, 0x3F), (0x0A, 0x0A), (0x0D, 0x0D))
-LITERAL, NUMBER, NAME, UNIT = range(4)
+LITERAL, NUMBER, NAME, UNIT, OPENER = range(5)
 SLOT_HASHES = mixed(np.arange(1, 5, dtype=np.uint64) << np.uint64(50))
 _unit_text = " ".join(UNITS).encode()
 _unit_bytes = np.frombuffer(_unit_text, np.uint8)
@@ -38,25 +40,26 @@ UNIT_HASHES = np.sort(span_hashes(_unit_bytes, *words(_unit_bytes, np.array([0,
 
 @dataclass
 class Template:
-    """The words of a buffer of texts: byte places, hashes (those of a slot being its kind's), kinds, and the offsets of each text's words."""
+    """The words of a buffer of texts: byte places, hashes (those of a slot being its kind's), kinds, the offsets of each text's words, and which words open a sentence or line."""
 
     starts: np.ndarray
     ends: np.ndarray
     h: np.ndarray
     kind: np.ndarray
     offsets: np.ndarray
+    opens: np.ndarray
 
     def as_form(self, slots: tuple[int, ...]) -> Template:
-        """With these kinds as slots; h must still be the words' own."""
-        kind = np.where(np.isin(self.kind, slots), self.kind, LITERAL).astype(np.uint8)
-        return Template(self.starts, self.ends, np.where(kind > 0, SLOT_HASHES[kind], self.h), kind, self.offsets)
+        """With these kinds as slots, an opener being a name; h must still be the words' own."""
+        kind = np.where(np.isin(self.kind, slots), np.where(self.kind == OPENER, NAME, self.kind), LITERAL).astype(np.uint8)
+        return Template(self.starts, self.ends, np.where(kind > 0, SLOT_HASHES[kind], self.h), kind, self.offsets, self.opens)
 
 
 def read_words(data: np.ndarray, at: np.ndarray) -> Template:
     """All words with the kinds that they may have.
 
     Words are runs of letters, digits and bytes beyond ASCII; a point or comma between digits belongs to the number. A word with a digit is a
-    number; a known unit after a number is a unit; a capitalised word that doesn't open a sentence is a name; all else counts in lower case.
+    number; a known unit after a number is a unit; a capitalised word is a name, or an opener if it opens a sentence; all else counts in lower case.
     """
     inside = WORD_BYTES[data]
     digit = DIGIT[data]
@@ -65,7 +68,7 @@ def read_words(data: np.ndarray, at: np.ndarray) -> Template:
         inside[1:-1] |= mark & digit[:-2] & digit[2:]
     starts, ends, offsets = words(inside.astype(np.uint8), at, np.arange(256) == 1)
     if not len(starts):
-        return Template(starts, ends, np.zeros(0, np.uint64), np.zeros(0, np.uint8), offsets)
+        return Template(starts, ends, np.zeros(0, np.uint64), np.zeros(0, np.uint8), offsets, np.zeros(0, bool))
     h = span_hashes(LOWER[data], starts, ends)
     digits = np.concatenate(([0], np.cumsum(digit)))
     number = digits[ends] > digits[starts]
@@ -76,14 +79,16 @@ def read_words(data: np.ndarray, at: np.ndarray) -> Template:
     after = np.minimum(starts + 1, len(data) - 1)
     capital = UPPER[data[starts]] | ((data[starts] == 0xC3) & (data[after] >= 0x80) & (data[after] <= 0x9E))
     unit = np.isin(h, UNIT_HASHES) & np.concatenate(([False], number[:-1])) & ~first
-    kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(capital & ~opens, NAME, LITERAL))).astype(np.uint8)
-    return Template(starts, ends, h, kind, offsets)
+    kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(capital, np.where(opens, OPENER, NAME), LITERAL))).astype(np.uint8)
+    return Template(starts, ends, h, kind, offsets, opens)
 
 
 def forms(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, Template]]:
     """(form, first row, bytes, template) of each slice of the texts in each form."""
     for lo, _, data, at in slices(texts):
-        yield TYPED, lo, data, read_words(data, at).as_form((NUMBER, NAME, UNIT))
+        typed = read_words(data, at)
+        yield TYPED, lo, data, typed.as_form((NUMBER, NAME, UNIT))
+        yield OPENED, lo, data, typed.as_form((NUMBER, NAME, UNIT, OPENER))
     for lo, _, data, at in slices(pc.utf8_lower(texts)):
         plain = read_words(data, at)
         yield FOLDED, lo, data, plain.as_form((NUMBER, UNIT))
@@ -101,8 +106,14 @@ def growing(t: Template) -> tuple[np.ndarray, np.ndarray]:
 
 
 def of_size(t: Template, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """All runs of so many words; of fewer than RUN only those that are a whole text."""
+    """All runs of so many words; of fewer than RUN only those that are a whole text. A size below zero stands for runs that are whole sentences or lines."""
     n = np.diff(t.offsets)
+    if size < 0:
+        opens = np.append(t.opens, True)
+        first = np.flatnonzero(t.opens)
+        first = first[first - size <= t.offsets[1:][np.searchsorted(t.offsets, first, "right") - 1]]
+        first = first[opens[first - size]]
+        return first, first - size
     if size < RUN:
         first = t.offsets[:-1][n == size]
     else:
@@ -118,7 +129,12 @@ def whole_items(t: Template, form: int) -> Iterator[tuple[int, np.ndarray, np.nd
     if form == EXACT:
         short = (n > 0) & (n < WINDOW)
     else:
-        short = ((n < WINDOW) | (own < LITERALS)) & (n >= WHOLE) & (own >= WHOLE_LITERALS)
+        bare = ((n < WINDOW) | (own < LITERALS)) & (own > 0)
+        short = bare & (n >= WHOLE) & (own >= WHOLE_LITERALS)
+        # without a slot an item is looked for word for word
+        for size in np.unique(n[bare & ~short & (own < n)]).tolist():
+            first = t.offsets[:-1][bare & ~short & (own < n) & (n == size)]
+            yield -size, first, first + size
     for size in np.unique(n[short]).tolist():
         first = t.offsets[:-1][short & (n == size)]
         yield size, first, first + size
@@ -200,19 +216,21 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, n_slots, n_changed, exact) for each document that holds a benchmark item's window.
 
     A window opens at each word and has WINDOW words, or as many more as it takes until LITERALS of them are no slots; windows are joined on their
-    template, in which each slot shows whether it is a number, a name or a unit. An item without such a window is one window as a whole, if it has WHOLE words
-    and WHOLE_LITERALS literals. The same is done in lower case (of all alphabets) with numbers and units as the only slots, and word for word in lower case
+    template, in which each slot shows whether it is a number, a name or a unit. An item without such a window is one window as a whole: anywhere, if it has WHOLE words
+    and WHOLE_LITERALS literals, and else, if it has a literal at all, where whole sentences or lines of a document are its template. All this is done with and without openers of
+    sentences as names; in lower case (of all alphabets) with numbers and units as the only slots; and word for word in lower case
     with WINDOW words, so that capitals and full stops hide nothing; items down to RUN words are looked for word for word as a whole, and those
-    of one or two words only as whole documents. Windows of a document and an item with the same distance between their places belong to one
+    of one or two words without a slot only as whole documents. Windows of a document and an item with the same distance between their places belong to one
     alignment, in which each value of the item's slots must stand for one value of the document's; other alignments are dropped. The largest alignment
-    counts; exact: none of its values differs. What one item gives doesn't depend on the others: a filter of FILTER_BITS bits made from the
+    counts, of equals the one with fewer changes, then one that takes no opener for a name; exact: none of its values differs. What one item gives doesn't depend on the others: a filter of FILTER_BITS bits made from the
     benchmark's windows goes before the join, and only lets more through when the benchmark is large.
 
-    Null and empty texts match nothing, null ids are ids; repeated rows count once, their windows together; other columns are ignored.
+    Null and empty texts match nothing, null ids are ids; repeated rows count once, their windows together; other columns are ignored; a very long text is read whole, in memory in
+    proportion to it.
     """
     spark = prepare(docs.sparkSession)
     own = item_windows(benchmark.select("item_id", "text").dropDuplicates()).checkpoint()
-    shapes = sorted((r["form"], r["size"]) for r in own.select("form", "size").distinct().collect())  # three for each number of words of an item at most
+    shapes = sorted((r["form"], r["size"]) for r in own.select("form", "size").distinct().collect())  # some eight for each number of words of an item at most
     theirs = document_windows(docs, shapes, spark.sparkContext.broadcast(_filter(own)))
     own = own.select(F.col("id").alias("item_id"), F.col("form").alias("_form"), F.col("size").alias("_size"), F.col("place").alias("_place"), F.col("template").alias("_template"), F.col("slots").alias("_slots"))
     both = theirs.join(own, (F.col("template") == F.col("_template")) & (F.col("form") == F.col("_form")) & (F.col("size") == F.col("_size")))
@@ -221,7 +239,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     lined = rows.groupBy("doc_id", "item_id", "form", "shift").agg(F.count_distinct("place").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     lined = lined.withColumn("n_slots", F.size(F.array_distinct(F.col("pairs.item")))).where(F.size("pairs") == F.col("n_slots"))
     lined = lined.withColumn("n_changed", F.size(F.filter("pairs", lambda p: ~p["item"].eqNullSafe(p["doc"]))))
-    best = lined.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", (-F.col("n_changed")).alias("c"), "n_slots")).alias("m"))
+    best = lined.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", (-F.col("n_changed")).alias("c"), (F.col("form") != OPENED).alias("plain"), "n_slots")).alias("m"))
     return best.select("doc_id", "item_id", F.col("m.n_windows"), F.col("m.n_slots"), (-F.col("m.c")).alias("n_changed"), (F.col("m.c") == 0).alias("exact"))
 
 

@@ -1,8 +1,9 @@
-"""Repeated passages across documents, by a suffix tree that is grown in prefix groups."""
+"""Repeated passages across documents, by windows of fixed depth that are split into groups by hashed prefixes. No suffix tree is grown: README says why."""
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +16,9 @@ from .common import gram_hashes, mixed, parts_for, prepare, slices, span_hashes,
 
 #: Words of a passage that counts as repeated, and of the prefix by which suffixes are split first.
 WINDOW, PREFIX = 13, 5
-#: Bytes of text in a bucket of documents, and bytes of text for each group of the tree.
-BUCKET_BYTES, GROUP_BYTES = 4 << 20, 16 << 20
+#: Bytes of text in a bucket of documents, and bytes of text for each group of windows, at least. Both grow with the root of the text, so that a bucket has CELL_KEYS keys or more
+#: for each group and the rows between them stay few: at 100 TB a bucket and a group are 245 MB of text each.
+BUCKET_BYTES, GROUP_BYTES, CELL_KEYS = 4 << 20, 16 << 20, 100
 #: What is added to words' hashes before the second hash of a window is made.
 CHECKED = np.uint64(0x5851F42D4C957F2D)
 #: Stands for a null doc_id: larger than any.
@@ -90,7 +92,7 @@ def _send(bucket: int, keys: np.ndarray, check: np.ndarray, docs: np.ndarray, bi
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """A group's internal nodes: the keys with several documents below. Each bucket that has some is told which, and their least document."""
+    """A group's keys that stand in several documents. Each bucket that has some is told which, and their least document."""
     rows = table.to_pylist()
     parts = [_large(r["keys"], "u8") for r in rows]
     owner = np.repeat(np.arange(len(rows)), [len(k) for k in parts])
@@ -136,20 +138,20 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, texts:
     is repeated, and the words that repeated windows cover are removed. spans are the runs of removed words, start:end, comma-joined: the
     maximal repeats' places.
 
-    Documents lie in buckets of about BUCKET_BYTES. The generalised suffix tree of all words is grown level by level in groups of bounded size, a
-    node being named by the 64-bit hash of its path. First come prefixes of `prefix` words, of each window only the one with the least
-    hash, which equal windows share: prefix nodes with one document below have no repeat below and are pruned. Suffixes under the
-    other prefixes are followed to depth `window`, and nodes there with several documents are the repeats. A bucket sends each node once, with its
-    least document, so that a passage in very many documents costs a row per bucket, and is told the least document of all. A node at depth `window` is
+    Documents lie in buckets of about BUCKET_BYTES, and hashes of prefixes and windows in groups of bounded size. First come prefixes of `prefix` words, of each window only the one
+    with the least hash, which equal windows share: below a prefix that stands in one document nothing repeats. Windows with the
+    other prefixes are looked at whole, and those in several documents are the repeats. A bucket sends each hash once, with its
+    least document, so that a passage in very many documents costs a row per bucket, and is told the least document of all. A window is
     known by 96 bits of two hashes: that any of n windows is judged wrongly has odds of n * n / 2**97, 0.0006 for 10**13 windows.
 
     A null text has no words; a null doc_id counts as larger than any; rows that repeat a doc_id are judged one by one and never against
-    each other; documents under `window` words lose nothing; other columns are ignored; no rows give no rows.
+    each other; documents under `window` words lose nothing; a bucket holds a very long text whole; other columns are ignored; no rows give no rows.
     """
     prepare(docs.sparkSession)
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = parts_for(size, BUCKET_BYTES, 2 * docs.sparkSession.sparkContext.defaultParallelism)
-    bits = (parts_for(size, GROUP_BYTES, docs.sparkSession.sparkContext.defaultParallelism) - 1).bit_length()
+    grown, cores = math.isqrt(6 * CELL_KEYS * size), docs.sparkSession.sparkContext.defaultParallelism
+    buckets = parts_for(size, max(BUCKET_BYTES, grown), 2 * cores)
+    bits = (parts_for(size, max(GROUP_BYTES, grown), cores) - 1).bit_length()
     kind = docs.schema["doc_id"].dataType.simpleString()
     place = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id", F.lit(3)))
     placed = docs.select(F.pmod(place, F.lit(buckets)).cast("bigint").alias("bucket"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition(buckets, "bucket")

@@ -20,6 +20,8 @@ from .common import byte_set, new_table, parts_for, prepare, slices
 END_ID = 2
 #: Bytes of text that a task encodes, about.
 PART_BYTES = 8 << 20
+#: Parts of the files at most.
+MOST_PARTS = 20_000
 #: Ids of a segment, about; a document is never cut, so that a longer one makes a longer segment.
 SEGMENT_IDS = 250_000
 MAGIC, LEVEL_BITS, BLOCK_BITS = b"DAC1", 8, 512
@@ -254,7 +256,9 @@ def write_segments(docs: DataFrame, tokenizer: str, path: str, end_id: int = END
 
     rows = docs.select("doc_id", "text").withColumn("_tie", F.xxhash64("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows = rows.repartitionByRange(parts_for(size, PART_BYTES, docs.sparkSession.sparkContext.defaultParallelism), "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
+    # a task writes many segments one after the other, so that parts may be large; their bounds are held by the driver and so are few
+    parts = min(parts_for(size, PART_BYTES, docs.sparkSession.sparkContext.defaultParallelism), MOST_PARTS)
+    rows = rows.repartitionByRange(parts, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
     rows.select("doc_id", "text").mapInArrow(run, "part int, seq int, docs bigint, ids bigint, segment binary").write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
 
 

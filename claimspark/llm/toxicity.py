@@ -19,13 +19,13 @@ from .common import prepare
 #: The model is fitted on so many labelled documents at most, of so many characters at most: a bounded sample, which the driver holds.
 FIT_DOCUMENTS, FIT_CHARACTERS = 5_000, 8_000
 #: Features: words and their beginnings of so many letters, kept if they tell of toxic documents in so many of them.
-BEGINNINGS, LEAST_DOCUMENTS, FEATURES = (3, 4, 5, 6, 7, 8, 9), 4, 3_000
+BEGINNINGS, LEAST_DOCUMENTS = (3, 4, 5, 6, 7, 8, 9), 4
 #: Deviations by which the odds of a feature are lowered.
 MARGIN = 2.0
 #: A document's repeats of a feature beyond this tell nothing more.
 REPEATS = 5
-#: Hashes by which copies in the sample are known.
-COPY_MARKS = 4
+#: Hashes by which copies in the sample are looked for, and the share of the shorter one's runs of three words that makes a copy.
+COPY_MARKS, COPY_SHARE = 4, 0.5
 #: Words of a training sequence.
 SEQUENCE = 48
 WORD = re.compile(r"[^\W_]+")
@@ -80,16 +80,21 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
 def without_copies(tokens: list[list[str]]) -> list[int]:
     """Places of the documents that don't repeat an earlier one.
 
-    A copy shares one of its COPY_MARKS least hashes of three words in a row with the first; the words of one text in many copies would else all
-    seem to tell of its label.
+    Copies are looked for by their COPY_MARKS least hashes of three words in a row, and are copies if they share COPY_SHARE of the runs of the shorter one; the
+    words of one text in many copies would else all seem to tell of its label.
     """
-    seen: set[int] = set()
+    marked: dict[int, list[int]] = {}
+    runs: dict[int, set[int]] = {}
     kept = []
     for k, t in enumerate(tokens):
-        marks = sorted({zlib.crc32(" ".join(t[i : i + 3]).encode()) for i in range(len(t) - 2)})[:COPY_MARKS]
-        if not seen.intersection(marks):
+        own = {zlib.crc32(" ".join(t[i : i + 3]).encode()) for i in range(len(t) - 2)}
+        marks = sorted(own)[:COPY_MARKS]
+        near = {j for m in marks for j in marked.get(m, ())}
+        if not any(len(own & runs[j]) >= COPY_SHARE * min(len(own), len(runs[j])) for j in near):
             kept.append(k)
-            seen.update(marks)
+            runs[k] = own
+            for m in marks:
+                marked.setdefault(m, []).append(k)
     return kept
 
 
@@ -117,12 +122,12 @@ def telling(tokens: list[list[str]], y: np.ndarray) -> dict[str, float]:
     # the rates of both kinds of documents, each with half a word more; a margin guards against chance
     hot = {f: n for f, n in counts[1].items() if there[f] >= LEAST_DOCUMENTS}
     odds = {f: math.log((n + 0.5) / n1) - math.log((counts[0][f] + 0.5) / n0) - MARGIN * math.sqrt(1 / (there[f] + 0.5) + 1 / (counts[0][f] + 0.5)) for f, n in hot.items()}
-    best = sorted((-v * math.log1p(hot[f]), f) for f, v in odds.items() if v > math.log(5))[:FEATURES]
+    best = sorted((-v * math.log1p(hot[f]), f) for f, v in odds.items() if v > math.log(5))
     return {f: odds[f] for _, f in best}
 
 
-def _forward_backward(emit: np.ndarray, steps: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of the toxic tag and expected transitions of padded sequences (n x length), in probability space with scaling."""
+def _forward_backward(emit: np.ndarray, steps: np.ndarray, mask: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of the toxic tag and, weighted, expected transitions of padded sequences (n x length), in probability space with scaling."""
     n, length = emit.shape
     jump = np.exp(steps)
     e = np.stack((np.ones_like(emit), np.exp(np.clip(emit, -30, 30))), 2)
@@ -138,7 +143,7 @@ def _forward_backward(emit: np.ndarray, steps: np.ndarray, mask: np.ndarray) ->
     post /= post.sum(2, keepdims=True)
     pair = alpha[:, :-1, :, None] * jump * (e[:, 1:] * beta[:, 1:])[:, :, None, :]
     pair /= pair.sum((2, 3), keepdims=True)
-    return post[:, :, 1], (pair * mask[:, 1:, None, None]).sum((0, 1))
+    return post[:, :, 1], ((pair * mask[:, 1:, None, None]).sum(1) * weight[:, None, None]).sum(0)
 
 
 def fit_chain(tokens: list[list[str]], y: np.ndarray, odds: dict[str, float], rounds: int = 40) -> Model:
@@ -163,10 +168,12 @@ def fit_chain(tokens: list[list[str]], y: np.ndarray, odds: dict[str, float], ro
     row, col = np.array(rows, np.int64), np.array(cols, np.int64)
     lifted = np.zeros(len(vocabulary), bool)
     lifted[row] = True
-    # sequences without any telling word all look alike but for their length: a tenth of them, weighted, stands for the rest
-    telling_, plain = [c for c in cells if lifted[c[0]].any()], [c for c in cells if not lifted[c[0]].any()]
-    plain = plain[:: max(1, len(plain) // (2 * len(telling_) + 200))]
-    cells = telling_ + plain
+    # sequences without any telling word look alike but for their length: those of a length are one, with their number as its weight
+    plain = Counter(len(c[0]) for c in cells if not lifted[c[0]].any())
+    cells = [c for c in cells if lifted[c[0]].any()]
+    weight = np.array([1.0] * len(cells) + [float(plain[k]) for k in sorted(plain)])
+    bare = np.flatnonzero(~lifted)
+    cells += [([int(bare[0])] * k, 0) for k in sorted(plain)]
     ids, mask, gold = np.zeros((len(cells), SEQUENCE), np.int64), np.zeros((len(cells), SEQUENCE), bool), np.zeros((len(cells), SEQUENCE))
     for i, (own, toxic) in enumerate(cells):
         ids[i, : len(own)], mask[i, : len(own)] = own, True
@@ -174,15 +181,15 @@ def fit_chain(tokens: list[list[str]], y: np.ndarray, odds: dict[str, float], ro
     gold *= mask
     both = mask[:, 1:]
     a, b = gold[:, :-1].astype(int), gold[:, 1:].astype(int)
-    want = np.array([[((a == p) & (b == q) & both).sum() for q in (0, 1)] for p in (0, 1)], float)
+    want = np.array([[((a == p) & (b == q) & both).sum(1) @ weight for q in (0, 1)] for p in (0, 1)], float)
     x = np.zeros(len(names) + 5)
     x[: len(names)], x[len(names)] = 0.5, -3.0
     m, v = np.zeros_like(x), np.zeros_like(x)
-    n = max(1.0, mask.sum() / 100)
+    n = max(1.0, mask.sum(1) @ weight / 100)
     for k in range(1, rounds + 1):
         lift = np.bincount(row, x[col], len(vocabulary)) if len(row) else np.zeros(len(vocabulary))
-        post, pairs = _forward_backward(np.where(mask, lift[ids] + x[len(names)], 0.0), x[-4:].reshape(2, 2), mask)
-        error = (gold - post) * mask
+        post, pairs = _forward_backward(np.where(mask, lift[ids] + x[len(names)], 0.0), x[-4:].reshape(2, 2), mask, weight)
+        error = (gold - post) * mask * weight[:, None]
         by_word = np.bincount(ids.ravel(), error.ravel(), len(vocabulary))
         g = np.concatenate((np.bincount(col, by_word[row], len(names)) if len(col) else np.zeros(0), [error.sum()], (want - pairs).ravel())) - 0.05 * x
         g /= n

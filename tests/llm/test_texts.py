@@ -469,7 +469,7 @@ def test_op5_short_items(spark):
     docs = [(1, "He asked: what is 12 + 7? And so on."), (2, "What is 12 + 9?"), (3, "yes"), (4, "yes and no"), (5, "what is it")]
     items = [(1, "What is 12 + 7?"), (2, "Yes."), (3, "12 7"), (4, "and so on")]
     got = decontaminate.matches(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
-    assert {(r.doc_id, r.item_id, r.exact) for r in got.collect()} == {(1, 1, True), (3, 2, True), (1, 4, True)}
+    assert {(r.doc_id, r.item_id, r.exact) for r in got.collect()} == {(1, 1, True), (2, 1, False), (3, 2, True), (1, 4, True)}  # a whole sentence with another number
 
 
 def test_decontamination_keeps_all_columns(spark):
@@ -533,3 +533,28 @@ def test_ids_that_are_null(spark):
     from claimspark.llm import mixing, sharding, simhash
 
     assert none(mixing.fair_queue(frame, keep=["doc_id"]).select("row.doc_id")) == none(simhash.near_copies(frame, shingle=3, lanes=1, radius=3, block_radius=1)) == none(sharding.byte_shards(frame)) == 4
+
+
+def test_op5_short_items_and_openers(spark):
+    """Short items are found with other numbers where they are whole sentences or lines; a name that opens a sentence may be another."""
+    items = [(1, "What is 12 plus 7?"), (2, "Tom has 12 apples."), (3, "12 7"), (4, "Anna sold 12 apples to her old friend on the market in the spring of that year."), (5, "7 apples")]
+    docs = [
+        (1, "Well. What is 31 plus 9? Nobody knows."), (2, "Tom has 99 apples."), (3, "so what is 3 plus 4 then"), (4, "First line\nwhat is 5 plus 6\nlast line"), (5, "He said Tom has 99 apples. And more."), (6, "12 7"), (7, "Rain. 30 9. Sun."),
+        (8, "Clara sold 31 apples to her old friend on the market in the spring of that year."), (9, "Clara bought 31 apples for her new friend in the winter."), (10, "Tom has 99 apples and pears."), (11, "x. 9 apples. y"), (None, "Tom has 1 apples"),
+    ]
+    frames = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(*frames).collect()} == {(1, 1), (4, 1), (2, 2), (None, 2), (6, 3), (8, 4), (11, 5)}
+
+
+def test_copies_in_the_sample_are_verified():
+    common = "one two three"
+    texts = [f"{common} a b c d e f g h", f"{common} i j k l m n o p", f"{common} a b c d e f g x", f"{common} a b c d"]
+    assert toxicity.without_copies([t.split() for t in texts]) == [0, 1]
+
+
+def test_the_fit_weighs_sequences_without_telling_words():
+    """As many plain sequences as there are count, though each length is worked on once."""
+    tokens = [["bad", "x"]] * 3 + [["y"] * 5] * 200
+    few = toxicity.fit_chain(tokens[:13], np.array([1] * 3 + [0] * 10), {"=bad": 2.0})
+    many = toxicity.fit_chain(tokens, np.array([1] * 3 + [0] * 200), {"=bad": 2.0})
+    assert many.bias < few.bias and many.weights["=bad"] > 0
