@@ -10,12 +10,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mixed, parts_for, prepare, slices, words
+from claimspark.session import written
+
+from .common import LOWER, mixed, parts_for, prepare, slices
 from .components import components
 
 SEED = 42
 #: Fingerprints that a shard of the forest holds about, before its task goes on splitting; and those that a leaf compares outright.
 SHARD_ROWS, LEAF_ROWS = 8_192, 512
+#: Rows of a shard beyond which it is cut into blocks of about so many, and two blocks are searched at a time.
+SHARD_MOST = 4 * SHARD_ROWS
 #: Bits that a tree of the forest sees.
 BLOCK = 32
 
@@ -166,7 +170,8 @@ def near_links(classes: DataFrame, lanes: int, radius: int, block_radius: int) -
 
     64 x lanes bits make 2 x lanes blocks of 32, each with a tree of its own. Two fingerprints within r bits agree in some block to
     r // blocks bits, so that searching each tree with a block_radius of that finds every pair; a smaller one trades recall for time.
-    A shard's stars have one row per member that has a link at most, never all pairs.
+    A shard's stars have one row per member that has a link at most, never all pairs. A shard of more than SHARD_MOST rows, as of fingerprints that are alike in a whole block,
+    is cut by a hash into blocks, and each two of them are searched by a task of their own, so that no task holds more than two blocks.
     """
     spark = classes.sparkSession
     levels = max(0, (parts_for(classes.count(), SHARD_ROWS) - 1).bit_length())
@@ -190,8 +195,13 @@ def near_links(classes: DataFrame, lanes: int, radius: int, block_radius: int) -
         linked = np.flatnonzero(low != np.arange(len(low)))
         return pa.table({"a": rep[low[linked]], "b": rep[linked]})
 
-    shards = classes.select("rep", "lanes").mapInArrow(place, "shard bigint, rep bigint, lanes array<bigint>")
-    return shards.repartition(max(spark.sparkContext.defaultParallelism, 2 * lanes << levels), "shard").groupBy("shard").applyInArrow(search, "a bigint, b bigint")
+    shards = written(classes.select("rep", "lanes").mapInArrow(place, "shard bigint, rep bigint, lanes array<bigint>"))
+    large = shards.groupBy(F.col("shard").alias("_shard")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SHARD_MOST).select("_shard", F.ceil(F.col("_n") / SHARD_MOST).cast("int").alias("k"))
+    own = F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")
+    dealt = shards.join(large, F.col("shard") == F.col("_shard"), "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.select("shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "lanes")
+    dealt = dealt.repartition(max(spark.sparkContext.defaultParallelism, 2 * lanes << levels), "shard", "i", "j")
+    return dealt.groupBy("shard", "i", "j").applyInArrow(search, "a bigint, b bigint")
 
 
 def near_copies(docs: DataFrame, shingle: int = 3, lanes: int = 1, radius: int = 3, block_radius: int = 1) -> DataFrame:

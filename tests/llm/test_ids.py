@@ -148,6 +148,9 @@ def test_forest_finds_every_pair(spark, monkeypatch):
     monkeypatch.setattr(simhash, "LEAF_ROWS", 16)
     frame = spark.createDataFrame([(i, [int(x)]) for i, x in enumerate(all_)], "rep bigint, lanes array<bigint>")
     edges = [(r.a, r.b) for r in simhash.near_links(frame, 1, 3, 1).collect()]
+    monkeypatch.setattr(simhash, "SHARD_MOST", 40)  # shards in blocks
+    cut = [(r.a, r.b) for r in simhash.near_links(frame, 1, 3, 1).collect()]
+    assert find(cut, range(len(all_))) == find(edges, range(len(all_)))
     want = [(i, j) for i in range(len(all_)) for j in range(i + 1, len(all_)) if (int(all_[i]) ^ int(all_[j])).bit_count() <= 3]
     assert find(edges, range(len(all_))) == find(want, range(len(all_)))
 
