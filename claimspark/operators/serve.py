@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimspark.functions.periods import with_period, with_published_key
 from claimspark.functions.words import basis_rank, entity_key
+from claimspark.session import written
 
 GRADE_RANK = {"exact": 2, "nearby": 1, "tokens": 0}
 
@@ -163,18 +164,53 @@ def match_metric(requests: DataFrame, metrics: DataFrame) -> DataFrame:
     return requests.join(live, key == F.col("_live"), "left").join(alias, key == F.col("_alias"), "left").withColumn("metric_found", F.coalesce("_live", "_of", key)).drop("_live", "_alias", "_of")
 
 
-def answer_requests(requests: DataFrame, entities: DataFrame, metrics: DataFrame, current: DataFrame) -> DataFrame:
-    """Requests (request_id, entity, metric, period) with the current claim and its value, or the reason why there is none."""
+def request_blocks(requests: DataFrame, entities: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Requests (request_id, entity, metric, period) with the block that they ask for: block_key, null where the entity is unknown or the period can't be read (`readable`)."""
     rows = with_period(match_metric(match_entity(requests, entities), metrics), "period")
     dated = F.col("period").isNotNull() & (F.col("period") != "")
     block = F.when(dated, F.concat_ws("|", "entity_found", "metric_found", F.col("period_start").cast("string"), F.col("period_end").cast("string"))).otherwise(F.concat_ws("|", "entity_found", "metric_found"))
-    readable = F.col("entity_found").isNotNull() & (~dated | F.col("period_start").isNotNull())
+    rows = rows.withColumn("readable", F.col("entity_found").isNotNull() & (~dated | F.col("period_start").isNotNull()))
+    return rows.withColumn("block_key", F.when(F.col("readable"), block))
+
+
+def answers(rows: DataFrame, current: DataFrame) -> DataFrame:
+    """Requests whose blocks are known with the current claim and its value, or the reason why there is none."""
     now = current.select(F.col("block_key").alias("_block"), "claim_id", "value_canon", "value_text", "unit_canon", "members")
-    rows = rows.withColumn("block_key", F.when(readable, block)).join(now, F.col("block_key") == F.col("_block"), "left")
-    reason = F.when(F.col("claim_id").isNotNull(), None).when(F.col("entity_found").isNull(), F.concat(F.lit("no entity matching "), "entity")).when(~readable, F.concat(F.lit("could not read period "), "period")).otherwise("no grounded claim for that entity, metric and period")
+    rows = rows.join(now, F.col("block_key") == F.col("_block"), "left")
+    reason = F.when(F.col("claim_id").isNotNull(), None).when(F.col("entity_found").isNull(), F.concat(F.lit("no entity matching "), "entity")).when(~F.col("readable"), F.concat(F.lit("could not read period "), "period")).otherwise("no grounded claim for that entity, metric and period")
     return rows.select("request_id", "entity_found", "metric_found", "block_key", "claim_id", "value_canon", "value_text", "unit_canon", "members", reason.alias("reason"))
 
 
+def answer_requests(requests: DataFrame, entities: DataFrame, metrics: DataFrame, current: DataFrame) -> DataFrame:
+    """Requests (request_id, entity, metric, period) with the current claim and its value, or the reason why there is none."""
+    return answers(request_blocks(requests, entities, metrics), current)
+
+
+def _block_bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("block_key"), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def store_read_model(current: DataFrame, entities: DataFrame, metrics: DataFrame, folder: str, buckets: int) -> None:
+    """Current values as folders of buckets by their block's hash, sorted by block inside so that a file's statistics rule out most of it; and the names that requests are matched with."""
+    rows = current.withColumn("bucket", _block_bucket(buckets)).repartition("bucket").sortWithinPartitions("bucket", "block_key")
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/current")
+    entities.select("entity").distinct().write.mode("overwrite").parquet(f"{folder}/entities")
+    metrics.select("key", "aliases").write.mode("overwrite").parquet(f"{folder}/metrics")
+
+
+def stored_values(spark: SparkSession, blocks: DataFrame, folder: str, buckets: int) -> DataFrame:
+    """The stored current values of the buckets that these blocks (block_key) fall into; no other folder is opened."""
+    wanted = [r["bucket"] for r in blocks.where("block_key is not null").select(_block_bucket(buckets)).distinct().collect()]  # as many numbers as buckets
+    return spark.read.parquet(f"{folder}/current").where(F.col("bucket").isin(wanted))
+
+
+def answer_stored(requests: DataFrame, folder: str, buckets: int) -> DataFrame:
+    """answer_requests from a stored read model: nothing is worked out but the requests' blocks, and their buckets are read."""
+    spark = requests.sparkSession
+    rows = written(request_blocks(requests, spark.read.parquet(f"{folder}/entities"), spark.read.parquet(f"{folder}/metrics")))
+    return answers(rows, stored_values(spark, rows, folder, buckets))
+
+
 def parse_question_coordinates(replies: DataFrame, entities: DataFrame, metrics: DataFrame) -> DataFrame:
     """(request_id, entity, metric, period) of model replies whose first braces hold an entity and a metric that are known."""
     o = F.from_json(F.regexp_extract("text", r"(?s)(\{.*?\})", 1), "entity string, metric string, period string")

@@ -107,7 +107,7 @@ _HINTS = "case when doc_id % 4 = 0 and page_no is not null then 'INR million' el
 def oracle_sql() -> dict[str, str]:
     number = "case s when 0 then cast(p as double) when 1 then -cast(p as double) when 2 then -cast(p as double) when 3 then cast(p as double) when 4 then cast(p as double) end"
     paged, gate = (_PAGES,), (_PAGES, _spelled(_GATE))
-    return {
+    found = {
         "c8_parse_value": _sql(f"select l_orderkey, l_linenumber, {number} as value from printed", _PRINTED),
         "c9_precision_of": _sql("select l_orderkey, l_linenumber, case when s = 5 then cast(0 as double) else cast(0.5 as double) * pow(cast(10 as double), -2) end as precision from printed", _PRINTED),
         "c6_parse_unit": "select o_orderkey, ['INR', 'pct', 'count', 'sq ft', 'USD', 'pct', 'EUR', 'count', 'x', null, 'INR', 'tonnes'][o_orderkey % 12 + 1] as unit, cast([1e7, 0.01, 1e12, 1e6, 1e9, 1, 1e6, 1, 1, null, 1e5, 1][o_orderkey % 12 + 1] as double) as scale from orders",
@@ -209,3 +209,4 @@ from (select doc_id, coalesce(lang, '') as l, coalesce(text, '') as t from docum
         "i1_incremental_documents": _sql(_REL, *_RELATED),
         "i2_stream_dedup": "select sha256(t) as sha256, octet_length(encode(t)) as n_bytes from (select distinct coalesce(text, '') as t from documents)",
     }
+    return found | {"q16_answer_stored": found["q16_answer_requests"]}

@@ -357,20 +357,32 @@ def q10_entity_list(x: Fixtures) -> DataFrame:
     return serve.entity_list(known, rows).select("entity", "claims")
 
 
-@query
-def q16_answer_requests(x: Fixtures) -> DataFrame:
+def _requests(x: Fixtures) -> DataFrame:
     """Nations by exact and by partial name, unknown ones, aliases, and periods that can't be read, for each fiscal year."""
-    rows, claims = numbers(x), x.claims()
-    now = current(rows).transform(written)
     years = x.spark.range(1995, 2003).select(F.col("id").alias("fy"))
     k = F.col("n_nationkey") % 4
-    asked = x.read("nation").crossJoin(F.broadcast(years)).select(  # eight years
+    return x.read("nation").crossJoin(F.broadcast(years)).select(  # eight years
         (F.col("n_nationkey") * 10_000 + F.col("fy")).cast("bigint").alias("request_id"), F.when(k == 0, F.concat("n_name", F.lit(" Limited"))).when(k == 1, F.regexp_replace("n_name", "^N", "")).when(k == 2, F.concat("n_name", F.lit(" isle"))).otherwise(F.col("n_name")).alias("entity"),
         F.when(F.col("fy") % 2 == 0, "Revenue ").otherwise("revenues").alias("metric"), F.when(F.col("fy") == 2002, "some day").otherwise(F.concat(F.lit("FY"), F.col("fy").cast("string"))).alias("period"),
     )
-    names = rows.select("entity").distinct()
-    found = serve.answer_requests(asked, names, canon.metrics(claims, canon.resolve_metrics(claims, x.aliases())), now)
-    return found.select("request_id", "entity_found", "metric_found", "claim_id", "value_canon", "reason")
+
+
+ANSWERED = ["request_id", "entity_found", "metric_found", "claim_id", "value_canon", "reason"]
+
+
+@query
+def q16_answer_requests(x: Fixtures) -> DataFrame:
+    rows, claims = numbers(x), x.claims()
+    now = current(rows).transform(written)
+    return serve.answer_requests(_requests(x), rows.select("entity").distinct(), canon.metrics(claims, canon.resolve_metrics(claims, x.aliases())), now).select(*ANSWERED)
+
+
+@query
+def q16_answer_stored(x: Fixtures) -> DataFrame:
+    """The same from a stored read model, of which the requests' buckets are read."""
+    at, rows, claims = folder(x.spark), numbers(x), x.claims()
+    serve.store_read_model(current(rows), rows, canon.metrics(claims, canon.resolve_metrics(claims, x.aliases())), at, 32)
+    return serve.answer_stored(_requests(x), at, 32).select(*ANSWERED)
 
 
 @query
