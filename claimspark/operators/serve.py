@@ -40,10 +40,46 @@ def search_claims(view: DataFrame, doc_id: int | None = None, entity: str | None
     if entity:
         view = view.where(F.contains(F.col("entity"), entity_key(F.lit(entity))))
     if q:
-        view = view.where(F.contains(F.lower(F.concat_ws("\0", "label", "quote", "subject")), F.lower(F.lit(q))))
+        view = view.where(F.contains(_searched(), F.lower(F.lit(q))))
     return view
 
 
+def _searched() -> Column:
+    return F.lower(F.concat_ws("\0", "label", "quote", "subject"))
+
+
+def _runs(text: Column) -> Column:
+    """The distinct runs of three letters of a text; none of a shorter one."""
+    n = F.length(text)
+    return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(text, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+
+
+def store_search_index(view: DataFrame, folder: str, buckets: int) -> None:
+    """Claims as folders of buckets by their id, and postings (run of three letters, claim_id) as folders of buckets by the run, sorted by it."""
+    rows = view.withColumn("bucket", F.pmod(F.xxhash64("claim_id"), F.lit(buckets)).cast("int"))
+    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/claims")
+    postings = view.select("claim_id", F.explode(_runs(_searched())).alias("run")).withColumn("bucket", F.pmod(F.xxhash64("run"), F.lit(buckets)).cast("int"))
+    # a run that most claims have is dealt over files by claim
+    postings.repartition("bucket", F.pmod(F.xxhash64("claim_id"), F.lit(4))).sortWithinPartitions("bucket", "run").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+
+
+def search_stored(spark: SparkSession, q: str, folder: str, buckets: int) -> DataFrame:
+    """search_claims(q=...) over a stored index: claims that have all runs of three letters of q are looked up in the buckets of those runs, read from theirs, and verified.
+
+    A text under three letters has no run; all claims are read for it.
+    """
+    claims = spark.read.parquet(f"{folder}/claims")
+    runs = sorted({q.lower()[i : i + 3] for i in range(len(q) - 2)})
+    if runs:
+        keys = spark.createDataFrame([(r,) for r in runs], "run string").withColumn("bucket", F.pmod(F.xxhash64("run"), F.lit(buckets)).cast("int"))
+        there = sorted({r["bucket"] for r in keys.collect()})  # a few for a text
+        postings = spark.read.parquet(f"{folder}/postings").where(F.col("bucket").isin(there) & F.col("run").isin(runs))
+        hits = written(postings.groupBy("claim_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == len(runs)).select(F.col("claim_id").alias("_hit")))
+        own = [r["b"] for r in hits.select(F.pmod(F.xxhash64("_hit"), F.lit(buckets)).cast("int").alias("b")).distinct().collect()]  # as many numbers as buckets
+        claims = claims.where(F.col("bucket").isin(own)).join(hits, F.col("claim_id") == F.col("_hit"), "left_semi")
+    return claims.where(F.contains(_searched(), F.lower(F.lit(q)))).drop("bucket")
+
+
 def page(rows: DataFrame, order: list[str | Column], limit: int = 200, offset: int = 0) -> DataFrame:
     """One page of a sorted result."""
     return rows.orderBy(*order).offset(offset).limit(limit)

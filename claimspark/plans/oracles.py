@@ -209,4 +209,4 @@ from (select doc_id, coalesce(lang, '') as l, coalesce(text, '') as t from docum
         "i1_incremental_documents": _sql(_REL, *_RELATED),
         "i2_stream_dedup": "select sha256(t) as sha256, octet_length(encode(t)) as n_bytes from (select distinct coalesce(text, '') as t from documents)",
     }
-    return found | {"q16_answer_stored": found["q16_answer_requests"]}
+    return found | {"q16_answer_stored": found["q16_answer_requests"], "q3_search_stored": found["q3_search_claims"]}

@@ -301,6 +301,15 @@ def q3_search_claims(x: Fixtures) -> DataFrame:
     return serve.search_claims(_view(x), entity="NATION_1", grade="exact", q="TRUCKLOAD").select("claim_id", "entity", "label")
 
 
+@query
+def q3_search_stored(x: Fixtures) -> DataFrame:
+    """The same words from a stored index of runs of three letters; the other filters go on top."""
+    at = folder(x.spark)
+    serve.store_search_index(_view(x), at, 16)
+    found = serve.search_stored(x.spark, "TRUCKLOAD", at, 16)
+    return serve.search_claims(found, entity="NATION_1", grade="exact").select("claim_id", "entity", "label")
+
+
 @query
 def q3_search_claims_page(x: Fixtures) -> DataFrame:
     """The second page of fifty: the limit is the feature."""
