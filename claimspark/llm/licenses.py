@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -39,8 +40,46 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under the creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
     ("cc0", "dedicated to the public domain under cc0 1 0 universal", "cc0 1"),
 )
-#: The weight of a template that must line up for a label.
+# fixed values: whole texts of licences, as their files print them, and phrases that must all stand in each at their places
+WHOLE_TEXTS = (
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction,
+    including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
+    subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS",
+    WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+    HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+     ("this permission notice shall be included in all copies", "the software is provided as is without warranty of any kind")),
+    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above
+    copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+    documentation and/or other materials provided with the distribution.""",
+     ("redistributions of source code must retain", "redistributions in binary form must reproduce")),
+    ("bsd", """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
+     ("to endorse or promote products derived from this software",)),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all
+    copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE
+    FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING
+    OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+     ("this permission notice appear in all copies", "the author disclaims all warranties")),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to
+    anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be
+    misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered
+    source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
+     ("the origin of this software must not be misrepresented", "altered source versions must be plainly marked as such")),
+    ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a
+    compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+     ("anyone is free to copy modify publish use compile sell or distribute this software",)),
+)
+#: The share of a template's weight that must line up for a label.
 ACCEPT = 0.6
+#: Starts of a template that are weighed at once.
+BLOCK = 1 << 18
+
+
+def template_words(text: str) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+
+
+#: (label, words, phrases) of all passages and whole texts.
+LICENSES = [(label, template_words(text), [template_words(p) for p in phrases]) for label, text, phrases in (*((x, t, (p,)) for x, t, p in TEMPLATES), *WHOLE_TEXTS)]
 
 
 def _hash(word: str) -> int:
@@ -48,7 +87,7 @@ def _hash(word: str) -> int:
     return int(span_hashes(b, np.array([0]), np.array([len(b)]))[0])
 
 
-VOCABULARY = sorted({w for _, text, _ in TEMPLATES for w in text.split()})
+VOCABULARY = sorted({w for _, text, _ in LICENSES for w in text})
 HASH_OF = {w: _hash(w) for w in VOCABULARY}
 SORTED = np.array(sorted(HASH_OF.values()), np.uint64)
 WORD_AT = [{h: w for w, h in HASH_OF.items()}[int(x)] for x in SORTED]
@@ -88,57 +127,86 @@ def inverse_frequencies(docs: DataFrame) -> dict[str, float]:
 
 
 class Index:
-    """For each template its words, their weights, and the rarest word of its key phrase, by which it is looked up."""
+    """Postings (word -> places in templates) of each template's rarest words by IDF.
+
+    A template's words are posted from the rarest down until those that are left weigh less than a template may lack: wherever a share of ACCEPT lines up, some
+    posted word stands at its place. What the posted words must weigh together at a start, `need`, is what they weigh less that lack.
+    """
 
     def __init__(self, idf: dict[str, float]) -> None:
         self.weight = np.array([idf[w] for w in WORD_AT])
         number = {w: k for k, w in enumerate(WORD_AT)}
-        self.coded = [np.array([number[w] for w in text.split()]) for _, text, _ in TEMPLATES]
-        self.total = [float(self.weight[c].sum()) for c in self.coded]
-        self.keys, self.rarest = [], []
-        for coded, (_, _, phrase) in zip(self.coded, TEMPLATES, strict=True):
-            key = [number[w] for w in phrase.split()]
-            at = next(i for i in range(len(coded)) if coded[i : i + len(key)].tolist() == key)
-            self.keys.append((at, key))
-            self.rarest.append(at + int(self.weight[key].argmax()))
+        self.templates = []
+        for label, text, phrases in LICENSES:
+            coded = np.array([number[w] for w in text])
+            keys = [(next(i for i in range(len(text)) if text[i : i + len(p)] == p), [number[w] for w in p]) for p in phrases]
+            weight = self.weight[coded]
+            rarest = np.argsort(-weight, kind="stable")
+            lack = (1 - ACCEPT) * weight.sum()
+            left = weight.sum() - np.cumsum(weight[rarest])
+            posted = rarest[: int(np.argmax(left < lack * (1 - 1e-9))) + 1]  # nothing is left at the end, so that one is found
+            self.templates.append((label, coded, keys, posted, float(weight[posted].sum() - lack * (1 + 1e-9))))
 
     def scan(self, places: np.ndarray, numbers: np.ndarray, offsets: np.ndarray) -> dict[int, dict[str, float]]:
         """Row -> label -> share of the template's weight that lines up, of the licence words of a slice.
 
-        A template counts only where its whole key phrase stands, so that the places of one word of the phrase, however common, are all
-        the places where the template can be.
+        Posted words meet at starts of templates (place in the text less place in the template), block by block; starts at which they weigh enough are
+        looked at: all key phrases must stand at their places, and the whole template must reach its share.
         """
         found: dict[int, dict[str, float]] = defaultdict(dict)
-        code = np.full(int(offsets[-1]), -1)
+        size = int(offsets[-1])
+        code = np.full(size, -1)
         code[places] = numbers
         order = np.argsort(numbers, kind="stable")
         bounds = np.searchsorted(numbers[order], np.arange(len(WORD_AT) + 1))
-        for (label, _, _), coded, total, (key_at, key), rarest in zip(TEMPLATES, self.coded, self.total, self.keys, self.rarest, strict=True):
-            word = coded[rarest]
-            hits = places[order[bounds[word] : bounds[word + 1]]]
-            row = np.searchsorted(offsets, hits, "right") - 1
-            start = hits - rarest
-            for i, k in enumerate(key, key_at):
-                at = start + i
-                ok = (at >= offsets[row]) & (at < offsets[row + 1])
-                ok[ok] = code[at[ok]] == k
-                start, row = start[ok], row[ok]
-            for r, first in zip(row.tolist(), start.tolist(), strict=True):
-                lo, hi = max(first, int(offsets[r])), min(first + len(coded), int(offsets[r + 1]))
-                part = coded[lo - first : hi - first]
-                share = float(self.weight[part[code[lo:hi] == part]].sum()) / total
-                if share >= ACCEPT:
-                    found[r][label] = max(found[r].get(label, 0.0), share)
+        by_word = [places[order[lo:hi]] for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        for label, coded, keys, posted, need in self.templates:
+            if not any(len(by_word[w]) for w in coded[posted]):
+                continue
+            for first in range(1 - len(coded), size, BLOCK):
+                together = np.zeros(min(BLOCK, size - first))
+                for p in posted.tolist():
+                    hits = by_word[coded[p]]
+                    lo, hi = np.searchsorted(hits, (first + p, first + p + len(together)))
+                    together[hits[lo:hi] - p - first] += self.weight[coded[p]]  # a place is hit once
+                start = np.flatnonzero(together >= need) + first
+                if len(start):
+                    for row, share in self._held(start, coded, keys, code, offsets):
+                        found[row][label] = max(found[row].get(label, 0.0), share)
         return found
 
+    def _held(self, start: np.ndarray, coded: np.ndarray, keys: list[tuple[int, list[int]]], code: np.ndarray, offsets: np.ndarray) -> list[tuple[int, float]]:
+        """(row, share) of the starts at which the template's key phrases stand within one text and its share is reached."""
+        at = start + keys[0][0]
+        start = start[(at >= 0) & (at < len(code))]
+        row = np.searchsorted(offsets, start + keys[0][0], "right") - 1
+
+        def stands(place: int, word: int) -> np.ndarray:
+            at = start + place
+            inside = (at >= offsets[row]) & (at < offsets[row + 1])
+            return inside & (code[np.where(inside, at, 0)] == word)
+
+        for first, key in keys:
+            for place, word in enumerate(key, first):
+                ok = stands(place, word)
+                start, row = start[ok], row[ok]
+        share = np.zeros(len(start))
+        for place, word in enumerate(coded.tolist()):
+            share += self.weight[word] * stands(place, word)
+        share /= self.weight[coded].sum()
+        best: dict[int, float] = {}
+        for r, x in zip(row[share >= ACCEPT].tolist(), share[share >= ACCEPT].tolist(), strict=True):
+            best[r] = max(best.get(r, 0.0), x)
+        return list(best.items())
+
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of each document.
 
     Words are runs of 0-9, a-z and bytes beyond ASCII after A-Z is lower-cased. Base: the places where a phrase of PHRASES stands. Beyond it,
-    each template is looked up in the file's positions by the rarest word of its key phrase, by IDF over all documents; templates whose key
-    phrase stands there and whose words line up at one distance give their label, with the share of their weight that lines up. The score is
-    the largest share, 1 for a base label. Null and empty texts have no words, no labels and score 0; repeated rows come out as often as they
+    the file's rarest licence words, by IDF over all documents, are looked up in an index of licence texts; postings that agree on where a text starts are added
+    up, and a text whose key phrases all stand at their places and of whose weight ACCEPT lines up there gives its label, with that share. The score is
+    the largest share, 1 for a base label. A text is read whole, whatever its length, in memory of a few times its words. Null and empty texts have no words, no labels and score 0; repeated rows come out as often as they
     came; other columns are ignored; no rows give no rows.
     """
     prepare(docs.sparkSession)

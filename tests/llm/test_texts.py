@@ -1,6 +1,7 @@
 """op1, op5, op7, op8, op9 and op10 against brute force, and on hard rows; the pipeline's stages."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -326,6 +327,44 @@ def test_licenses_of_a_file_with_all_of_them(spark):
     assert by_id(licenses.scan(frame))[1].labels == ",".join(sorted({label for label, _, _ in licenses.TEMPLATES}))
 
 
+def brute_licenses(idf, text):
+    """Label -> share of the template's weight in place, over all templates and starts whose key phrases stand."""
+    w, found = licenses.template_words(text), {}
+    for label, words, phrases in licenses.LICENSES:
+        at = [next(i for i in range(len(words)) if words[i : i + len(p)] == p) for p in phrases]
+        for start in range(1 - len(words), len(w)):
+            if all(start + i >= 0 and w[start + i : start + i + len(p)] == p for i, p in zip(at, phrases, strict=True)):
+                share = sum(idf[x] for i, x in enumerate(words) if 0 <= start + i < len(w) and w[start + i] == x) / sum(idf[x] for x in words)
+                if share >= licenses.ACCEPT:
+                    found[label] = max(found.get(label, 0.0), share)
+    return found
+
+
+def test_license_labels_against_brute_force(spark, monkeypatch):
+    """Damaged, cut, repeated and mixed licence texts, over blocks that are smaller than the texts."""
+    pick, rows = random.Random(9), [(0, "software license " * 3_000), (1, None), (2, "the software is provided as is without warranty of any kind " * 40)]
+    for k in range(400):
+        words = list(pick.choice(licenses.LICENSES)[1])
+        for _ in range(pick.choice((0, 1, 2, len(words) // 3, len(words) // 2))):
+            words[pick.randrange(len(words))] = pick.choice(("software", "the", "other", "license", "copy"))
+        lo, hi = pick.choice(((0, len(words)), (pick.randrange(len(words)), len(words)), (0, pick.randrange(len(words)) + 1)))
+        rows.append((10 + k, " ".join([*pick.choices(licenses.VOCABULARY, k=pick.randrange(9)), *words[lo:hi], *pick.choices(licenses.VOCABULARY, k=pick.randrange(9))])))
+    rows += [(k, "nothing of the kind in this file") for k in range(1_000, 1_300)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    idf = licenses.inverse_frequencies(frame)
+    index, texts = licenses.Index(idf), [t or "" for _, t in rows]
+    wanted = {i: brute_licenses(idf, t or "") for i, t in rows}
+    for r in licenses.scan(frame).collect():
+        assert set(r.labels.split(",")) - {""} == set(wanted[r.doc_id]) | set(r.base_labels.split(",")) - {""}
+        assert r.score == pytest.approx(1.0 if r.base_labels else max(wanted[r.doc_id].values(), default=0.0))
+    assert sum(bool(x) for x in wanted.values()) > 100
+    monkeypatch.setattr(licenses, "BLOCK", 37)
+    raw = [t.encode() for t in texts]
+    h, offsets = licenses._hashed(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    found = index.scan(*licenses._known(h), offsets)
+    assert {i: pytest.approx(x) for i, x in found.items() if x} == {k: wanted[i] for k, (i, _) in enumerate(rows) if wanted[i]}
+
+
 def literals(text):
     raw = text.encode()
     return [raw[a:b].decode() for a, b in sorted(secrets.scored(raw))]
