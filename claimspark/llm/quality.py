@@ -7,15 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_set, gram_hashes, mixed, prepare, slices, span_hashes, words
+from claimspark.session import written
+
+from .common import byte_set, gram_hashes, mixed, prepare, sent, slices, span_hashes, words
 
 #: Buckets of the two multinomials: what is counted, summed up and sent to all tasks has so many entries, however large the corpus.
 BUCKETS = 1 << 16
-#: Documents of the trusted target, at most: a bounded sample of the labelled rows, by a hash of their ids. The raw corpus is counted whole.
-TRUSTED_DOCUMENTS = 50_000
 #: Words of the n-grams, and what is added to each bucket's count.
 GRAMS, SMOOTH = (1, 2), 0.5
 #: One in so many trusted documents sets the threshold and isn't counted into the target, so that its score is that of a document the model hasn't seen.
@@ -78,53 +78,60 @@ class Model:
     threshold: float = float("-inf")
 
 
-def counted(docs: DataFrame, buckets: int) -> DataFrame:
-    """(n, bucket, target, raw): n-grams of all documents, and of those in the target (column `trusted`). A task gives a row for each bucket at most."""
+def counted(docs: DataFrame, buckets: int) -> np.ndarray:
+    """The n-grams of each length (rows) in each bucket, over all documents. A task gives a row for each bucket at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {n: np.zeros((2, buckets), np.int64) for n in GRAMS}
+        total = np.zeros((len(GRAMS), buckets), np.int64)
         for batch in batches:
-            trusted = np.asarray(batch.column(1).to_pylist(), bool)
-            for lo, hi, data, at in slices(batch.column(0)):
+            for _, _, data, at in slices(batch.column(0)):
                 starts, ends, offsets = words(data, at)
                 h = span_hashes(data, starts, ends)
-                for n in GRAMS:
-                    b, of = _grams(h, offsets, buckets, n)
-                    good = np.repeat(trusted[lo:hi], np.diff(of))
-                    total[n][0] += np.bincount(b[good], minlength=buckets)
-                    total[n][1] += np.bincount(b, minlength=buckets)
-        for n, both in total.items():
-            used = np.flatnonzero(both[1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), n)), pa.array(used), pa.array(both[0][used]), pa.array(both[1][used])], ["n", "bucket", "target", "raw"])
-
-    rows = docs.select("text", "trusted").mapInArrow(run, "n bigint, bucket bigint, target bigint, raw bigint")
-    return rows.groupBy("n", "bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
+                for k, n in enumerate(GRAMS):
+                    total[k] += np.bincount(_grams(h, offsets, buckets, n)[0], minlength=buckets)
+        k, used = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(used), pa.array(total[k, used])], ["k", "bucket", "found"])
+
+    out = np.zeros((len(GRAMS), buckets))
+    for r in docs.select("text").mapInArrow(run, "k bigint, bucket bigint, found bigint").groupBy("k", "bucket").agg(F.sum("found").alias("found")).collect():  # a row for each bucket at most
+        out[r["k"], r["bucket"]] = r["found"]
+    return out
 
 
-def with_trust(docs: DataFrame, labels: DataFrame, most: int = TRUSTED_DOCUMENTS) -> DataFrame:
-    """Documents (doc_id, text) with `trusted` and `held`: labelled quality 1, never 0, and among the `most` least of those by a hash of their ids; one in HELD is held."""
+def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Documents (doc_id, text) with `trusted` and `held`, one of them for each that is labelled quality 1, never 0: one in HELD, by a hash of their ids, is held."""
     good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_good")).agg(F.min("quality").alias("_q")).where("_q = 1")
-    chosen = F.broadcast(good.orderBy(F.xxhash64("_good"), "_good").limit(most).select("_good", (F.pmod(F.xxhash64("_good", F.lit(1)), F.lit(HELD)) == 0).alias("_held")))  # `most` ids
+    chosen = sent(written(good.select("_good", (F.pmod(F.xxhash64("_good", F.lit(1)), F.lit(HELD)) == 0).alias("_held"))))
     rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_good"), "left")
     return rows.select("doc_id", "text", F.coalesce(~F.col("_held"), F.lit(False)).alias("trusted"), F.coalesce("_held", F.lit(False)).alias("held"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted: int = TRUSTED_DOCUMENTS, below: float = BELOW, slack: float = SLACK) -> Model:
-    """The two multinomials and the threshold.
+def quantiles(rows: DataFrame, shares: list[float]) -> list[float]:
+    """For each share the least `score` that so many of the rows don't exceed; exact, by range-sorted partitions and their totals. No rows give none."""
+    ranges = rows.groupBy("score").agg(F.count(F.lit(1)).alias("n")).repartitionByRange("score").withColumn("part", F.spark_partition_id()).checkpoint()
+    totals = sorted(tuple(r) for r in ranges.groupBy("part").agg(F.sum("n")).collect())  # a row for each partition
+    upto, out = np.cumsum([n for _, n in totals]), []
+    for share in shares if totals else []:
+        rank = max(1, int(np.ceil(share * upto[-1])))
+        k = int(np.searchsorted(upto, rank))
+        running = ranges.where(F.col("part") == totals[k][0]).select("score", F.sum("n").over(Window.partitionBy("part").orderBy("score")).alias("upto"))
+        out.append(running.where(F.col("upto") >= rank - int(upto[k] - totals[k][1])).agg(F.min("score")).first()[0])
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, below: float = BELOW, slack: float = SLACK) -> Model:
+    """The two multinomials and the threshold, from all documents and all labels.
 
-    Counts cover every document; those of the target are the trusted documents' among them. The threshold lies `slack` times the distance between the
-    held documents' median score and their `below` quantile under that quantile. Without trusted documents all ratios are 0 and all is kept; with none held, too.
+    Raw counts cover every document, those of the target every trusted one. The threshold lies `slack` times the distance between all held documents' median
+    score and their `below` quantile under that quantile. Without trusted documents all ratios are 0 and all is kept; with none held, too.
     """
     prepare(docs.sparkSession)
-    known = with_trust(docs, labels, trusted)
-    total = {n: np.zeros((2, buckets)) for n in GRAMS}
-    for r in counted(known, buckets).collect():  # a row for each bucket at most
-        total[r["n"]][:, r["bucket"]] = r["target"], r["raw"]
-    if not any(x[0].any() for x in total.values()):
+    known = written(with_trust(docs, labels).where("trusted or held"))
+    target, raw = counted(known.where("trusted"), buckets), counted(docs, buckets)
+    if not target.any():
         return Model({n: np.zeros(buckets) for n in GRAMS})
-    model = Model({n: np.log((x[0] + SMOOTH) / (x[0].sum() + SMOOTH * buckets)) - np.log((x[1] + SMOOTH) / (x[1].sum() + SMOOTH * buckets)) for n, x in total.items()})
-    scores = assess(known.where("held"), model).where(~F.col("base_failed"))
-    low, middle = scores.agg(F.percentile_approx("score", F.array(F.lit(below), F.lit(0.5)), F.lit(10_000)).alias("q")).first()["q"] or (float("-inf"), 0.0)
+    model = Model({n: np.log((t + SMOOTH) / (t.sum() + SMOOTH * buckets)) - np.log((r + SMOOTH) / (r.sum() + SMOOTH * buckets)) for n, t, r in zip(GRAMS, target, raw, strict=True)})
+    low, middle = quantiles(assess(known.where("held"), model).where(~F.col("base_failed")), [below, 0.5]) or (float("-inf"), 0.0)
     model.threshold = low - slack * (middle - low)
     return model
 

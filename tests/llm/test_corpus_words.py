@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from claimspark.llm import collocations, quality, queries, variants
 from claimspark.llm.common import buffers, span_hashes, words
@@ -198,3 +199,24 @@ def test_op13_scores_against_brute_force(spark):
         assert r.score == pytest.approx(sum(sum(ratio[n, b] for b in grams[r.doc_id][n]) / len(grams[r.doc_id][n]) for n in quality.GRAMS) / 2)
         assert r.kept == (not r.base_failed and r.score >= model.threshold)
     assert any(h for _, h in known.values()) and not any(t and h for t, h in known.values())
+
+
+def test_op13_takes_every_trusted_document(spark):
+    """More of them than any limit there was: each is counted into the target or held, and the target's counts are those of all."""
+    docs = spark.range(120_000).selectExpr("id as doc_id", "concat('w', id % 7, ' v', id % 3) as text")
+    labels = spark.range(120_000).selectExpr("id as doc_id", "cast(id % 8 > 0 as int) as quality")
+    known = {(r.trusted, r.held): (r.n, r.w) for r in quality.with_trust(docs, labels).groupBy("trusted", "held").agg(F.count("*").alias("n"), F.sum(F.expr("doc_id % 7 = 0").cast("int")).alias("w")).collect()}
+    assert known[True, False][0] + known[False, True][0] == 105_000 and known[False, False][0] == 15_000
+    (n, w), b = known[True, False], 1 << 12
+    ratio = quality.fit(docs, labels, buckets=b).ratio[1]
+    data, at = buffers(pa.array(["w0"]))
+    bucket = quality._grams(span_hashes(data, at[:1], at[1:]), at[[0, 0]] + [0, 1], b, 1)[0][0]
+    assert ratio[bucket] == pytest.approx(math.log((w + 0.5) / (2 * n + b / 2)) - math.log((17_143 + 0.5) / (240_000 + b / 2)))
+
+
+def test_quantiles_are_exact(spark):
+    values = [math.sin(k * k) for k in range(30_000)] + [0.25] * 9_000
+    frame = spark.createDataFrame([(v,) for v in values], "score double").repartition(7)
+    ordered, shares = sorted(values), [0.0, 0.01, 0.5, 0.61803, 1.0]
+    assert quality.quantiles(frame, shares) == [ordered[max(1, math.ceil(q * len(values))) - 1] for q in shares]
+    assert quality.quantiles(frame.limit(0), shares) == []
