@@ -255,3 +255,30 @@ def test_similar_on_hard_rows(spark):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 3, 4, 6, 9]
     assert all((r._id, r.component, r.node, r.rep, r["a.b"]) == ("i", 1, 2, 3, 4) for r in kept.collect())
     assert similar.without_similar(frame.limit(0)).count() == 0
+
+
+def test_similar_forest_leaves_one_pair_in_a_thousand_unmet():
+    """Fingerprints that differ in as many bits as texts at 0.8, in forests for tables of several sizes; each row is in one shard of each tree."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    one = rng.integers(0, 2, (8_000, 256), dtype=np.uint8)
+    two = [np.packbits(x, axis=1, bitorder="little").view(np.int64) for x in (one, one ^ (rng.random(one.shape) < 0.1514))]
+    for rows in (1_000, 40_000, 300_000, 3_000_000):
+        levels, trees = similar.forest_of(rows)
+        met = np.zeros(len(one), bool)
+        for (a, x), (b, y) in zip(*(simhash.shard_codes(similar.blocks_of(p, trees), levels, 0) for p in two), strict=True):
+            assert sorted(a) == sorted(b) == list(range(len(one))) and len(np.unique(x)) <= 2**levels
+            met |= x[np.argsort(a)] == y[np.argsort(b)]
+        assert (~met).mean() < 0.003
+
+
+def test_similar_pairs_meet_in_shards_of_the_forest(spark, monkeypatch):
+    """Many shards on a small table: candidates come through them, and each pair of similar texts is one."""
+    monkeypatch.setattr(similar, "CHUNK", 64)
+    texts = [(2 * k + j, " ".join([f"p{k}w{i}" for i in range(84)] + [f"p{k}x{i}" for i in range(18 * j)])) for k in range(300) for j in (0, 1)]
+    classes = similar.described(spark.createDataFrame(texts, "doc_id bigint, text string"), 5).withColumnRenamed("doc_id", "rep").checkpoint()
+    members = similar.placed(classes, *similar.forest_of(600)).checkpoint()
+    assert members.count() == 600 * similar.forest_of(600)[1] and members.select("key").distinct().count() > 300
+    found = {tuple(r) for r in similar.candidate_pairs(members, 0.8).collect()}
+    assert len({(2 * k, 2 * k + 1) for k in range(300)} - found) <= 2
