@@ -49,7 +49,7 @@ MOST_SENT = 100_000
 
 def sent(small: DataFrame) -> DataFrame:
     """A table that is written down already, marked to be sent to all tasks if it has MOST_SENT rows at most."""
-    return F.broadcast(small) if small.limit(MOST_SENT + 1).count() <= MOST_SENT else small
+    return F.broadcast(small) if small.count() <= MOST_SENT else small
 
 
 def parts_for(rows: int, per_part: int, least: int = 1) -> int:

@@ -20,8 +20,8 @@ SEED = 42
 SHARD_ROWS, LEAF_ROWS = 8_192, 512
 #: Rows of a shard beyond which it is cut into blocks of about so many, and two blocks are searched at a time.
 SHARD_MOST = 4 * SHARD_ROWS
-#: Bits that a tree of the forest sees.
-BLOCK = 32
+#: Bits that a tree of the forest sees, and those of them that a level looks at where no border is searched: the fewer, the less often a cut parts near rows.
+BLOCK, CUT_BITS = 32, 3
 
 
 def shingle_hashes(tokens: list[bytes], n: int) -> np.ndarray:
@@ -82,19 +82,29 @@ def _split_at(block: int, level: int) -> int:
     return BLOCK // 2 - (level + block) % 2
 
 
+def _seen(block: int, level: int) -> np.uint32:
+    """CUT_BITS bits for a level of a tree; all bits of the block are used before any comes again."""
+    turn, at = divmod(level, BLOCK // CUT_BITS)
+    order = np.argsort(mixed(np.arange(1, BLOCK + 1, dtype=np.uint64) + np.uint64(((block + 1) * 1_009 + turn) * BLOCK)))
+    return np.uint32(sum(1 << int(k) for k in order[at * CUT_BITS : (at + 1) * CUT_BITS]))
+
+
 def shard_codes(blocks: np.ndarray, levels: int, block_radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each block, the rows and the shards that hold them.
 
     Level by level, a row goes to the near side (0) if its distance d to the level's vantage point is at most m + r, and to the far
     side (1) if it is over m: by the triangle inequality, two rows within r of each other meet on the near side if either has d <= m,
     else on the far side. Other branches are pruned.
+
+    With r = 0 a row goes to one side only, and each level takes distances over CUT_BITS bits of its own. Two rows that differ in 15 of 100 bits stay together on
+    0.80 of such levels, against 0.75 over the whole block, and the sides are even.
     """
-    out = []
+    out, whole = [], np.uint32(0xFFFFFFFF)
     for b in range(blocks.shape[1]):
         at, code = np.arange(len(blocks)), np.zeros(len(blocks), np.int64)
         for level in range(levels):
-            d = np.bitwise_count(blocks[at, b] ^ _vantage(b, level))
-            m = _split_at(b, level)
+            seen, m = (whole, _split_at(b, level)) if block_radius else (_seen(b, level), CUT_BITS // 2)
+            d = np.bitwise_count((blocks[at, b] ^ _vantage(b, level)) & seen)
             near, far = d <= m + block_radius, d > m
             at, code = np.concatenate((at[near], at[far])), np.concatenate((code[near] * 2, code[far] * 2 + 1))
         out.append((at, code))

@@ -282,3 +282,54 @@ def test_similar_pairs_meet_in_shards_of_the_forest(spark, monkeypatch):
     assert members.count() == 600 * similar.forest_of(600)[1] and members.select("key").distinct().count() > 300
     found = {tuple(r) for r in similar.candidate_pairs(members, 0.8).collect()}
     assert len({(2 * k, 2 * k + 1) for k in range(300)} - found) <= 2
+
+
+def test_similar_forest_grows_slowly_and_evenly():
+    """Five times the rows take less than twice the copies of each, and no shard of even fingerprints needs blocks."""
+    import numpy as np
+
+    assert similar.forest_of(203_000)[1] < 2 * similar.forest_of(42_000)[1] and similar.forest_of(12_000_000)[1] < 89
+    rng = np.random.default_rng(7)
+    levels, trees = similar.forest_of(203_000)
+    for at, code in simhash.shard_codes(similar.blocks_of(rng.integers(-(2**63), 2**63, (203_000, 4)), trees), levels, 0):
+        assert len(at) == 203_000 and np.bincount(code).max() <= similar.CHUNK
+
+
+def test_similar_shuffles_only_texts_in_pairs(spark):
+    """Of 2,000 texts of 4 kB two are alike but for a word: what is shuffled is far less than all texts."""
+    import random
+
+    rng = random.Random(11)
+    texts = [(k, " ".join(f"{rng.randrange(10**7)}" for _ in range(500))) for k in range(2_000)]
+    texts.append((2_000, f"{texts[7][1]} more"))
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string").checkpoint()
+    classes = similar.described(frame, 5).selectExpr("doc_id as rep", "n").checkpoint()
+    found = similar.verified(spark.createDataFrame([(7, 2_000), (3, 4)], "a bigint, b bigint"), frame, classes, 0.8, 5)
+    assert [tuple(r) for r in found.collect()] == [(7, 2_000)]
+    plan = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+    assert re.search("BroadcastHashJoin .*LeftSemi", plan(found))
+    kept = similar.without_similar(frame)
+    assert re.search("BroadcastHashJoin .*LeftAnti", plan(kept)) and kept.count() == 2_000
+
+
+def test_closest_pairs_of_mixed_sizes():
+    """Groups by all pairs in reach whose sizes allow the similarity, also between two parts, one of them with fingerprints turned over."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    who = rng.integers(0, 80, 600)
+    bits = rng.integers(0, 2, (80, 256), dtype=np.uint8)[who] ^ (rng.random((600, 256)) < 0.08)
+    bits[599] = 1 - bits[0]
+    lanes = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    n = np.maximum(1, np.exp(rng.normal(5, 1, 80))[who] * rng.uniform(0.8, 1.2, 600)).astype(np.int64)
+    n[599] = n[0]
+    for part in (None, rng.integers(0, 2, 600).astype(np.int32)):
+        want, got = (simhash.Forest(600) for _ in range(2))
+        far = np.bitwise_count(lanes[:, None] ^ lanes[None]).sum(axis=2, dtype=np.int64)
+        near = (far <= similar.RADIUS) & (np.minimum(n[:, None], n) >= 0.8 * np.maximum(n[:, None], n) - 1e-6)
+        near &= True if part is None else part[:, None] != part
+        want.join(*np.nonzero(near))
+        a, b = similar.closest(lanes, n, part, 0.8)
+        assert near[a, b].all() and len(a) < 600
+        got.join(a, b)
+        assert (want.roots(np.arange(600)) == got.roots(np.arange(600))).all()
